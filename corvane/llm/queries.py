@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact_dedup, mixing
 from corvane.llm.shared import table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import exact_dedup
+
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import bpe
+
+    return bpe.bpe_columns(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import media
+
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import mixing
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.poisson_mix(docs).select("doc_id", "source", "n_copies", "copy_no", "order_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_poisson_mixing)}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op8_poisson_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op5_media_columns, op8_poisson_mixing)}
+
+
+def oracles() -> dict[str, str]:
+    from corvane.llm import exact_dedup, mixing
+
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op8_poisson_mixing": mixing.ORACLE}
