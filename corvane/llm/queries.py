@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm.shared import table
 
@@ -31,6 +32,15 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_documents(docs)
+    rows = docs.select("doc_id", "text", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"))
+    return langid.predict_columns(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import mixing
 
@@ -38,7 +48,13 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(docs).select("doc_id", "source", "n_copies", "copy_no", "order_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op5_media_columns, op8_poisson_mixing)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import html_extract
+
+    return html_extract.extract_columns(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op5_media_columns, op7_language_id, op8_poisson_mixing, op9_html_extraction)}
 
 
 def oracles() -> dict[str, str]:
