@@ -54,7 +54,13 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_columns(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op5_media_columns, op7_language_id, op8_poisson_mixing, op9_html_extraction)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op5_media_columns, op7_language_id, op8_poisson_mixing, op9_html_extraction, op10_minhash_near_dedup)}
 
 
 def oracles() -> dict[str, str]:
