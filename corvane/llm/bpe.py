@@ -368,3 +368,29 @@ def _with_column(docs: DataFrame, source: str, target: str, kind: str, make) ->
             yield pa.RecordBatch.from_arrays([*columns[:at], make(columns[at])], names=[*kept, target])
 
     return docs.select(*kept, F.col(source).alias("__source")).mapInArrow(run, schema)
+
+
+def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs with token_ids (array<int>), n_tokens, ids_sha256 and decoded_sha256, replacing columns of these names.
+
+    The digests are those of bpe_columns(): of the ids and of the text that they decode to. Nulls as there.
+    """
+    added = {"token_ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    kept = [c for c in docs.columns if c not in added]
+    schema = docs.select(kept).limit(0).withColumns({c: F.lit(None).cast(t) for c, t in added.items()}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = encoder(path)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):  # ids take several times the room of their text's digests
+                batch = whole.slice(start, 1000)
+                *columns, text = batch.columns
+                ids = [codec.encode(t or "") for t in text.to_pylist()]
+                offsets = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(x) for x in ids], out=offsets[1:])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                shas = pa.array([codec.ids_sha256(x) for x in ids], pa.string())
+                back = pa.array([hashlib.sha256(codec.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(np.diff(offsets).astype(np.int64)), shas, back], names=[*kept, *added])
+
+    return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)

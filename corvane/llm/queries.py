@@ -26,12 +26,34 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_columns(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import warc
+
+    made = warc.derive_records(warc.responses(table(spark, sf_dir, "pages")))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "date", "block_digest", "content_type", F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import lm_scoring
+
+    docs = table(spark, sf_dir, "documents")
+    wanted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    models = lm_scoring.fit(lm_scoring.mark_targets(docs, wanted))
+    return lm_scoring.score(docs, models)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import media
 
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import token_output
+
+    return token_output.read_slots(token_output.shards(table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import langid
 
@@ -60,7 +82,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op5_media_columns, op7_language_id, op8_poisson_mixing, op9_html_extraction, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_warc_derivatives, op4_lm_scoring, op5_media_columns, op6_token_output, op7_language_id, op8_poisson_mixing, op9_html_extraction, op10_minhash_near_dedup)}
 
 
 def oracles() -> dict[str, str]:
