@@ -1,0 +1,493 @@
+"""A query for every operator over the given tables, and the same in SQL.
+
+The documents hold few of the patterns that the cleaners look for, so most queries put some in first, by plain
+replacements that both engines make alike.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import html as H
+from corvane.functions import patterns as P
+from corvane.functions import rules as R
+from corvane.functions import text as X
+from corvane.operators import catalogue, chunk, dataset, model, runs
+from corvane.plans import makedataset
+from corvane.schemas import EOS_DEFAULT
+from corvane.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+SEED = 3407
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_replace(column: str, pattern: str, replacement: str) -> str:
+    """regexp_replace in the other dialect: all matches, and \\1 for $1."""
+    return f"regexp_replace({column}, {quoted(pattern)}, {quoted(replacement.replace('$', chr(92)))}, 'g')"
+
+
+def injected(column: Column, pairs: list[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        column = F.replace(column, F.lit(old), F.lit(new))
+    return column
+
+
+def sql_injected(column: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        column = f"replace({column}, {quoted(old)}, {quoted(new)})"
+    return column
+
+
+# -- cleaning, step by step -------------------------------------------------------------------------------
+
+SQL_DEHYPHENATE = lambda c: sql_replace(c, P.DEHYPHENATE, "$1$2")
+SQL_COLLAPSE = lambda c: sql_replace(c, P.SPACES, " ")
+SQL_PUNCTUATION = lambda c: sql_replace(c, P.BEFORE_PUNCTUATION, "$1")
+SQL_BRACKETS = lambda c: sql_replace(sql_replace(c, P.AFTER_OPEN, "("), P.BEFORE_CLOSE, ")")
+SQL_QUOTES = lambda c: f"replace(replace({c}, '«', '\"'), '»', '\"')"
+SQL_NFC = lambda c: f"nfc_normalize({c})"
+SQL_STRIP = lambda c: sql_replace(c, P.ENDS, "")
+SQL_CLEAN = lambda c: f"trim({SQL_NFC(SQL_QUOTES(SQL_BRACKETS(SQL_PUNCTUATION(SQL_COLLAPSE(SQL_DEHYPHENATE(c))))))})"
+SQL_SQUEEZE = lambda c: f"trim({SQL_COLLAPSE(c)})"
+SQL_NORMALIZE = lambda c: SQL_STRIP(sql_replace(sql_replace(sql_replace(f"replace({c}, chr(160), ' ')", "[ \t]+", " "), P.BEFORE_NEWLINE, "\n"), "\n{3,}", "\n\n"))
+
+HYPHENS = [("on", "o-\nn")]
+PUNCTUATION = [(". ", " . ")]
+BRACKETS = [(",", " ( x ) ")]
+GUILLEMETS = [("the", "«the»")]
+DECOMPOSED = [("é", "e\u0301"), ("ü", "u\u0308")]
+NEWLINES = [(". ", " \n\n\n"), ("a ", "a\t "), ("e ", "e\u00a0")]
+ALL = HYPHENS + PUNCTUATION + BRACKETS + GUILLEMETS + DECOMPOSED
+
+
+def text_query(name: str, pairs: list[tuple[str, str]], function, sql) -> None:
+    oracle = f"SELECT doc_id, {sql(sql_injected('text', pairs))} AS text FROM documents"
+    query(name, oracle)(lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", function(injected(F.col("text"), pairs)).alias("text")))
+
+
+text_query("clean_dehyphenate", HYPHENS, X.dehyphenate, SQL_DEHYPHENATE)
+text_query("clean_collapse_ws", NEWLINES, X.collapse_ws, SQL_COLLAPSE)
+text_query("clean_space_before_punct", PUNCTUATION, X.no_space_before_punctuation, SQL_PUNCTUATION)
+text_query("clean_brackets", BRACKETS, X.trim_brackets, SQL_BRACKETS)
+text_query("clean_quotes", GUILLEMETS, X.plain_quotes, SQL_QUOTES)
+text_query("clean_nfc", DECOMPOSED, X.nfc, SQL_NFC)
+text_query("clean_strip", [(". ", ". ")], lambda c: X.strip(F.concat(F.lit(" \n\u3000"), c, F.lit("\u00a0 \t"))), lambda c: SQL_STRIP(f"' ' || chr(10) || chr(12288) || {c} || chr(160) || ' ' || chr(9)"))
+text_query("clean_text_full", ALL, X.clean_text, SQL_CLEAN)
+text_query("normalize_whitespace", NEWLINES, X.normalize_whitespace, SQL_NORMALIZE)
+text_query("squeeze_ws", NEWLINES, X.squeeze_ws, SQL_SQUEEZE)
+text_query("append_eos", [], lambda c: X.append_eos(c, EOS_DEFAULT), lambda c: f"{c} || '{EOS_DEFAULT}'")
+text_query("context_cap", [], lambda c: X.cap(c, 400), lambda c: f"substr({c}, 1, 400)")
+text_query("md_header", [], lambda c: X.title_header(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), c), lambda c: f"'# Complete structured extraction: doc' || doc_id || chr(10) || chr(10) || {c}")
+
+# -- the rule-based cleaner ----------------------------------------------------------------------------------
+
+_RULE_PAIRS = {
+    "page_numbers": [(". ", ".\n 12 \n")],
+    "rulers": [(". ", ".\n-----\n")],
+    "asterisks": [(". ", ". * * * ")],
+    "hyphen_breaks": HYPHENS,
+    "mid_sentence_newlines": [(" of ", "\nof ")],
+    "bracketed_numbers": [(", ", " [144; 214], ")],
+    "numbers_in_brackets": [(", ", " (1), ")],
+    "figure_captions": [(". ", ". Рис. 1. 12. Диаграмма, иллюстрирующая процессы. ")],
+    "references": [(", ", " (рис. 2. 4), ")],
+    "author_citations": [(", ", " (Таусон, 1977), ")],
+    "capital_runs": [(". ", ". ИСПОЛЬЗОВАНИЕ ДАННЫХ ПРИ ИЗУЧЕНИИ ПОРОД ")],
+    "number_runs": [(". ", ". 3,060 0,071 0,042 0,081 1,830 0,012 ")],
+}
+for _name, _pattern, _replacement in R.RULES:
+    text_query(f"rule_cleaner_{_name}", _RULE_PAIRS[_name], R.rule(_name), lambda c, p=_pattern, r=_replacement: sql_replace(c, p, r))
+
+
+def _sql_rules(c: str) -> str:
+    # the same order, without the steps that need look-around or NFKC
+    for _, pattern, replacement in R.RULES:
+        c = sql_replace(c, pattern, replacement)
+    return f"trim({sql_replace(c, ' {2,}', ' ')})"
+
+
+def _rules_native(c):
+    for name, _, _ in R.RULES:
+        c = R.rule(name)(c)
+    return F.trim(F.regexp_replace(c, " {2,}", " "))
+
+
+text_query("rule_cleaner_all", [p for pairs in _RULE_PAIRS.values() for p in pairs[:1]][::3], _rules_native, _sql_rules)
+
+# -- chunks ---------------------------------------------------------------------------------------------------
+
+_PIECES = f"list_transform(list_filter(list_transform(string_split(t, '.'), lambda x: {SQL_STRIP('x')}), lambda x: x <> ''), lambda x: x || '.')"
+_FOLD = (
+    "list_reduce(list_prepend([''], list_transform({pieces}, lambda x: [x])), lambda a, b: CASE WHEN length(a[-1]) + length(b[1]) > {limit} THEN list_append(a, b[1]) "
+    "ELSE list_append(a[:-2], CASE WHEN a[-1] = '' THEN b[1] ELSE a[-1] || ' ' || b[1] END) END)"
+)
+
+
+def _sql_sentence_chunks(text: str, limit: int = chunk.SENTENCE_LIMIT) -> str:
+    return f"""p AS (SELECT doc_id, {text} AS t FROM documents),
+f AS (SELECT doc_id, list_filter({_FOLD.format(pieces=_PIECES, limit=limit)}, lambda x: x <> '') AS chunks FROM p),
+c AS (SELECT doc_id, unnest(generate_series(0, len(chunks) - 1)) AS chunk_idx, unnest(chunks) AS text FROM f WHERE len(chunks) > 0)"""
+
+
+@query("makedataset_chunks", f"WITH {_sql_sentence_chunks(SQL_CLEAN(sql_injected('text', ALL)))} SELECT doc_id, chunk_idx, text, length(text) AS n_chars FROM c")
+def _makedataset_chunks(spark, sf_dir):
+    return makedataset.clean_and_chunk(documents(spark, sf_dir).withColumn("text", injected(F.col("text"), ALL)))
+
+
+@query("sentence_chunks_small", f"WITH {_sql_sentence_chunks('text', 60)} SELECT doc_id, chunk_idx, text FROM c")
+def _sentence_chunks_small(spark, sf_dir):
+    return chunk.chunk_by_sentences(documents(spark, sf_dir), limit=60)
+
+
+@query("chunk_counts", f"WITH {_sql_sentence_chunks(SQL_CLEAN('text'))} SELECT doc_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM c GROUP BY doc_id")
+def _chunk_counts(spark, sf_dir):
+    return makedataset.clean_and_chunk(documents(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("n_chars"))
+
+
+@query(
+    "chunk_offsets",
+    f'WITH {_sql_sentence_chunks(SQL_CLEAN("text"))} SELECT doc_id, chunk_idx, coalesce(sum(length(text) + 1) OVER w, 0)::BIGINT AS "start", (coalesce(sum(length(text) + 1) OVER w, 0) + length(text))::BIGINT AS "end" '
+    "FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+)
+def _chunk_offsets(spark, sf_dir):
+    chunks = makedataset.clean_and_chunk(documents(spark, sf_dir))
+    return chunk.with_offsets(chunks).select("doc_id", "chunk_idx", "start", F.col("end").cast("long").alias("end"))
+
+
+_OVERLAP = """WITH w AS (SELECT doc_id, list_filter(string_split(SQUEEZED, ' '), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT doc_id, list_transform(list_reduce(list_prepend([[]::VARCHAR[]], list_transform(ws, lambda x: [[x]])), lambda a, b:
+  CASE WHEN len(a[-1]) = 0 OR length(array_to_string(a[-1], ' ')) + 1 + length(b[1][1]) + 1 <= LIMIT THEN list_append(a[:-2], list_append(a[-1], b[1][1]))
+       WHEN OVER > 0 AND len(a[-1]) > OVER AND length(array_to_string(a[-1][-OVER:], ' ')) + 1 + length(b[1][1]) + 1 <= LIMIT THEN list_append(a, list_append(a[-1][-OVER:], b[1][1]))
+       ELSE list_append(a, b[1]) END), lambda x: array_to_string(x, ' ')) AS chunks FROM w WHERE len(ws) > 0)
+SELECT doc_id, chunk_idx, 'chunk_' || lpad(chunk_idx::VARCHAR, greatest(5, length(chunk_idx::VARCHAR))::INT, '0') AS id, text
+FROM (SELECT doc_id, unnest(generate_series(0, len(chunks) - 1)) AS chunk_idx, unnest(chunks) AS text FROM f)"""
+
+
+def _sql_overlap(limit: int, over: int) -> str:
+    return _OVERLAP.replace("SQUEEZED", SQL_SQUEEZE("text")).replace("LIMIT", str(limit)).replace("OVER", str(over))
+
+
+@query("chunk_overlap", _sql_overlap(chunk.OVERLAP_LIMIT, chunk.OVERLAP_WORDS))
+def _chunk_overlap(spark, sf_dir):
+    return chunk.chunk_with_overlap(documents(spark, sf_dir))
+
+
+@query("chunk_overlap_small", _sql_overlap(120, 3))
+def _chunk_overlap_small(spark, sf_dir):
+    return chunk.chunk_with_overlap(documents(spark, sf_dir), limit=120, overlap=3)
+
+
+# -- HTML and catalogue ---------------------------------------------------------------------------------------
+
+_SQL_HTML = "html"
+for _p in H.INVISIBLE:
+    _SQL_HTML = sql_replace(_SQL_HTML, _p, "")
+_SQL_HTML = sql_replace(_SQL_HTML, H.TAG, " ")
+for _p, _c in H.ENTITIES:
+    _SQL_HTML = sql_replace(_SQL_HTML, _p, _c)
+_SQL_HTML = SQL_SQUEEZE(_SQL_HTML)
+
+
+@query("html_to_text", f"SELECT page_id, {_SQL_HTML} AS text FROM pages")
+def _html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.html_to_text(F.col("html")).alias("text"))
+
+
+@query("html_to_text_parsed", f"SELECT page_id, {_SQL_HTML} AS text FROM pages")
+def _html_to_text_parsed(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.html_to_text_parsed(F.col("html")).alias("text"))
+
+
+BASE = "https://example.org/catalogue/list"
+
+
+def _sql_absolute(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {c} WHEN starts_with({c}, '//') THEN 'https:' || {c} WHEN starts_with({c}, '/') THEN 'https://example.org' || {c} WHEN {c} = '' THEN '{BASE}' ELSE 'https://example.org/catalogue/' || {c} END"
+
+
+@query(
+    "html_links",
+    f"WITH l AS (SELECT page_id, regexp_extract_all(html, {quoted(H.LINK)}, 1) AS us, regexp_extract_all(html, {quoted(H.LINK)}, 2) AS ts FROM pages), "
+    "e AS (SELECT page_id, unnest(generate_series(0, len(us) - 1)) AS idx, unnest(us) AS u, unnest(ts) AS t FROM l WHERE len(us) > 0) "
+    f"SELECT page_id, idx, {SQL_STRIP(sql_replace('t', H.TAG, ''))} AS title, {_sql_absolute('u')} AS url FROM e WHERE u <> ''",
+)
+def _html_links(spark, sf_dir):
+    p = F.col("html")
+    rows = catalogue.zipped(table(spark, sf_dir, "pages"), "page_id", u=H.link_urls(p), title=H.link_titles(p))
+    return rows.filter("u <> ''").select("page_id", "idx", "title", X.absolute_url(BASE, F.col("u")).alias("url"))
+
+
+_SUFFIXED = "CASE page_id % 3 WHEN 0 THEN list_transform(us, lambda u: u || '.djvu') WHEN 1 THEN list_append(list_prepend('/a.djvu', us), '/b.pdf') ELSE us END"
+
+
+@query(
+    "preferred_link",
+    f"WITH l AS (SELECT page_id, {_SUFFIXED} AS us FROM (SELECT page_id, regexp_extract_all(html, {quoted(H.LINK)}, 1) AS us FROM pages)) "
+    "SELECT page_id, coalesce(list_filter(us, lambda u: ends_with(u, '.pdf'))[1], list_filter(us, lambda u: ends_with(u, '.djvu'))[1]) AS url FROM l",
+)
+def _preferred_link(spark, sf_dir):
+    urls = H.link_urls(F.col("html"))
+    djvu, both = F.transform(urls, lambda u: F.concat(u, F.lit(".djvu"))), F.concat(F.array(F.lit("/a.djvu")), urls, F.array(F.lit("/b.pdf")))
+    kind = F.col("page_id") % 3
+    return table(spark, sf_dir, "pages").select("page_id", H.preferred(F.when(kind == 0, djvu).when(kind == 1, both).otherwise(urls)).alias("url"))
+
+
+_ITEMS, _PARAGRAPHS = r"(?s)<li>(.*?)</li>", r"(?s)<p>(.*?)</p>"
+
+
+@query(
+    "catalogue_zip",
+    f"WITH l AS (SELECT page_id, regexp_extract_all(html, {quoted(_ITEMS)}, 1) AS x, regexp_extract_all(html, {quoted(_PARAGRAPHS)}, 1) AS y FROM pages) "
+    "SELECT page_id, idx, x[idx + 1] AS a, y[idx + 1] AS b FROM (SELECT *, unnest(generate_series(0, greatest(len(x), len(y)) - 1)) AS idx FROM l WHERE greatest(len(x), len(y)) > 0)",
+)
+def _catalogue_zip(spark, sf_dir):
+    lists = {n: F.regexp_extract_all("html", F.lit(p), F.lit(1)) for n, p in (("a", _ITEMS), ("b", _PARAGRAPHS))}
+    return catalogue.zipped(table(spark, sf_dir, "pages"), "page_id", **lists)
+
+
+_BOOKS = (
+    "concat('<div class=\"book_body_title\"><a href=\"/node/', page_id, '\"> Книга ', page_id, ' </a></div><div class=\"book_body_title\">-</div>', '<div class=\"book_body_author\">Автор(ы): Иванов ', page_id, "
+    "'</div><div class=\"book_body_author\">-</div><div class=\"book_body_izdat_full\">М.: Недра', CASE WHEN page_id % 4 = 0 THEN '' ELSE concat(', ', 1900 + page_id % 120, ' г.') END, '</div><div class=\"book_body_annot\">О ', page_id, '</div>')"
+)
+
+
+@query("catalogue_listing", "SELECT page_id, 0::BIGINT AS idx, 'Книга ' || page_id AS title, CASE WHEN page_id % 4 <> 0 THEN 1900 + page_id % 120 ELSE 0 END::INT AS year, 'Иванов ' || page_id AS author, 'https://example.org/node/' || page_id AS url, 'О ' || page_id AS abstract FROM pages")
+def _catalogue_listing(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(_BOOKS).alias("html"))
+    return catalogue.listing(pages, BASE, "page_id").fillna(0, ["year"])
+
+
+@query("year_extract", f"SELECT doc_id, coalesce(nullif(regexp_extract('М.: Недра, ' || substr(text, 1, 20) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || (1900 + doc_id % 120) || ' г.' END, {quoted(P.YEAR)}, 1), '')::INT, 0) AS year FROM documents")
+def _year_extract(spark, sf_dir):
+    line = F.concat(F.lit("М.: Недра, "), F.substring("text", 1, 20), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), (1900 + F.col("doc_id") % 120).cast("string"), F.lit(" г."))))
+    return documents(spark, sf_dir).select("doc_id", F.coalesce(X.year(line), F.lit(0)).alias("year"))
+
+
+@query("author_extract", f"SELECT doc_id, {SQL_STRIP('substr(text, 1, 30)')} AS author FROM documents")
+def _author_extract(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.author(F.concat(F.lit("Книга. Автор(ы): "), F.substring("text", 1, 30))).alias("author"))
+
+
+@query("listing_urls", "SELECT i AS page, 'https://example.org/books?page=' || i || '&field_temat=1' AS url FROM range(0, 10) t(i)")
+def _listing_urls(spark, sf_dir):
+    return spark.range(0, 10).select(F.col("id").alias("page"), X.listing_url(F.col("id"), "https://example.org/books?page=%d&field_temat=1").alias("url"))
+
+
+@query("links_per_page", f"SELECT page_id, len(regexp_extract_all(html, {quoted(H.LINK)}, 1)) AS n_links FROM pages")
+def _links_per_page(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(H.link_urls(F.col("html"))).cast("long").alias("n_links"))
+
+
+# -- paths, names and dispatch --------------------------------------------------------------------------------
+
+_WITH_SUFFIX = "'/data/in/' || (page_id % 7) || '/p.' || page_id || (CASE page_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.html' WHEN 2 THEN '.txt' WHEN 3 THEN '.docx' ELSE '.djvu' END)"
+
+
+def _suffixed_pages(spark, sf_dir):
+    suffix = F.element_at(F.array(*[F.lit(s) for s in (".PDF", ".html", ".txt", ".docx", ".djvu")]), (F.col("page_id") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("/data/in/"), (F.col("page_id") % 7).cast("string"), F.lit("/p."), F.col("page_id").cast("string"), suffix)
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+
+
+@query("format_dispatch", f"SELECT page_id, ext, CASE WHEN ext = '.html' THEN 'html' ELSE substr(ext, 2) END AS handler FROM (SELECT page_id, lower(regexp_extract({_WITH_SUFFIX}, '(\\.[^./]+)$', 1)) AS ext FROM pages) WHERE ext IN ('.pdf', '.djvu', '.html', '.htm', '.txt')")
+def _format_dispatch(spark, sf_dir):
+    return files.supported(_suffixed_pages(spark, sf_dir)).select("page_id", "ext", "handler")
+
+
+@query("path_derive", f"SELECT page_id, '/out/' || regexp_replace(substr({_WITH_SUFFIX}, 10), '\\.[^./]*$', '') || '.json' AS out_path FROM pages")
+def _path_derive(spark, sf_dir):
+    return _suffixed_pages(spark, sf_dir).select("page_id", X.output_path(F.col("path"), "/data/in", "/out").alias("out_path"))
+
+
+@query("url_parts", f"SELECT page_id, b AS basename, regexp_replace(b, '(.)\\.[^.]*$', '\\1') AS stem FROM (SELECT page_id, string_split({_WITH_SUFFIX}, '/')[-1] AS b FROM pages)")
+def _url_parts(spark, sf_dir):
+    p = F.col("path")
+    return _suffixed_pages(spark, sf_dir).select("page_id", X.basename(p).alias("basename"), X.stem(p).alias("stem"))
+
+
+@query("model_name_sanitize", "SELECT p_partkey, translate(string_split('org/' || p_name || ':v1.5%\"''' || p_partkey, '/')[-1], '/:.%\"''', '') AS clean_name FROM part")
+def _model_name_sanitize(spark, sf_dir):
+    name = F.concat(F.lit("org/"), F.col("p_name"), F.lit(":v1.5%\"'"), F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.sanitized_model_name(name).alias("clean_name"))
+
+
+@query("experiment_name", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 't' || p_partkey || '-' ELSE '' END || 'CPT-' || translate(string_split(p_name, '/')[-1], '/:.%\"''', '') AS name FROM part")
+def _experiment_name(spark, sf_dir):
+    tag = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("t"), F.col("p_partkey").cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", X.experiment_name(F.col("p_name"), "CPT", tag).alias("name"))
+
+
+_ALIASES = "['mistral-7b', 'gemma-3-1b', 'nothing', 'qwen3-14b']"
+_REGISTRY = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in runs.MODELS.items())
+
+
+@query("model_lookup", f"WITH r(alias, checkpoint) AS (VALUES {_REGISTRY}), p AS (SELECT p_partkey, {_ALIASES}[p_partkey % 4 + 1] AS alias FROM part) SELECT p_partkey, p.alias AS alias, checkpoint FROM p LEFT JOIN r ON p.alias = r.alias")
+def _model_lookup(spark, sf_dir):
+    alias = F.element_at(F.array(*[F.lit(a) for a in ("mistral-7b", "gemma-3-1b", "nothing", "qwen3-14b")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return runs.lookup_models(table(spark, sf_dir, "part").select("p_partkey", alias.alias("alias")), "alias")
+
+
+@query("profile_for_model", f"WITH r(alias, checkpoint) AS (VALUES {_REGISTRY}) SELECT alias, 'cpt-' || translate(string_split(checkpoint, '/')[-1], '/:.%\"''', '') AS name FROM r")
+def _profile_for_model(spark, sf_dir):
+    registry = runs.model_table(spark)
+    return registry.select("alias", F.concat(F.lit("cpt-"), X.sanitized_model_name(F.col("checkpoint"))).alias("name"))
+
+
+@query("config_profiles", "SELECT * FROM (VALUES " + ", ".join(f"({quoted(n)}, {quoted(s)}, {quoted(k)}, {'NULL' if v is None else quoted(str(v))})" for n in (p[0] for p in runs.PROFILES) for s, values in runs.profile(n).items() for k, v in values.items()) + ") t(name, section, key, value)")
+def _config_profiles(spark, sf_dir):
+    return runs.profile_table(spark)
+
+
+# -- data sets ------------------------------------------------------------------------------------------------
+
+@query("resume_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def _resume_anti_join(spark, sf_dir):
+    return dataset.not_done(documents(spark, sf_dir).select("doc_id"), dataset.non_empty_outputs(table(spark, sf_dir, "labels"), "doc_id"), "doc_id")
+
+
+@query("prompt_grid", "SELECT item_id, n AS max_new_tokens FROM benchmark, (VALUES (64), (128)) t(n)")
+def _prompt_grid(spark, sf_dir):
+    prompts = table(spark, sf_dir, "benchmark").select("item_id")
+    return prompts.select("item_id", F.explode(F.array(F.lit(64), F.lit(128))).alias("max_new_tokens"))
+
+
+@query("answer_extract", "SELECT doc_id, substr(text, 1, 200) AS answer FROM documents")
+def _answer_extract(spark, sf_dir):
+    prompt = F.concat(F.lit("prompt.*("), F.col("doc_id").cast("string"), F.lit(") "))
+    return documents(spark, sf_dir).select("doc_id", X.answer_after(F.concat(prompt, F.lit("x "), prompt, F.substring("text", 1, 200)), prompt).alias("answer"))
+
+
+@query("sentinel_backtick", "SELECT doc_id, text FROM (SELECT doc_id, regexp_replace(" + SQL_STRIP("text") + ", '^`+|`+$', '', 'g') AS text FROM documents WHERE doc_id % 7 <> 0) WHERE text <> ''")
+def _sentinel_backtick(spark, sf_dir):
+    answer = F.concat(F.lit(" ```"), X.strip(F.col("text")), F.when(F.col("doc_id") % 7 == 0, F.lit(" NOTHING")).otherwise(F.lit("")), F.lit("```\n"))
+    return documents(spark, sf_dir).select("doc_id", model.cleaned_answer(answer).alias("text")).filter("text <> ''")
+
+
+_A, _B, _C, _D = (quoted(x) for x in dataset.ALPACA.split("{}"))
+_LAST = lambda role: SQL_STRIP(f"coalesce(max_by(text, turn) FILTER (WHERE role = '{role}' AND text IS NOT NULL), '')")
+_SQL_INSTRUCT = f"SELECT conv_id, {_A} || {_LAST('user')} || {_B} || {_LAST('system')} || {_C} || {_LAST('assistant')} || {_D} || '{EOS_DEFAULT}' AS text FROM conversations GROUP BY conv_id"
+
+
+@query("instruct_format", _SQL_INSTRUCT)
+def _instruct_format(spark, sf_dir):
+    return dataset.instruct_format(table(spark, sf_dir, "conversations"), EOS_DEFAULT)
+
+
+@query("instruct_format_nested", _SQL_INSTRUCT)
+def _instruct_format_nested(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    nested = turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("conversations"))
+    return dataset.instruct_format_nested(nested, EOS_DEFAULT).select("conv_id", "text")
+
+
+def _sql_split(source: str, key: str, size: float) -> str:
+    return f"SELECT {key}, CASE WHEN row_number() OVER (ORDER BY md5({key} || '|{SEED}'), {key}) <= ceil(round({size} * count(*) OVER (), 9)) THEN 'test' ELSE 'train' END AS split FROM {source}"
+
+
+@query("train_test_split_10", _sql_split("documents", "doc_id", 0.1))
+def _split_10(spark, sf_dir):
+    return dataset.train_test_split(documents(spark, sf_dir).select("doc_id"), "doc_id", 0.1, SEED)
+
+
+@query("train_test_split_20", _sql_split("(SELECT DISTINCT conv_id FROM conversations)", "conv_id", 0.2))
+def _split_20(spark, sf_dir):
+    return dataset.train_test_split(table(spark, sf_dir, "conversations").select("conv_id").distinct(), "conv_id", 0.2, SEED)
+
+
+@query("preview", f"SELECT doc_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS r FROM ({_sql_split('documents', 'doc_id', 0.1)})) WHERE r <= 2")
+def _preview(spark, sf_dir):
+    return dataset.preview(dataset.train_test_split(documents(spark, sf_dir).select("doc_id"), "doc_id", 0.1, SEED), "doc_id")
+
+
+@query("head_n", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100")
+def _head_n(spark, sf_dir):
+    return dataset.head(documents(spark, sf_dir), 100, "doc_id")
+
+
+_MARKED = "chr(10) || chr(10) || '<<<PAGE ' || (turn + 1) || '>>>' || chr(10) || " + SQL_STRIP("coalesce(text, '')") + " || chr(10)"
+
+
+@query("page_concat", f"SELECT conv_id, {SQL_STRIP('string_agg(' + _MARKED + ', chr(0) ORDER BY turn)').replace('chr(0)', chr(39) * 2)} AS text FROM conversations GROUP BY conv_id")
+def _page_concat(spark, sf_dir):
+    pages = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
+    return dataset.joined_pages(pages, "conv_id", "page")
+
+
+@query("page_text_concat", f"SELECT conv_id, {SQL_SQUEEZE('string_agg(text || chr(10), chr(0) ORDER BY turn)').replace('chr(0)', chr(39) * 2)} AS text FROM conversations WHERE length(text) > 0 GROUP BY conv_id")
+def _page_text_concat(spark, sf_dir):
+    return dataset.text_of_pages(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+# -- reports --------------------------------------------------------------------------------------------------
+
+@query(
+    "memory_report",
+    "SELECT p_partkey, u AS used_gib, u - s AS training_gib, 100.0::DOUBLE * u / m AS used_percent, 100.0::DOUBLE * (u - s) / m AS training_percent, p_retailprice / 60.0 AS minutes "
+    "FROM (SELECT p_partkey, p_retailprice, (p_size * 1e9) / 1073741824.0::DOUBLE AS u, (p_size * 1e8) / 1073741824.0::DOUBLE AS s, 8e10 / 1073741824.0::DOUBLE AS m FROM part)",
+)
+def _memory_report(spark, sf_dir):
+    sized = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_size") * 1e9).alias("u"), (F.col("p_size") * 1e8).alias("s"), F.lit(8e10).alias("m"))
+    return runs.memory_report(sized, "u", "s", "m", "p_retailprice").select("p_partkey", "used_gib", "training_gib", "used_percent", "training_percent", "minutes")
+
+
+@query("parameter_share", "SELECT t AS trainable, n AS total, 100.0::DOUBLE * t / n AS percent FROM (SELECT sum(CASE WHEN p_partkey % 10 < 2 THEN p_size ELSE 0 END)::BIGINT AS t, sum(p_size)::BIGINT AS n FROM part)")
+def _parameter_share(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(x) for x in ("model.embed_tokens.weight", "embed_positions", *["layer.q_proj"] * 8)]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return runs.parameter_share(table(spark, sf_dir, "part").select(name.alias("name"), F.col("p_size").cast("long").alias("size")), "name", "size")
+
+
+@query("freeze_predicate", "SELECT flag, sum(p_size)::BIGINT AS total FROM (SELECT p_partkey % 10 < 2 AS flag, p_size FROM part) GROUP BY flag")
+def _freeze_predicate(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 10 < 2, F.lit("model.embed_tokens")).otherwise(F.lit("layer.norm"))
+    return table(spark, sf_dir, "part").groupBy(runs.trainable(name, True).alias("flag")).agg(F.sum("p_size").alias("total"))
+
+
+@query("model_family", "SELECT p_partkey, p_partkey % 2 = 0 AS gemma FROM part")
+def _model_family(spark, sf_dir):
+    name = F.concat(F.lit("unsloth/"), F.when(F.col("p_partkey") % 2 == 0, F.lit("gemma-3-1b")).otherwise(F.lit("mistral-7b")))
+    return table(spark, sf_dir, "part").select("p_partkey", runs.is_family(name).alias("gemma"))
+
+
+# -- model and files ------------------------------------------------------------------------------------------
+
+@query(
+    "model_clean_fake",
+    f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE {SQL_SQUEEZE('substr(text, 1, 100)')} END AS value, CASE WHEN doc_id % 9 = 0 THEN 'RuntimeError: the model failed' END AS error FROM documents",
+)
+def _model_clean_fake(spark, sf_dir):
+    text = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("FAIL ")).otherwise(F.lit("")), F.substring("text", 1, 100))
+    docs = documents(spark, sf_dir).select("doc_id", text.alias("text"))
+    return model.model_clean(docs, model.EchoBackend("FAIL "), pause=(0, 0, 0)).select("doc_id", "value", "error")
+
+
+@query("empty_documents", f"SELECT doc_id, len(list_filter(string_split({SQL_CLEAN('CASE WHEN doc_id % 5 = 0 THEN chr(46) || chr(32) ELSE text END')}, '.'), lambda x: trim(x) <> '')) = 0 AS nothing FROM documents")
+def _empty_documents(spark, sf_dir):
+    text = X.clean_text(F.when(F.col("doc_id") % 5 == 0, F.lit(". ")).otherwise(F.col("text")))
+    return documents(spark, sf_dir).select("doc_id", (F.size(chunk.sentence_pieces(text)) == 0).alias("nothing"))
