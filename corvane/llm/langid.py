@@ -37,6 +37,7 @@ BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
+_SPACE = np.array([32], np.uint32)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -59,14 +60,15 @@ def _letters() -> np.ndarray:
 _tables: dict[str, np.ndarray] = {}
 
 
-def codes_of(text: str) -> np.ndarray:
-    """Lower-case letters as code points, each run of other characters as one space, spaces at both ends."""
+def _mapped(text: str) -> np.ndarray:
     if "letters" not in _tables:
         _tables["letters"] = _letters()
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.empty(len(points) + 2, np.uint32)
-    codes[0] = codes[-1] = 32
-    np.take(_tables["letters"], points, out=codes[1:-1], mode="clip")
+    return np.take(_tables["letters"], np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), mode="clip")
+
+
+def codes_of(text: str) -> np.ndarray:
+    """Lower-case letters as code points, each run of other characters as one space, spaces at both ends."""
+    codes = np.concatenate([_SPACE, *(_mapped(text[k : k + BLOCK_CHARS]) for k in range(0, len(text), BLOCK_CHARS)), _SPACE])
     space = codes == 32
     keep = np.empty(len(codes), bool)
     keep[0] = True
@@ -92,13 +94,9 @@ def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 
 def blocks_of(text: str) -> Iterator[np.ndarray]:
     """Codes of the whole text in blocks that overlap by one n-gram."""
-    over = max(SIZES) - 1
-    if len(text) <= BLOCK_CHARS:
-        yield codes_of(text)
-        return
-    codes = np.concatenate([codes_of(text[k : k + BLOCK_CHARS])[1 if k else 0 : -1] for k in range(0, len(text), BLOCK_CHARS)])
+    codes = codes_of(text)
     for k in range(0, len(codes), BLOCK_CHARS):
-        yield codes[k : k + BLOCK_CHARS + over]
+        yield codes[k : k + BLOCK_CHARS + max(SIZES) - 1]
 
 
 @dataclass
@@ -123,7 +121,7 @@ class LanguageFilter:
         hits, n = np.zeros((len(SIZES), bits)), np.zeros(len(SIZES))
         for codes in blocks_of(text):
             for j, size in enumerate(SIZES):
-                masks = self.masks(gram_hashes(codes, size))
+                masks = self.masks(gram_hashes(codes[: BLOCK_CHARS + size - 1], size))
                 n[j] += len(masks)
                 if bits <= 8:
                     # every mask value once, then its bits
@@ -168,7 +166,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
         for batch in batches:
             held: dict[tuple[str, int], list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = np.concatenate([*blocks_of(text)]) if len(text) > BLOCK_CHARS else codes_of(text)
+                codes = codes_of(text)
                 for size in SIZES:
                     held.setdefault((lang, size), []).append(np.unique(gram_hashes(codes, size)))
             for (lang, size), found in held.items():

@@ -14,6 +14,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -132,8 +133,8 @@ def derive_records(responses: DataFrame, record_col: str = "record", key_col: st
             at, rows = [], []
             for k, data in enumerate(batch.column(1).to_pylist()):
                 try:
-                    found = [([h[f] for f in _FIELDS], r) for h, r in derive(data)]
-                except (ValueError, KeyError, TypeError):
+                    found = [([h[f] for f in _FIELDS], r) for h, r in derive(data or b"")]
+                except (ValueError, KeyError):
                     found = [(["error", *[None] * 6], None)]
                 for fields, r in found:
                     at.append(k)
@@ -158,22 +159,29 @@ def responses(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
     return pages.select(F.col(key_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, f"key {key_type}, record binary").withColumnRenamed("key", key_col)
 
 
+def unzipped(data: bytes) -> bytes:
+    """The content of gzip members as far as they are whole, other data as it is."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        data = member.unused_data
+    return b"".join(out) if out or data[:2] == b"\x1f\x8b" else data
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(path, place, warc_type, record) of the records of .warc and .warc.gz files; a damaged tail ends its file."""
-    import gzip
-    import zlib
-
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if data[:2] == b"\x1f\x8b":
-                    try:
-                        data = gzip.decompress(data)
-                    except (EOFError, zlib.error, gzip.BadGzipFile):
-                        continue
-                at = place = 0
+                data, at, place = unzipped(data), 0, 0
                 while at < len(data):
                     try:
                         headers, _, after = parse(data, at)

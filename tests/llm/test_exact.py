@@ -1,0 +1,90 @@
+import hashlib
+import re
+
+import pytest
+from conftest import same
+from pyspark.sql import functions as F
+
+from corvane.llm import exact_dedup, mixing
+from corvane.llm.components import components
+from corvane.llm.queries import QUERIES, oracles
+
+LONG = "word " * 200_000
+ROWS = [(1, "a b"), (2, "a \t\n b"), (5, None), (4, ""), (4, ""), (6, LONG), (3, LONG + " "), (7, LONG.replace(" ", "  ")), (None, "x"), (None, "x"), (9, "x"), (None, "only null")]
+
+
+def frame(spark, rows=ROWS):
+    return spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, keep_id string, __digest int")
+
+
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op8_poisson_mixing"])
+def test_query_equals_sql(spark, sf_dir, duck, name):
+    df = QUERIES[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    assert same(df.select(columns).collect(), duck.execute(f"SELECT {', '.join(columns)} FROM ({oracles()[name]})").fetchall())
+
+
+def test_exact_dedup_edges(spark):
+    rows = exact_dedup.exact_dedup(frame(spark)).collect()
+    assert len(rows) == len(ROWS)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.text_sha256, []).append(r)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert set(groups) == {hashlib.sha256(norm(t).encode()).hexdigest() for _, t in ROWS}
+    for own in groups.values():
+        ids = [r.doc_id for r in own if r.doc_id is not None]
+        assert {r.keep_id for r in own} == {min(ids) if ids else None}
+        assert {r.group_size for r in own} == {len(own)} and sum(r.kept for r in own) == 1
+
+
+def test_exact_dedup_empty(spark):
+    assert exact_dedup.exact_dedup(frame(spark).limit(0)).count() == 0
+
+
+def test_drop_exact_copies(spark):
+    left = exact_dedup.drop_exact_copies(frame(spark))
+    assert left.columns == ["doc_id", "text", "keep_id", "__digest"]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, 1), (False, 3), (False, 4), (False, 9), (True, 0)]
+
+
+def test_hot_text_is_merged_before_it_moves(spark):
+    """A text that all rows share is a row per task and leaf after the map side."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
+    row = exact_dedup.exact_dedup(docs).agg(F.max("group_size"), F.max("keep_id"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(row) == (3000, 0, 1)
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and "Python" not in plan
+
+
+def test_poisson_mix(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").when(F.col("id") % 100 == 1, None).otherwise("rest").alias("source"), F.lit(5).alias("copy_no"))
+    weights = spark.createDataFrame([("big", 1.0), ("rest", 3.0), (None, 1.0), ("other", 9.0)], "source string, weight double")
+    out = mixing.poisson_mix(docs, weights=weights, total_rows=50_000).persist()
+    got = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    expected = {"big": 10_000 / 1.4 * 0.5, "rest": 0, None: 0}
+    mass = 1 + 3 + 1
+    for source, w in (("big", 1), ("rest", 3), (None, 1)):
+        expected[source] = 50_000 * w / mass
+        assert abs(got[source] - expected[source]) < 6 * expected[source] ** 0.5 * 1.5
+    assert out.groupBy("doc_id").agg((F.max("n_copies") == F.count("copy_no")).alias("ok"), F.countDistinct("copy_no").alias("k"), F.max("copy_no").alias("m")).filter("NOT ok OR k <> m").isEmpty()
+    again = mixing.poisson_mix(docs.repartition(7), weights=weights, total_rows=50_000)
+    assert sorted(out.select("doc_id", "copy_no", "order_key").collect()) == sorted(again.select("doc_id", "copy_no", "order_key").collect())
+    variance = out.filter("source IS NULL").groupBy("doc_id").count().agg(F.variance("count"), F.mean("count")).first()
+    assert 0.5 < variance[0] / variance[1] < 1.7  # a rate of 75, drawn in pieces
+
+
+def test_poisson_mix_edges(spark):
+    rows = [(1, "a"), (1, "a"), (None, None), (2, "zero")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = spark.createDataFrame([("a", 1.0), (None, 1.0), ("zero", 0.0)], "source string, weight double")
+    out = mixing.poisson_mix(docs, weights=weights, total_rows=200).collect()
+    assert {r.source for r in out} == {"a", None}
+    assert mixing.poisson_mix(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, 200), (200, 300), (300, 100), (7, 500)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[k] for k in range(61)} == {0} == {got[500]} and {got[k] for k in (100, 200, 300)} == {100}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

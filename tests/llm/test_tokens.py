@@ -1,0 +1,109 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from corvane.llm import bpe, token_output
+from corvane.llm.queries import QUERIES
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.ByteBPE(PATH)
+
+
+def strings():
+    rnd = random.Random(3)
+    some = ["a", "e", " ", "  ", "\n", " \n", "\t", "é", "ß", "'s", "'", "1", "²", "Ⅷ", "͸", "Ᲊ", "\U0003fc3b", "<|endoftext|>", "<|endof", "　", "\x1c", "\x85", "the", "ing", "🙂", "-", "=", "_", "ա", "zz", "日本", "\0"]
+    yield from ("".join(rnd.choice(some) for _ in range(rnd.randint(0, 40))) for _ in range(1500))
+    yield from ("".join(rnd.choice("abcdefghinorstu") for _ in range(rnd.randint(1, 60))) for _ in range(1000))
+    yield from ("".join(chr(rnd.choice([rnd.randint(0, 0x2FF), rnd.randint(0, 0xD7FF), rnd.randint(0xE000, 0x10FFFF)])) for _ in range(30)) for _ in range(500))
+    yield from ("a" * 20_000, " " * 20_000, "=-" * 10_000, "", " ", "x   y", "a\n \n b", "a  \nb")
+
+
+def test_encoder_equals_library(codec, library):
+    for s in strings():
+        expected = library.encode(s, add_special_tokens=False).ids
+        ids = codec.encode(s)
+        assert ids.tolist() == expected, s
+        assert codec.decode(ids) == library.decode(expected, skip_special_tokens=False)
+
+
+def test_decoding_of_any_ids(codec, library):
+    rnd = random.Random(4)
+    for _ in range(300):
+        ids = [rnd.randrange(50257) for _ in range(rnd.randint(0, 20))]
+        assert codec.decode(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_memo_is_bounded():
+    memo = bpe.Memo(lambda k: k, most=10)
+    assert [memo[k] for k in range(100)] == list(range(100)) and len(memo) + len(memo.old) <= 20
+
+
+def test_op2_equals_library(spark, sf_dir, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op2_bpe"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_bpe_edges(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (None, "", "y"), (2, "ab " * 100_000, "z"), (2, "dup", "z"), (2, "dup", "z")], "doc_id long, text string, n_tokens string")
+    rows = bpe.bpe_columns(docs, PATH).collect()
+    assert len(rows) == 5 and {r.ids_sha256 for r in rows if r.n_tokens == 0} == {hashlib.sha256(b"").hexdigest()}
+    assert bpe.bpe_columns(docs.limit(0), PATH).count() == 0
+    both = bpe.decode_column(bpe.encode_column(docs, PATH), PATH)
+    assert both.filter("NOT decoded <=> coalesce(text, '')").isEmpty() and both.columns == ["doc_id", "text", "n_tokens", "token_ids", "decoded"]
+    full = bpe.encode_documents(docs, PATH)
+    assert full.columns == ["doc_id", "text", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"] and full.filter("n_tokens <> size(token_ids)").isEmpty()
+    assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 65_537])
+def test_feistel_is_a_permutation(n):
+    out = token_output.feistel(np.arange(n), n)
+    assert sorted(out.tolist()) == list(range(n))
+    if n > 100:
+        assert (out != np.arange(n)).mean() > 0.9 and (token_output.feistel(np.arange(n), n, key=1) != out).any()
+
+
+def test_token_output(spark):
+    texts = {1: "ab", 2: None, 3: "x" * 25, 4: "é" * 10}
+    docs = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id long, text string, slot int").repartition(3)
+    stored = token_output.shards(docs, length=8, shard_slots=3)
+    rows = token_output.read_slots(stored, shard_slots=3).collect()
+    expected = []
+    for k, t in texts.items():
+        ids = [*(t or "").encode(), token_output.BYTE_END]
+        expected += [(k, p, len(ids[s : s + 8]), hashlib.sha256(np.array(ids[s : s + 8], "<u2").tobytes()).hexdigest()) for p, s in enumerate(range(0, len(ids), 8))]
+    assert sorted((r.doc_id, r.part, r.n_tokens, r.ids_sha256) for r in rows) == sorted(expected)
+    assert sorted(r.slot for r in rows) == list(range(len(expected)))
+    assert all(r.shard == r.slot // 3 and r.byte_offset == r.slot % 3 * 16 for r in rows)
+    for s in stored.collect():
+        assert len(s.data) == s.n_slots * s.stride and s.first_slot == 3 * s.shard
+        last = np.frombuffer(s.data, "<u2").reshape(s.n_slots, 8)
+        assert all((last[i, n:] == token_output.BYTE_PAD).all() for i, n in enumerate(s.lengths))
+    part = token_output.read_slots(stored, 4, 7, shard_slots=3).collect()
+    assert sorted(r.slot for r in part) == [4, 5, 6] and set(part) <= set(rows)
+    assert token_output.shards(docs.limit(0)).count() == 0
+
+
+def test_op6_holds_every_token(spark, sf_dir):
+    total = QUERIES["op6_token_output"](spark, sf_dir).agg(F.sum("n_tokens"), F.countDistinct("slot"), F.max("slot")).first()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()
+    assert total[0] == docs[0] and total[1] == total[2] + 1
