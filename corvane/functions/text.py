@@ -14,25 +14,25 @@ from corvane.functions import patterns as P
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, P.ENDS, "")
+    return F.btrim(c, F.lit(P.WS_CHARACTERS))
 
 
 def dehyphenate(c: Column) -> Column:
     """Joins words that a hyphen and white space separate, left to right without overlaps."""
-    return F.when(F.contains(c, F.lit("-")), F.regexp_replace(c, P.DEHYPHENATE, "$1$2")).otherwise(c)
+    return F.when(F.rlike(c, F.lit(P.JVM_MAY_DEHYPHENATE)), F.regexp_replace(c, P.JVM_DEHYPHENATE, "$1$2")).otherwise(c)
 
 
 def collapse_ws(c: Column) -> Column:
-    return F.regexp_replace(c, P.SPACES, " ")
+    return F.regexp_replace(c, P.JVM_SPACES, " ")
 
 
 def no_space_before_punctuation(c: Column) -> Column:
-    return F.regexp_replace(c, P.BEFORE_PUNCTUATION, "$1")
+    return F.regexp_replace(c, P.JVM_BEFORE_PUNCTUATION, "$1")
 
 
 def trim_brackets(c: Column) -> Column:
     """Round brackets only."""
-    return F.regexp_replace(F.regexp_replace(c, P.AFTER_OPEN, "("), P.BEFORE_CLOSE, ")")
+    return F.regexp_replace(F.regexp_replace(c, P.AFTER_OPEN, "("), P.JVM_BEFORE_CLOSE, ")")
 
 
 def plain_quotes(c: Column) -> Column:
@@ -41,23 +41,21 @@ def plain_quotes(c: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return s.map(lambda x: None if x is None else x if unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
 
 
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return s.map(lambda x: None if x is None else x if unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC. Spark has no function for it; text below U+0300 goes to Python as null, as it is NFC already."""
-    other = F.rlike(c, F.lit(P.MAYBE_NOT_NFC))
-    return F.coalesce(_nfc(F.when(other, c)), c)
+    """Unicode NFC, for which Spark has no function. c appears once, so what comes before is computed once; text that is NFC already is only looked at."""
+    return _nfc(c)
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode NFKC; ASCII text doesn't go to Python."""
-    return F.coalesce(_nfkc(F.when(F.rlike(c, F.lit(r"[^\x00-\x7f]")), c)), c)
+    return _nfkc(c)
 
 
 def clean_text_native(c: Column) -> Column:
@@ -72,14 +70,14 @@ def clean_text(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Spaces and tabs become one space, white space before a newline goes, and with it blank lines."""
-    c = F.regexp_replace(F.translate(c, " ", " "), "[ \t]+", " ")
+    c = F.regexp_replace(F.translate(c, " ", " "), "[ \t]{2,}+|\t", " ")
     c = F.regexp_replace(c, P.BEFORE_NEWLINE, "\n")
     return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
 def squeeze_ws(c: Column) -> Column:
     """White-space separated words, joined by one space."""
-    return F.trim(F.regexp_replace(c, P.SPACES, " "))
+    return F.trim(F.regexp_replace(c, P.JVM_SPACES, " "))
 
 
 def title_header(stem: Column, markdown: Column) -> Column:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.patterns import SPACES
-from corvane.functions.text import chunk_id, strip
+from corvane.functions.text import chunk_id, squeeze_ws, strip
 
 SENTENCE_LIMIT, OVERLAP_LIMIT, OVERLAP_WORDS = 1200, 1800, 10
 _BOUNDS = "array<struct<s:int,e:int>>"
@@ -26,14 +25,13 @@ def sentence_bounds(pieces: Column, limit: int) -> Column:
     """(s, e) of greedily packed chunks. A chunk is closed when its length plus the next piece exceeds the limit (the space between isn't counted)."""
     start = F.struct(F.array().cast(_BOUNDS).alias("done"), F.lit(0).alias("s"), F.lit(0).alias("i"), F.lit(0).alias("n"))
 
-    def step(a: Column, p: Column) -> Column:
-        n = F.length(p)
+    def step(a: Column, n: Column) -> Column:
         full = a["n"] + n > limit
         done = F.when(full, F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["i"].alias("e"))))).otherwise(a["done"])
         length = F.when(full | (a["n"] == 0), n).otherwise(a["n"] + 1 + n)
         return F.struct(done.alias("done"), F.when(full, a["i"]).otherwise(a["s"]).alias("s"), (a["i"] + 1).alias("i"), length.alias("n"))
 
-    return F.aggregate(pieces, start, step, lambda a: F.when(a["n"] > 0, F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["i"].alias("e"))))).otherwise(a["done"]))
+    return F.aggregate(F.transform(pieces, F.length), start, step, lambda a: F.when(a["n"] > 0, F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["i"].alias("e"))))).otherwise(a["done"]))
 
 
 def chunk_by_sentences(df: DataFrame, text_col: str = "text", limit: int = SENTENCE_LIMIT, keep_empty: bool = False) -> DataFrame:
@@ -53,7 +51,7 @@ def chunk_by_sentences(df: DataFrame, text_col: str = "text", limit: int = SENTE
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES, -1), lambda w: w != "")
+    return F.filter(F.split(squeeze_ws(text), " ", -1), lambda w: w != "")
 
 
 def overlap_bounds(items: Column, limit: int, overlap: int) -> Column:
@@ -64,10 +62,9 @@ def overlap_bounds(items: Column, limit: int, overlap: int) -> Column:
     """
     start = F.struct(F.array().cast(_BOUNDS).alias("done"), F.lit(0).alias("s"), F.lit(0).alias("i"), F.lit(0).alias("n"))
 
-    def step(a: Column, w: Column) -> Column:
-        cost = F.length(w) + 1
+    def step(a: Column, cost: Column) -> Column:
         full = (a["n"] + cost > limit) & (a["i"] > a["s"])
-        tail = F.aggregate(F.slice(items, a["i"] - overlap + 1, overlap), F.lit(0), lambda x, y: x + F.length(y) + 1) if overlap else F.lit(0)
+        tail = F.aggregate(F.slice(items, a["i"] - overlap + 1, overlap), F.lit(0), lambda x, w: x + F.length(w) + 1) if overlap else F.lit(0)
         again = full & F.lit(overlap > 0) & (a["i"] - a["s"] > overlap)
         # the tail is only computed where a chunk closes
         kept = F.when(again, tail)
@@ -77,7 +74,7 @@ def overlap_bounds(items: Column, limit: int, overlap: int) -> Column:
         done = F.when(full, F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["i"].alias("e"))))).otherwise(a["done"])
         return F.struct(done.alias("done"), s.alias("s"), (a["i"] + 1).alias("i"), n.alias("n"))
 
-    return F.aggregate(items, start, step, lambda a: F.when(a["i"] > a["s"], F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["i"].alias("e"))))).otherwise(a["done"]))
+    return F.aggregate(F.transform(items, lambda w: F.length(w) + 1), start, step, lambda a: F.when(a["i"] > a["s"], F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["i"].alias("e"))))).otherwise(a["done"]))
 
 
 def chunk_with_overlap(df: DataFrame, text_col: str = "text", limit: int = OVERLAP_LIMIT, overlap: int = OVERLAP_WORDS) -> DataFrame:

@@ -18,6 +18,7 @@ from corvane.functions import text as X
 from corvane.operators import catalogue, chunk, dataset, model, runs
 from corvane.plans import makedataset
 from corvane.schemas import EOS_DEFAULT
+from corvane.session import spread
 from corvane.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def quoted(s: str) -> str:

