@@ -172,3 +172,13 @@ def chunk_id(position: Column) -> Column:
 def listing_url(page: Column, template: str) -> Column:
     """template has one %d for the page number."""
     return F.format_string(template, page)
+
+
+def first_words(c: Column, most: int = 2048) -> Column:
+    """At most so many white-space separated words, joined by one space: a stand-in for a tokenizer's truncation."""
+    return F.array_join(F.slice(F.split(squeeze_ws(c), " "), 1, most), " ")
+
+
+def word_count(c: Column) -> Column:
+    s = squeeze_ws(c)
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, " "))).cast("long")

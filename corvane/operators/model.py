@@ -29,6 +29,11 @@ EXTRACTION_PROMPT = (
 )
 
 
+def extraction_request(raw: Column, prompt: str = EXTRACTION_PROMPT, most: int = 400_000) -> Column:
+    """What a model gets for a document: the raw text, capped, then the instruction."""
+    return F.concat(F.lit("\n---\nRaw text:\n"), F.substring(raw, 1, most), F.lit("\n---\nInstruction:\n" + prompt))
+
+
 class HttpBackend:
     """A local text-generation server: POST {model, prompt, system, stream, options} and read "response"."""
 

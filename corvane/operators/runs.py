@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import importlib.util
+import os
 import platform
 import sys
 
@@ -142,3 +143,18 @@ def health() -> dict[str, str | None]:
     for name in ("pyspark", "pyarrow", "pandas", "numpy", "yaml", "PyPDF2", "pdfplumber", "torch"):
         found[name] = getattr(__import__(name), "__version__", "installed") if importlib.util.find_spec(name) else None
     return found
+
+
+def settings_from_env(required: tuple[str, ...] = (), optional: dict[str, str] | None = None, path: str | None = None) -> dict[str, str]:
+    """Values of environment variables, after KEY=value lines of a file if one is named (variables that are set win); a required one that is missing is an error."""
+    found: dict[str, str] = {}
+    if path and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                key, equals, value = line.strip().partition("=")
+                if equals and not key.startswith("#"):
+                    found[key.removeprefix("export ").strip()] = value.strip().strip("\"'")
+    found |= os.environ
+    if missing := [k for k in required if not found.get(k)]:
+        raise ValueError(f"not set: {', '.join(missing)}")
+    return {k: found[k] for k in required} | {k: found.get(k, v) for k, v in (optional or {}).items()}

@@ -6,6 +6,7 @@ replacements that both engines make alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +18,9 @@ from corvane.functions import rules as R
 from corvane.functions import text as X
 from corvane.operators import catalogue, chunk, dataset, model, runs
 from corvane.plans import makedataset
-from corvane.schemas import EOS_DEFAULT
-from corvane.session import spread
-from corvane.sources import files
+from corvane.schemas import CHUNK_JSON, EOS_DEFAULT
+from corvane.session import shared_dir, spread
+from corvane.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,3 +493,28 @@ def _model_clean_fake(spark, sf_dir):
 def _empty_documents(spark, sf_dir):
     text = X.clean_text(F.when(F.col("doc_id") % 5 == 0, F.lit(". ")).otherwise(F.col("text")))
     return documents(spark, sf_dir).select("doc_id", (F.size(chunk.sentence_pieces(text)) == 0).alias("nothing"))
+
+
+text_query("truncate_words", NEWLINES, lambda c: X.first_words(c, 50), lambda c: f"array_to_string(string_split({SQL_SQUEEZE(c)}, ' ')[:50], ' ')")
+
+
+@query("word_counts", f"SELECT doc_id, CASE WHEN {SQL_SQUEEZE('text')} = '' THEN 0 ELSE len(string_split({SQL_SQUEEZE('text')}, ' ')) END::BIGINT AS n_words FROM documents")
+def _word_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("n_words"))
+
+
+@query("extraction_request", f"SELECT doc_id, chr(10) || '---' || chr(10) || 'Raw text:' || chr(10) || substr(text, 1, 100) || chr(10) || '---' || chr(10) || 'Instruction:' || chr(10) || {quoted(model.EXTRACTION_PROMPT)} AS request FROM documents")
+def _extraction_request(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", model.extraction_request(F.col("text"), most=100).alias("request"))
+
+
+@query("json_roundtrip", f"WITH {_sql_sentence_chunks(SQL_CLEAN('text'))} SELECT text FROM c")
+def _json_roundtrip(spark, sf_dir):
+    path = f"{shared_dir(spark)}/corvane/json-{uuid.uuid4().hex}"
+    sinks.write_chunks(makedataset.clean_and_chunk(documents(spark, sf_dir)).select("text"), path)
+    return spark.read.schema(CHUNK_JSON).json(path)
+
+
+@query("training_table", f"SELECT doc_id, text || '{EOS_DEFAULT}' AS text, split FROM ({_sql_split('documents', 'doc_id', 0.1).replace('SELECT doc_id,', 'SELECT doc_id, text,')})")
+def _training_table(spark, sf_dir):
+    return makedataset.training_table(documents(spark, sf_dir), "doc_id", EOS_DEFAULT)

@@ -6,7 +6,7 @@ SOURCE_FILE = T.StructType().add("path", "string").add("modificationTime", "time
 DOCUMENT = T.StructType().add("path", "string").add("ext", "string").add("text", "string")
 CHUNK_JSON = T.StructType().add("text", "string")
 CHUNK = T.StructType().add("id", "string").add("text", "string")
-CHUNK_META = CHUNK_JSON.__class__([*CHUNK.fields]).add("meta", T.StructType().add("source", "string").add("start", "long").add("end", "long"))
+CHUNK_META = T.StructType([*CHUNK.fields]).add("meta", T.StructType().add("source", "string").add("start", "long").add("end", "long"))
 PAGE_TEXT = T.StructType().add("path", "string").add("page_no", "integer").add("text", "string")
 CATALOGUE = T.StructType().add("title", "string").add("year", "integer").add("author", "string").add("url", "string").add("abstract", "string")
 CONVERSATION = T.StructType().add("conversations", T.ArrayType(T.StructType().add("role", "string").add("content", "string")))

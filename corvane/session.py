@@ -9,10 +9,31 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch where the session has Spark's default: whole texts and shingle sets are large.
+BATCH_ROWS, _SPARKS = "2000", "10000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    ``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder is taken
+    for a local master (driver and executors are one process there) and otherwise an error is raised.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+    spark.sparkContext.setCheckpointDir(path)
+    return path
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers, once per application."""
+    """Make this package importable in the Python workers, once per application, and keep Arrow batches small unless the session says otherwise."""
+    if spark.conf.get(_BATCH) == _SPARKS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent

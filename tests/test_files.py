@@ -144,3 +144,32 @@ def test_no_needless_python_or_shuffle(spark, sf_dir):
     many = makedataset.clean_and_chunk(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
     assert dataset.train_test_split(spark.range(100), "id", 0.1)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+def test_command_line(spark, folder, tmp_path):
+    from corvane.__main__ import main
+
+    out = tmp_path / "out"
+    assert main(["makedataset", str(folder), str(out)]) == 0
+    assert json.loads((out / "sub" / "b.c.HTML.json").read_text(encoding="utf-8")) == [{"text": "T Hello & bye."}]
+    stamp = (out / "a.txt.json").stat().st_mtime_ns
+    assert main(["makedataset", str(folder), str(out)]) == 0 and (out / "a.txt.json").stat().st_mtime_ns == stamp
+    assert main(["trainset", "qwen3-14b", str(out), str(tmp_path / "train"), "--test-size", "0.5"]) == 0
+    rows = spark.read.parquet(str(tmp_path / "train" / "table")).collect()
+    assert sorted(r.split for r in rows) == ["test", "train"] and all(r.text.endswith("</s>") for r in rows)
+    assert main(["health"]) == 0
+    with pytest.raises(ValueError):
+        main(["makedataset", str(tmp_path / "nothing")])
+
+
+def test_settings_and_logs(tmp_path, monkeypatch):
+    from corvane.logs import get_logger
+    from corvane.operators.runs import settings_from_env
+
+    (tmp_path / ".env").write_text("# c\nKEY_ONE='a'\nexport KEY_TWO=b\n")
+    monkeypatch.setenv("KEY_TWO", "set")
+    assert settings_from_env(("KEY_ONE", "KEY_TWO"), {"KEY_THREE": "d"}, str(tmp_path / ".env")) == {"KEY_ONE": "a", "KEY_TWO": "set", "KEY_THREE": "d"}
+    with pytest.raises(ValueError):
+        settings_from_env(("KEY_NONE",))
+    get_logger("corvane-test", str(tmp_path)).info("hello")
+    assert "hello" in (tmp_path / "corvane-test.log").read_text()
