@@ -28,6 +28,8 @@ from corvane.llm.shared import stage
 
 SIDE, ROWS = 8, 2
 PERCENT = 80
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 16
 #: Bytes of text that numpy handles at once.
 CHUNK = 1 << 20
 
@@ -43,6 +45,7 @@ _BYTE[_SPACE] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODE = _BYTE[_LOWER]
+_WORDS = [f"w{k}" for k in range(BITMAP)]
 _powers = np.ones(1, np.uint64)
 
 
@@ -169,6 +172,14 @@ def _signature_rows(words: int):
     return run
 
 
+def parity_bitmaps(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(sets, BITMAP) words in which each shingle toggles one bit: two bitmaps differ in no more bits than the sets in shingles."""
+    n = len(offsets) - 1
+    places = (flat >> _U(32)) % _U(64 * BITMAP) + np.repeat(np.arange(n, dtype=np.uint64), np.diff(offsets)) * _U(64 * BITMAP)
+    odd = (np.bincount(places.astype(np.int64), minlength=n * 64 * BITMAP) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, BITMAP)
+
+
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,12 +187,21 @@ def _set_rows(words: int):
             for group in chunks(batch.column(1).to_pylist()):
                 flat, offsets = shingle_sets(group, words)
                 sets = pa.array([flat[offsets[k] : offsets[k + 1]].tobytes() for k in range(len(group))], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(group)), pa.array(np.diff(offsets)), sets], names=["id", "n", "shingles"])
+                bits = parity_bitmaps(flat, offsets)
+                bitmap = pa.StructArray.from_arrays([pa.array(bits[:, k]) for k in range(BITMAP)], names=_WORDS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(group)), pa.array(np.diff(offsets)), bitmap, sets], names=["id", "n", "bits", "shingles"])
                 done += len(group)
 
     return run
 
 
+def may_be_similar(a: str, b: str, percent: int):
+    """False only for sets (columns n and bits of the aliases) that can't be similar, by their sizes and parity bitmaps."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.bits.{w}").bitwiseXOR(F.col(f"{b}.bits.{w}"))).cast("long") for w in _WORDS), F.lit(0).cast("long"))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted distinct arrays."""
     if len(x) > len(y):
@@ -195,10 +215,11 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    # sizes first: pairs that can't be similar never carry their sets
-    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    small = sets.select("id", "n", "bits")
+    # sizes and bitmaps first: hardly any pair that isn't similar carries its sets
+    likely = pairs.join(small.alias("x"), F.col("a") == F.col("x.id")).join(small.alias("y"), F.col("b") == F.col("y.id")).filter(may_be_similar("x", "y", percent)).select("a", "b")
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +227,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     kind = sets.schema["id"].dataType.simpleString()
-    return sized.join(left.select("a", "sa"), "a").join(right.select("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return likely.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -265,13 +286,17 @@ def residual_links(open_rows: DataFrame, labels: DataFrame, sets: DataFrame, per
     apart = apart.join(labels, apart["id"] == labels["node"], "left").select("id", F.coalesce(labels["component"], apart["component"]).alias("component"))
     shared = shared_shingles(stage(apart, "minhash-apart"), sets).filter(F.col("shared") >= least(F.col("n")))
     order = Window.partitionBy("id").orderBy("held", "shingle")
-    prefix = shared.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("shared") - least(F.col("n")) + 1).select("id", "component", "n", "shared", "shingle")
+    prefix = shared.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("shared") - least(F.col("n")) + 1)
+    # of two sets the one that comes second by (n, id) can only be matched by the shorter prefix of the first
+    inner = F.col("shared") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    prefix = prefix.select("id", "component", "n", "shared", "shingle", (F.col("place") <= inner).alias("inner")).join(sets.select("id", "bits"), "id")
     prefix = stage(prefix, "minhash-prefix")
-    a, b = prefix.alias("a"), prefix.alias("b")
+    a, b = prefix.filter("inner").alias("a"), prefix.alias("b")
     near = (
-        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
+        & ((F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
         & ((100 + percent) * F.least("a.shared", "b.shared") >= percent * (F.col("a.n") + F.col("b.n")))
+        & may_be_similar("a", "b", percent)
     )
     pairs = stage(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "minhash-prefix-pairs")
     if pairs.isEmpty():
@@ -296,7 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_
     classes = stage(classes, "minhash-classes")
     members = stage(bucket_members(classes), "minhash-members")
     wanted = stage(members.select("id").distinct(), "minhash-wanted")
-    sets = stage(raw.join(wanted, "id", "left_semi").mapInArrow(_set_rows(words), f"id {kind}, n long, shingles binary"), "minhash-sets")
+    sets = stage(raw.join(wanted, "id", "left_semi").mapInArrow(_set_rows(words), f"id {kind}, n long, bits struct<{', '.join(w + ': long' for w in _WORDS)}>, shingles binary"), "minhash-sets")
 
     pairs = stage(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
     labels = components(verified(pairs, sets, percent))
