@@ -9,9 +9,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch where the session has Spark's default: whole texts and shingle sets are large.
-BATCH_ROWS, _SPARKS = "2000", "10000"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bounds of an Arrow batch where the session has Spark's defaults, as whole texts and shingle sets are large: setting, default, ours.
+BATCHES = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"),
+)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in the Python workers, once per application, and keep Arrow batches small unless the session says otherwise."""
-    if spark.conf.get(_BATCH) == _SPARKS:
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    for setting, default, own in BATCHES:
+        if spark.conf.get(setting, None) == default:
+            spark.conf.set(setting, own)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
