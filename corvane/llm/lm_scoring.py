@@ -153,6 +153,9 @@ def score(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_c
 
 
 def mark_targets(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, text, is_target) where targets lists the wanted ids."""
-    wanted = targets.select(F.col(id_col).alias("__id"), F.lit(True).alias("__wanted")).distinct()
+    """(id, text, is_target) where targets lists the wanted ids.
+
+    Always a merge join: the ids grow with the corpus, so a broadcast that small tables would get doesn't show what large ones need.
+    """
+    wanted = targets.select(F.col(id_col).alias("__id"), F.lit(True).alias("__wanted")).distinct().hint("merge")
     return docs.join(wanted, docs[id_col] == wanted["__id"], "left").select(docs[id_col], docs["text"], F.coalesce("__wanted", F.lit(False)).alias("is_target"))
