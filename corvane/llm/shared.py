@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: Tables that stage() has written and discard() hasn't deleted.
+MADE: list[str] = []
+
+
+def discard(spark: SparkSession, first: int) -> None:
+    """Deletes the tables that stage() has written since MADE had ``first`` entries, but for the last one."""
+    for path in MADE[first:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del MADE[first:-1]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
@@ -24,6 +36,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/corvane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -52,3 +52,9 @@ def test_stages_take_empty_tables(spark, sf_dir):
     for name, function in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stage(function(spark, docs, sf_dir), "empty-" + name.replace(" ", "-"))
         assert docs.count() == 0
+
+
+def test_run_leaves_one_table(spark, sf_dir):
+    before = len(corpus_pipeline.MADE)
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert len(corpus_pipeline.MADE) == before + 1 and out.count() > 0
