@@ -37,7 +37,7 @@ def extraction_request(raw: Column, prompt: str = EXTRACTION_PROMPT, most: int =
 class HttpBackend:
     """A local text-generation server: POST {model, prompt, system, stream, options} and read "response"."""
 
-    def __init__(self, url: str = "http://localhost:11434/api/generate", model: str = "pdf-cleaner", system: str = CLEANING_PROMPT, seed: int = 42, timeout: float = 600.0) -> None:
+    def __init__(self, url: str = "http://localhost:11434/api/generate", model: str = "text-cleaner", system: str = CLEANING_PROMPT, seed: int = 42, timeout: float = 600.0) -> None:
         self.url, self.timeout = url, timeout
         self.fixed = {"model": model, "system": system, "stream": False, "options": {"seed": seed}}
 

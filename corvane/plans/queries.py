@@ -297,9 +297,9 @@ def _author_extract(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.author(F.concat(F.lit("Книга. Автор(ы): "), F.substring("text", 1, 30))).alias("author"))
 
 
-@query("listing_urls", "SELECT i AS page, 'https://example.org/books?page=' || i || '&field_temat=1' AS url FROM range(0, 10) t(i)")
+@query("listing_urls", "SELECT i AS page, 'https://example.org/books?page=' || i || '&topic=1' AS url FROM range(0, 10) t(i)")
 def _listing_urls(spark, sf_dir):
-    return spark.range(0, 10).select(F.col("id").alias("page"), X.listing_url(F.col("id"), "https://example.org/books?page=%d&field_temat=1").alias("url"))
+    return spark.range(0, 10).select(F.col("id").alias("page"), X.listing_url(F.col("id"), "https://example.org/books?page=%d&topic=1").alias("url"))
 
 
 @query("links_per_page", f"SELECT page_id, len(regexp_extract_all(html, {quoted(H.LINK)}, 1)) AS n_links FROM pages")
