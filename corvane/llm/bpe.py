@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: The byte-level pre-tokenisation pattern (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each of the two generations of a memory; the older one is dropped when the newer is full.
-MEMO = 160_000
+MEMO = 250_000
 #: No token of the known byte-level files is longer.
 LONG = 256
 #: Punctuation that ends a word.
