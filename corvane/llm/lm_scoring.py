@@ -1,19 +1,23 @@
 """Cross-entropy difference scoring with matched n-gram language models.
 
 A target model (documents marked as wanted) and a background model (all documents) are bigram models over
-one vocabulary: words are hashed into UNIGRAMS buckets and word pairs into BIGRAMS buckets, the same for both. Background counts are
-scaled to the target's number of tokens, so both are smoothed alike. Each token's loss under both models gives
-a difference; the mean over a document's tokens is its score (lower: more like the target).
+one vocabulary, the words of all documents. Words and word pairs are counted as they are: each n-gram has its own
+key, a 63-bit hash and a bit that tells pairs from words. Background counts are scaled to the target's
+number of tokens, so both are smoothed alike. Each token's loss under both models gives a difference; the mean over
+a document's tokens is its score (lower: more like the target).
 
-Every document is counted. A task adds its counts into arrays of fixed size and hands them on in pieces; pieces of
-the same buckets are summed as they stream by. So the counts gathered grow with the input, while the model that
-goes to the executors always has the same size.
+The counts are a table in the shared folder that grows with the corpus: a row holds the sorted keys of one
+range of hashes (a part). Texts are handled in blocks of about ``BLOCK`` bytes. A block sends each of its n-grams once to the
+n-gram's part, however often it occurs, so a frequent n-gram has no more rows in a task than there are blocks. For
+scoring, parts answer with the counts of a block's n-grams, and the answers meet the block's texts again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,99 +27,155 @@ from pyspark.sql import functions as F
 from corvane.llm.minhash import chunks, mixed, word_hashes
 from corvane.llm.shared import stage
 
-UNIGRAM_BITS, BIGRAM_BITS = 17, 20
-UNIGRAMS, BIGRAMS = 1 << UNIGRAM_BITS, 1 << BIGRAM_BITS
-#: Buckets of a piece.
-PIECE = 1 << 14
+#: Bytes of text of a block, and of all texts for each part (which sets the number of parts).
+BLOCK, PART_BYTES = 1 << 23, 1 << 24
 #: Weight of the unigram model in a bigram's estimate, and of the uniform one in a unigram's.
 BACKOFF, FLOOR = 4.0, 0.5
 _START = np.uint64(0xA0761D6478BD642F)
 _PAIR = np.uint64(0xE7037ED1A0B428DB)
+_ONE = np.uint64(1)
+#: The key of what stands before a text's first word; its count is that of the texts with words.
+_START_KEY = np.uint64(_START & ~_ONE)
 
 
-def token_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per token of all texts: buckets of the token, of the token before and of the pair; and the offsets of the texts."""
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    starts, hashes = word_hashes(b"\n".join(texts) + b"\n")
-    offsets = np.searchsorted(starts, np.concatenate([[0], ends]))
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[offsets[:-1][np.diff(offsets) > 0]] = _START
-    shift = np.uint64(64 - UNIGRAM_BITS)
-    pair = mixed(before * _PAIR + hashes) >> np.uint64(64 - BIGRAM_BITS)
-    return (hashes >> shift).astype(np.int64), (before >> shift).astype(np.int64), pair.astype(np.int64), offsets
+def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per token of all texts: keys of the token, of the token before and of the pair; and the offsets of the texts."""
+    own, before, pair, offsets = [], [], [], [np.zeros(1, np.int64)]
+    for group in chunks(texts):
+        ends = np.cumsum([len(t) + 1 for t in group])
+        starts, hashes = word_hashes(b"\n".join(group) + b"\n")
+        at = np.searchsorted(starts, np.concatenate([[0], ends]))
+        previous = np.empty_like(hashes)
+        previous[1:] = hashes[:-1]
+        previous[at[:-1][np.diff(at) > 0]] = _START
+        own.append(hashes & ~_ONE)
+        before.append(previous & ~_ONE)
+        pair.append(mixed(previous * _PAIR + hashes) | _ONE)
+        offsets.append(at[1:] + offsets[-1][-1])
+    whole = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (own, before, pair)]
+    return (*whole, np.concatenate(offsets))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of a task's counts: model (0 background, 1 target), first bucket (bigrams after unigrams), counts."""
-    totals = [None, None]
-    for batch in batches:
-        texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at = 0
-        for group in chunks(texts):
-            own, _, pair, offsets = token_buckets(group)
-            flags = np.repeat(np.array(wanted[at : at + len(group)], bool), np.diff(offsets))
-            at += len(group)
-            for model, part in ((0, slice(None)), (1, flags)):
-                if model and not flags.any():
-                    continue
-                if totals[model] is None:
-                    totals[model] = np.zeros(UNIGRAMS + BIGRAMS, np.int64)
-                totals[model][:UNIGRAMS] += np.bincount(own[part], minlength=UNIGRAMS)
-                totals[model][UNIGRAMS:] += np.bincount(pair[part], minlength=BIGRAMS)
-    yield from _pieces({(m, k): t[k : k + PIECE] for m, t in enumerate(totals) if t is not None for k in range(0, UNIGRAMS + BIGRAMS, PIECE)})
-
-
-def _pieces(counts: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for (model, first), values in counts.items():
-        if values.any():
-            small = values.astype(np.uint32) if values.max() < 1 << 32 else values
-            yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([first], pa.int64()), pa.array([small.tobytes()], pa.binary())], names=["model", "first", "counts"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal pieces, added as they come."""
-    held: dict[tuple[int, int], np.ndarray] = {}
+def counted(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and for each the sum of its weights."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return (keys[first], *(np.add.reduceat(w[order], first) if len(first) else w[:0] for w in weights))
+
+
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Byte planes of unsigned integers (rising: of their differences), compressed."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
+
+
+def unpacked(raw: bytes, rising: bool = False) -> np.ndarray:
+    n = int.from_bytes(raw[-8:], "little")
+    planes = np.frombuffer(pa.decompress(raw[:-8], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
+    return np.cumsum(values, dtype=np.uint64) if rising else values
+
+
+def parts_of(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The parts of sorted keys, without empty ones."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.searchsorted(part, np.arange((1 << bits) + 1))
+    for k in np.flatnonzero(np.diff(at)):
+        yield int(k), slice(int(at[k]), int(at[k + 1]))
+
+
+def part_bits(documents: DataFrame, text_col: str = "text") -> int:
+    """Parts (as a power of two) for the texts of documents."""
+    size = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(3, (size // PART_BYTES).bit_length())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Array]]:
+    """Texts of the first column in blocks, and the second column's values."""
+    texts, held, size = [], [], 0
     for batch in batches:
+        first = 0
         for k in range(batch.num_rows):
-            key = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            raw = batch.column(2)[k].as_py()
-            values = np.frombuffer(raw, np.uint32 if len(raw) == 4 * PIECE else np.int64)
-            held[key] = held[key] + values if key in held else values.astype(np.int64)
-    yield from _pieces(held)
+            texts.append(batch.column(0)[k].as_py())
+            size += len(texts[-1])
+            if size >= BLOCK:
+                yield texts, pa.concat_arrays([*held, batch.column(1).slice(first, k + 1 - first)])
+                texts, held, size, first = [], [], 0, k + 1
+        held.append(batch.column(1).slice(first))
+    if texts:
+        yield texts, pa.concat_arrays(held)
+
+
+def _raw(text_col: str):
+    return F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("raw")
 
 
 @dataclass
 class MatchedModels:
-    """Counts of both models, the background's scaled to the target's mass."""
+    """Counts of both models: a table of parts, and the sums over it. The background's counts are scaled to the target's mass."""
 
-    unigrams: np.ndarray  # (2, UNIGRAMS) float32
-    bigrams: np.ndarray  # (2, BIGRAMS) float32
+    table: DataFrame  # part, keys, background, target
+    bits: int
+    mass: tuple[int, int]  # tokens: background, target
+    texts: tuple[int, int]  # texts with words
+    words: int  # distinct words
 
-    def losses(self, own: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per-token losses in nats: background, target."""
-        out = []
-        for m in range(2):
-            one = self.unigrams[m]
-            mass = float(one.sum(dtype=np.float64))
-            p1 = (one[own] + FLOOR) / (mass + FLOOR * UNIGRAMS)
-            out.append(-np.log((self.bigrams[m][pair] + BACKOFF * p1) / (np.maximum(one[before], self.bigrams[m][pair]) + BACKOFF)))
-        return out[0], out[1]
-
-
-def fit(documents: DataFrame, text_col: str = "text", target_col: str = "is_target") -> MatchedModels:
-    """Both models from all documents; target_col marks the target's."""
-    rows = documents.select(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("raw"), F.coalesce(F.col(target_col).cast("boolean"), F.lit(False)).alias("wanted"))
-    kind = "model int, first long, counts binary"
-    summed = stage(rows.mapInArrow(_count, kind).repartition("first").mapInArrow(_add, kind), "lm-counts")
-    total = np.zeros((2, UNIGRAMS + BIGRAMS))
-    for row in summed.toLocalIterator():  # at most one row per model and piece
-        values = np.frombuffer(row["counts"], np.uint32 if len(row["counts"]) == 4 * PIECE else np.int64)
-        total[row["model"], row["first"] : row["first"] + PIECE] += values
-    mass = total[:, :UNIGRAMS].sum(1)
-    if mass[0] and mass[1]:
-        total[0] *= mass[1] / mass[0]
-    return MatchedModels(total[:, :UNIGRAMS].astype(np.float32), total[:, UNIGRAMS:].astype(np.float32))
+    @property
+    def scale(self) -> tuple[float, float]:
+        return (self.mass[1] / self.mass[0] if all(self.mass) else 1.0), 1.0
+
+    @cached_property
+    def _counts(self) -> tuple[np.ndarray, np.ndarray]:
+        rows = [[unpacked(bytes(r[c]), c == "keys") for c in ("keys", "background", "target")] for r in self.table.orderBy("part").collect()]
+        keys, *counts = (np.concatenate([np.zeros(0, np.uint64), *(r[k] for r in rows)]) for k in range(3))
+        scaled = np.stack([c * s for c, s in zip(counts, self.scale, strict=True)])
+        pair = (keys & _ONE).astype(bool)
+        return scaled[:, ~pair & (keys != _START_KEY)], scaled[:, pair]
+
+    @property
+    def unigrams(self) -> np.ndarray:
+        """(2, words), on the driver: for small models only."""
+        return self._counts[0]
+
+    @property
+    def bigrams(self) -> np.ndarray:
+        """(2, pairs), on the driver: for small models only."""
+        return self._counts[1]
+
+
+def fit(documents: DataFrame, text_col: str = "text", target_col: str = "is_target", bits: int | None = None) -> MatchedModels:
+    """Both models from all documents; target_col marks the target's. bits: as part_bits() has it, by default from documents."""
+    bits = part_bits(documents, text_col) if bits is None else bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, flags in _blocks(batches):
+            own, _, pair, offsets = token_keys(texts)
+            wanted, n = np.array(flags.to_pylist(), bool), np.diff(offsets)
+            full, of = n > 0, np.repeat(wanted, n)
+            keys = np.concatenate([own, pair, np.full(full.sum(), _START_KEY)])
+            keys, background, target = counted(keys, np.ones(len(keys), np.int64), np.concatenate([of, of, wanted[full]]).astype(np.int64))
+            rows = [(k, packed(keys[at], True), packed(background[at]), packed(target[at])) for k, at in parts_of(keys, bits)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "keys", "background", "target"])
+
+    def add(part: pa.Table) -> pa.Table:
+        columns = [[unpacked(x, k == 1) for x in part.column(k).to_pylist()] for k in range(1, 4)]
+        keys, background, target = counted(*(np.concatenate(c) for c in columns))
+        start, word = keys == _START_KEY, (keys & _ONE) == 0
+        word &= ~start
+        sums = [int(x[at].sum()) for at in (word, start) for x in (background, target)]
+        row = [part.column(0)[0].as_py(), packed(keys, True), packed(background), packed(target), *sums, int(word.sum())]
+        return pa.table([[x] for x in row], schema=pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("keys", "background", "target")), *((n, pa.int64()) for n in sums_of)]))
+
+    sums_of = ["mass_background", "mass_target", "texts_background", "texts_target", "words"]
+    rows = documents.select(_raw(text_col), F.coalesce(F.col(target_col).cast("boolean"), F.lit(False)).alias("wanted"))
+    kind = "part int, keys binary, background binary, target binary"
+    table = stage(rows.mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind + "".join(f", {n} long" for n in sums_of)), "lm-counts")
+    b, t, texts_b, texts_t, words = (x or 0 for x in table.agg(*(F.sum(n) for n in sums_of)).first())
+    return MatchedModels(table.select("part", "keys", "background", "target"), bits, (b, t), (texts_b, texts_t), words)
 
 
 def score(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,33 +183,80 @@ def score(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_c
 
     Texts without words (null, empty, blank) have 0 tokens and null losses and score. Repeated rows get equal
     values; an empty table gives an empty result; other columns are ignored. Without target documents the
-    target model is the uniform one.
+    target model is the uniform one over the words of all documents and one for all others.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # 8 * (UNIGRAMS + BIGRAMS) bytes, whatever the input
+    bits, scale, mass, first, words = models.bits, models.scale, models.mass, models.texts, models.words + 1
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, ids in _blocks(batches):
+            whole = b"".join(texts)
+            lengths = pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))
+            held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), held, lengths, pa.array([len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)], pa.binary())], names=["block", "ids", "lengths", "texts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_models = sent.value
+    def keys_of(lengths: list[int], raw: bytes) -> tuple[np.ndarray, ...]:
+        whole = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+        ends = np.cumsum(lengths)
+        return token_keys([whole[e - n : e] for e, n in zip(ends.tolist(), lengths, strict=True)])
+
+    def distinct(own: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.unique(own), np.unique(pair)])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = 0
-            for group in chunks(batch.column(1).to_pylist()):
-                own, before, pair, offsets = token_buckets(group)
-                n = np.diff(offsets)
-                full = np.flatnonzero(n)
-                means = []
-                for loss in own_models.losses(own, before, pair):
-                    mean = np.zeros(len(group))
-                    if len(full):
-                        mean[full] = np.add.reduceat(loss.astype(np.float64), offsets[full]) / n[full]
-                    means.append(mean)
-                none = n == 0
-                background, target = means
-                columns = [pa.array(x, pa.float64(), mask=none) for x in (target, background, target - background)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(group)), pa.array(n.astype(np.int64)), *columns], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
-                done += len(group)
-
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("raw"))
-    return rows.mapInArrow(run, f"id {id_type}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+            for name, lengths, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own, _, pair, _ = keys_of(lengths, raw)
+                keys = np.sort(distinct(own, pair))
+                rows = [(k, name, packed(keys[at], True)) for k, at in parts_of(keys, bits)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["part", "block", "asked"])
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        known = [unpacked(held.column(k)[0].as_py(), k == 1) for k in (1, 2, 3)] if held.num_rows else [np.zeros(0, np.uint64)] * 3
+        out = []
+        for part, name, raw in zip(*(asked.column(k).to_pylist() for k in range(3)), strict=True):
+            keys = unpacked(raw, True)
+            at = np.searchsorted(known[0], keys)
+            found = at < len(known[0])
+            found[found] = known[0][at[found]] == keys[found]
+            counts = np.zeros((2, len(keys)), np.uint64)
+            for m in range(2):
+                counts[m, found] = known[1 + m][at[found]]
+            out.append((name, part, packed(counts[0]), packed(counts[1])))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "part", "background", "target"])
+
+    def losses(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        ids = blocks.column(1).combine_chunks().flatten()
+        own, before, pair, offsets = keys_of(blocks.column(2)[0].as_py(), blocks.column(3)[0].as_py())
+        n = np.diff(offsets)
+        full = np.flatnonzero(n)
+        keys = np.sort(distinct(own, pair))
+        order = np.argsort(answers.column(1).to_numpy())
+        at_own, at_pair = np.searchsorted(keys, own), np.searchsorted(keys, pair)
+        at_before = np.searchsorted(keys, before) % max(1, len(keys))
+        starts = before == _START_KEY
+        means = []
+        for m in range(2):
+            raw = answers.column(2 + m)
+            counts = np.concatenate([np.zeros(0), *(unpacked(raw[int(k)].as_py()) for k in order)]) * scale[m]
+            p1 = (counts[at_own] + FLOOR) / (mass[m] * scale[m] + FLOOR * words)
+            history = np.where(starts, first[m] * scale[m], counts[at_before]) if len(keys) else np.zeros(0)
+            loss = -np.log((counts[at_pair] + BACKOFF * p1) / (history + BACKOFF))
+            mean = np.zeros(len(n))
+            if len(full):
+                mean[full] = np.add.reduceat(loss, offsets[full]) / n[full]
+            means.append(mean)
+        background, target = means
+        columns = [pa.array(x, pa.float64(), mask=n == 0) for x in (target, background, target - background)]
+        return pa.table([ids, pa.array(n.astype(np.int64)), *columns], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    rows = docs.select(_raw(text_col), F.col(id_col).alias("id"))
+    blocks = stage(rows.mapInArrow(block, f"block string, ids array<{id_type}>, lengths array<long>, texts binary"), "lm-blocks")
+    asked = blocks.select("block", "lengths", "texts").mapInArrow(ask, "part int, block string, asked binary")
+    answers = asked.groupBy("part").cogroup(models.table.groupBy("part")).applyInArrow(answer, "block string, part int, background binary, target binary")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(losses, f"id {id_type}, n_tokens long, target_loss double, background_loss double, score double")
+    return scored.withColumnRenamed("id", id_col)
 
 
 def mark_targets(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -124,3 +125,32 @@ def test_lm_scoring_edges(spark):
     assert [r.n_tokens for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id))] == [0, 0, 2, 2, 100_000]
     assert all((r.score is None) == (r.n_tokens == 0) for r in rows)
     assert lm_scoring.score(docs.limit(0), lm_scoring.fit(docs.limit(0))).count() == 0
+
+
+def test_op4_equals_brute_force(spark):
+    # more distinct pairs and words than 2 ** 20 and 2 ** 17: every n-gram has a count of its own
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{min(int(rnd.expovariate(1 / 60_000)), 400_000)}" for _ in range(3_000)), i % 3 == 0) for i in range(400)] + [(400, None, True), (401, "W1 w1\tw1 ", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean").repartition(4)
+    models = lm_scoring.fit(docs)
+    words, pairs, texts = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    split = {i: WORDS.findall((t or "").translate(LOWER)) for i, t, _ in rows}
+    for i, _, wanted in rows:
+        for m in range(1 + wanted):
+            words[m].update(split[i])
+            pairs[m].update(zip([None, *split[i]], split[i]))
+            texts[m] += bool(split[i])
+    mass = [c.total() for c in words]
+    assert models.mass == tuple(mass) and models.words == len(words[0]) > 1 << 17 and models.bigrams.shape[1] == len(pairs[0]) > 1 << 20
+    scale, v = [mass[1] / mass[0], 1.0], len(words[0]) + 1
+    for r in lm_scoring.score(docs, models).collect():
+        own = split[r.doc_id]
+        if not own:
+            assert r.score is None
+            continue
+        mean = []
+        for m in range(2):
+            p1 = {w: (words[m][w] * scale[m] + 0.5) / (mass[1] + 0.5 * v) for w in own}
+            before = lambda w: (texts[m] if w is None else words[m][w]) * scale[m]  # noqa: B023, E731
+            mean.append(sum(-np.log((pairs[m][a, b] * scale[m] + 4 * p1[b]) / (before(a) + 4)) for a, b in zip([None, *own], own)) / len(own))
+        assert np.allclose([r.background_loss, r.target_loss, r.score], [*mean, mean[1] - mean[0]], rtol=1e-9)
