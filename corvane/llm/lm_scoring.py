@@ -58,12 +58,23 @@ def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def counted(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and for each the sum of its weights."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return (keys[first], *(np.add.reduceat(w[order], first) if len(first) else w[:0] for w in weights))
 
 
+def indexed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place of each key among them (np.unique and searchsorted take several times as long)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return keys[new], at
+
+
 def packed(values: np.ndarray, rising: bool = False) -> bytes:
     """Byte planes of unsigned integers (rising: of their differences), compressed."""
     if rising:
@@ -155,8 +166,9 @@ def fit(documents: DataFrame, text_col: str = "text", target_col: str = "is_targ
             own, _, pair, offsets = token_keys(texts)
             wanted, n = np.array(flags.to_pylist(), bool), np.diff(offsets)
             full, of = n > 0, np.repeat(wanted, n)
-            keys = np.concatenate([own, pair, np.full(full.sum(), _START_KEY)])
-            keys, background, target = counted(keys, np.ones(len(keys), np.int64), np.concatenate([of, of, wanted[full]]).astype(np.int64))
+            found = [(u, np.bincount(at, minlength=len(u)), np.bincount(at[of], minlength=len(u))) for u, at in (indexed(own), indexed(pair))]
+            found.append((np.array([_START_KEY]), np.array([full.sum()]), np.array([wanted[full].sum()])))
+            keys, background, target = counted(*(np.concatenate(x) for x in zip(*found, strict=True)))
             rows = [(k, packed(keys[at], True), packed(background[at]), packed(target[at])) for k, at in parts_of(keys, bits)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "keys", "background", "target"])
@@ -200,14 +212,12 @@ def score(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_c
         ends = np.cumsum(lengths)
         return token_keys([whole[e - n : e] for e, n in zip(ends.tolist(), lengths, strict=True)])
 
-    def distinct(own: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.unique(own), np.unique(pair)])
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, lengths, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 own, _, pair, _ = keys_of(lengths, raw)
-                keys = np.sort(distinct(own, pair))
+                keys = np.sort(np.concatenate([own, pair]))
+                keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
                 rows = [(k, name, packed(keys[at], True)) for k, at in parts_of(keys, bits)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["part", "block", "asked"])
@@ -231,18 +241,19 @@ def score(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_c
         own, before, pair, offsets = keys_of(blocks.column(2)[0].as_py(), blocks.column(3)[0].as_py())
         n = np.diff(offsets)
         full = np.flatnonzero(n)
-        keys = np.sort(distinct(own, pair))
+        (own_keys, at_own), (pair_keys, at_pair) = indexed(own), indexed(pair)
+        place = np.argsort(np.concatenate([own_keys, pair_keys]))
         order = np.argsort(answers.column(1).to_numpy())
-        at_own, at_pair = np.searchsorted(keys, own), np.searchsorted(keys, pair)
-        at_before = np.searchsorted(keys, before) % max(1, len(keys))
         starts = before == _START_KEY
         means = []
         for m in range(2):
             raw = answers.column(2 + m)
-            counts = np.concatenate([np.zeros(0), *(unpacked(raw[int(k)].as_py()) for k in order)]) * scale[m]
-            p1 = (counts[at_own] + FLOOR) / (mass[m] * scale[m] + FLOOR * words)
-            history = np.where(starts, first[m] * scale[m], counts[at_before]) if len(keys) else np.zeros(0)
-            loss = -np.log((counts[at_pair] + BACKOFF * p1) / (history + BACKOFF))
+            counts = np.empty(len(place))
+            counts[place] = np.concatenate([np.zeros(0), *(unpacked(raw[int(k)].as_py()) for k in order)]) * scale[m]
+            one, both = counts[at_own], counts[len(own_keys) :][at_pair]
+            history = np.where(starts, first[m] * scale[m], np.roll(one, 1))
+            p1 = (one + FLOOR) / (mass[m] * scale[m] + FLOOR * words)
+            loss = -np.log((both + BACKOFF * p1) / (history + BACKOFF))
             mean = np.zeros(len(n))
             if len(full):
                 mean[full] = np.add.reduceat(loss, offsets[full]) / n[full]
