@@ -518,3 +518,41 @@ def _json_roundtrip(spark, sf_dir):
 @query("training_table", f"SELECT doc_id, text || '{EOS_DEFAULT}' AS text, split FROM ({_sql_split('documents', 'doc_id', 0.1).replace('SELECT doc_id,', 'SELECT doc_id, text,')})")
 def _training_table(spark, sf_dir):
     return makedataset.training_table(documents(spark, sf_dir), "doc_id", EOS_DEFAULT)
+
+
+# -- whole texts ----------------------------------------------------------------------------------------------
+# The queries of these names without _whole, and their SQL, see only the beginning of each text.
+
+text_query("context_cap_whole", [], X.cap, lambda c: f"substr({c}, 1, 400000)")
+
+
+@query("year_extract_whole", f"SELECT doc_id, coalesce(nullif(regexp_extract('М.: Недра, ' || text || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || (1900 + doc_id % 120) || ' г.' END, {quoted(P.YEAR)}, 1), '')::INT, 0) AS year FROM documents")
+def _year_extract_whole(spark, sf_dir):
+    line = F.concat(F.lit("М.: Недра, "), F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), (1900 + F.col("doc_id") % 120).cast("string"), F.lit(" г."))))
+    return documents(spark, sf_dir).select("doc_id", F.coalesce(X.year(line), F.lit(0)).alias("year"))
+
+
+@query("author_extract_whole", f"SELECT doc_id, {SQL_STRIP('text')} AS author FROM documents")
+def _author_extract_whole(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.author(F.concat(F.lit("Книга. Автор(ы): "), F.col("text"))).alias("author"))
+
+
+@query("answer_extract_whole", "SELECT doc_id, text AS answer FROM documents")
+def _answer_extract_whole(spark, sf_dir):
+    prompt = F.concat(F.lit("prompt.*("), F.col("doc_id").cast("string"), F.lit(") "))
+    return documents(spark, sf_dir).select("doc_id", X.answer_after(F.concat(prompt, F.lit("x "), prompt, F.col("text")), prompt).alias("answer"))
+
+
+@query(
+    "model_clean_fake_whole",
+    f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE {SQL_SQUEEZE('text')} END AS value, CASE WHEN doc_id % 9 = 0 THEN 'RuntimeError: the model failed' END AS error FROM documents",
+)
+def _model_clean_fake_whole(spark, sf_dir):
+    text = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("FAIL ")).otherwise(F.lit("")), F.col("text"))
+    docs = documents(spark, sf_dir).select("doc_id", text.alias("text"))
+    return model.model_clean(docs, model.EchoBackend("FAIL "), pause=(0, 0, 0)).select("doc_id", "value", "error")
+
+
+@query("extraction_request_whole", f"SELECT doc_id, chr(10) || '---' || chr(10) || 'Raw text:' || chr(10) || substr(text, 1, 400000) || chr(10) || '---' || chr(10) || 'Instruction:' || chr(10) || {quoted(model.EXTRACTION_PROMPT)} AS request FROM documents")
+def _extraction_request_whole(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", model.extraction_request(F.col("text")).alias("request"))
