@@ -32,7 +32,10 @@ STOP_WORDS = frozenset(
     """.split()
 )
 # Names of HTML elements.
-RAW = ("script", "style", "noscript", "template", "title", "textarea", "svg", "math", "iframe", "object", "select", "button", "canvas", "audio", "video")
+#: Raw text, which without an end tag goes on to the end of the page; other elements whose content is left out; those of them that can close themselves.
+RAW = ("script", "style", "textarea", "title")
+SKIPPED = frozenset(["noscript", "template", "svg", "math", "iframe", "object", "select", "button", "canvas", "audio", "video"])
+FOREIGN = frozenset(["svg", "math"])
 BOILERPLATE = frozenset(["nav", "footer", "aside", "form", "menu", "dialog"])
 CONTENT = frozenset(["article", "main"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
@@ -56,13 +59,13 @@ LINKS_MOST = 0.3
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))",
     re.S | re.I,
 )
-_HINTED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD_EDGE = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _SPLIT_HINT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -77,18 +80,49 @@ class Block:
     label: str = ""
 
 
-def hinted(attrs: str) -> bool:
-    """Whether class, id or role names a kind of boilerplate."""
-    for m in _HINTED.finditer(attrs):
-        if any(w.lower() in HINTS for w in _SPLIT_HINT.split(m.group(1)) if w):
-            return True
-    return False
+def marks(attrs: str) -> tuple[bool, bool]:
+    """Whether class, id or role names a kind of boilerplate, and whether the element is hidden."""
+    named = hidden = False
+    for m in _ATTRIBUTE.finditer(attrs):
+        key, value = m[1].lower(), m[2] or ""
+        if key in ("class", "id", "role"):
+            named = named or any(w.lower() in HINTS for w in _SPLIT_HINT.split(value) if w)
+        elif key == "hidden" or key == "aria-hidden" and value.strip("\"'").lower() == "true" or key == "style" and _UNSEEN.search(value):
+            hidden = True
+    return named, hidden
+
+
+def skipped(tags: list[re.Match[str]]) -> dict[int, int]:
+    """Where SKIPPED elements begin and end; one without its end tag inside its parent isn't there, so nothing after it is lost."""
+    spans: dict[int, int] = {}
+    if not any((m["name"] or "").lower() in SKIPPED for m in tags):
+        return spans
+    open_tags: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    for m in tags:
+        name = (m["name"] or "").lower()
+        if name not in SKIPPED and (name not in BLOCKS or name in ("p", "hr")):
+            continue
+        if not m["end"]:
+            if not (name in FOREIGN and m["attrs"].endswith("/>")):
+                open_tags.append((name, m.start()))
+                count[name] = count.get(name, 0) + 1
+        elif count.get(name):
+            while True:
+                other, start = open_tags.pop()
+                count[other] -= 1
+                if other == name:
+                    break
+            if name in SKIPPED:
+                spans[start] = m.end()
+    return spans
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, boilerplate, content element
+    # open elements: name, boilerplate, content element, boilerplate by class names only
+    stack: list[tuple[str, bool, int, bool]] = []
     parts: list[str] = []
     link_parts: list[str] = []
     in_link = heading = False
@@ -100,12 +134,16 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(html.unescape("".join(link_parts)).split()))
-                _, bad, content = stack[-1] if stack else ("", False, 0)
-                blocks.append(Block(text, links, bad, content, heading))
+                _, bad, content, wrapped = stack[-1] if stack else ("", False, 0, False)
+                blocks.append(Block(text, links, bad or wrapped, content, heading))
             parts.clear()
             link_parts.clear()
 
-    for m in _TAG.finditer(page):
+    tags = list(_TAG.finditer(page))
+    spans = skipped(tags)
+    for m in tags:
+        if m.start() < at:
+            continue  # in a skipped element
         if m.start() > at:
             parts.append(page[at : m.start()])
             if in_link:
@@ -118,13 +156,17 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
+        if name in SKIPPED:
+            at = spans.get(m.start(), at)
+            continue
         end = m["end"] == "/"
         if name == "a":
             in_link = not end
             continue
         attrs = m["attrs"]
-        marked = not end and len(attrs) > 1 and (hinted(attrs) or _HIDDEN.search(attrs) is not None) and name not in ("html", "body")
-        if name not in BLOCKS and not marked and not any(name == x for x, _, _ in stack):
+        named, hidden = marks(attrs) if not end and len(attrs) > 1 and name not in ("html", "body") else (False, False)
+        marked = named or hidden
+        if name not in BLOCKS and not marked and not any(name == x[0] for x in stack):
             continue
         flush()
         in_link = False
@@ -135,16 +177,18 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[k:]
                     break
         elif name not in VOID and name not in ("p", "hr") or marked and name == "p":
-            _, bad, content = stack[-1] if stack else ("", False, 0)
+            _, bad, content, wrapped = stack[-1] if stack else ("", False, 0, False)
             if name in CONTENT:
                 contents += 1
                 content = contents
-                marked = False  # an article's own class says nothing against it
+                wrapped = wrapped and named  # class names of an article or of its wrapper alone say nothing against it, but both do
+            else:
+                wrapped = wrapped or named
             # a page's header is boilerplate, an article's header isn't
-            bad = bad or marked or name in BOILERPLATE or name == "header" and not content
+            bad = bad or hidden or name in BOILERPLATE or name == "header" and not content
             if name in ("li", "td", "th", "dd", "dt", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-            stack.append((name, bad, content))
+            stack.append((name, bad, content, wrapped))
         elif name == "p" and stack and stack[-1][0] == "p":
             stack.pop()  # a marked paragraph without its end
     if at < len(page):

@@ -149,6 +149,23 @@ def test_odd_pages(page):
     assert html_extract.main_text(page) == ""
 
 
+ARTICLE = f"<article><p>{PARAGRAPH}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<video-player></video-player>" + ARTICLE, "<svg-icon></svg-icon>" + ARTICLE, "<button-group>" + ARTICLE, "<svg viewBox='0'/>" + ARTICLE, "<div><button>Go</div>" + ARTICLE, "<select>" + ARTICLE, "<object>" + ARTICLE + "<object>x</object>"]
+    + ["<audio src=a>" + ARTICLE, "<div><button></div>" + ARTICLE + "</button>", f"<div class='sidebar-layout'>{ARTICLE}</div>", f"<div class='overflow-hidden'>{ARTICLE}</div>", "<svg><title>t</title><text>no</text></svg>" + ARTICLE + "<button>no</button>"],
+)
+def test_nothing_of_an_article_is_cut(page):
+    assert PARAGRAPH in html_extract.main_text(page) and "no</" not in html_extract.main_text(page) and " no" not in html_extract.main_text(page).removeprefix(PARAGRAPH)
+
+
+def test_hidden_and_skipped():
+    assert all(html_extract.main_text(x) == "" for x in (f"<div hidden>{ARTICLE}</div>", f"<div style='display: none'>{ARTICLE}</div>", f"<button>{ARTICLE}</button>", f"<div class=comments><article class=comment><p>{PARAGRAPH}</p></article></div>"))
+    assert html_extract.main_text("<button>" * 50_000 + ARTICLE) == PARAGRAPH
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, None, None, "c"), (2, "u", "<p>" * 50_000, "c"), (3, "u", f"<article><p>{PARAGRAPH * 500}</article>", "c"), (3, "u", "", "c")], "page_id long, url string, html string, text string")
     out = html_extract.extract_columns(pages)
