@@ -48,20 +48,23 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.0\r\n" + head.encode("utf-8") + CRLF + block + CRLF + CRLF
 
 
-def headers_of(head: bytes) -> dict[str, str]:
-    """Header fields by lower-case name; a folded line goes on with the one before."""
-    out: dict[str, str] = {}
-    last = ""
+def fields_of(head: bytes) -> list[tuple[str, str]]:
+    """All header fields in order, names in lower case; a folded line goes on with the one before."""
+    out: list[tuple[str, str]] = []
     for line in head.decode("utf-8", "replace").split("\r\n"):
-        if line[:1] in (" ", "\t") and last:
-            out[last] += " " + line.strip()
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = out[-1][0], out[-1][1] + " " + line.strip()
         elif ":" in line:
-            last, _, value = line.partition(":")
-            last = last.strip().lower()
-            out[last] = value.strip()
+            name, _, value = line.partition(":")
+            out.append((name.strip().lower(), value.strip()))
     return out
 
 
+def headers_of(head: bytes) -> dict[str, str]:
+    """Header fields by name, of repeated ones the last."""
+    return dict(fields_of(head))
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers and block of the record at a place, and the place after it."""
     end = data.find(CRLF + CRLF, at)
@@ -90,12 +93,18 @@ def visible_text(page: str) -> str:
     return " ".join(html.unescape(_TAGS.sub(" ", _DROP.sub(" ", page))).split())
 
 
+#: Header fields of a response that its derivatives hold in another way.
+_CARRIED = frozenset(["warc-type", "warc-record-id", "warc-date", "warc-target-uri", "warc-block-digest", "warc-payload-digest", "content-type", "content-length"])
+
+
 def derive(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     """(headers, whole record) of the metadata and the conversion record of a response record."""
     source, block, _ = parse(data)
     http, _, payload = block.partition(CRLF + CRLF)
     status, _, fields = http.partition(CRLF)
-    sent = headers_of(fields)
+    pairs = fields_of(fields)
+    sent = dict(pairs)
+    others = [(k, v) for k, v in fields_of(data[: data.find(CRLF + CRLF)]) if k not in _CARRIED]
     charset = _CHARSET.search(sent.get("content-type", ""))
     try:
         page = payload.decode(charset.group(1) if charset else "utf-8", "replace")
@@ -106,7 +115,7 @@ def derive(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     source_id, uri, date = source.get("warc-record-id", ""), source.get("warc-target-uri", ""), source.get("warc-date", DATE)
     facts = [
         ("title", " ".join(html.unescape(title.group(1)).split()) if title else ""), ("language", lang.group(1).lower() if lang else ""), ("links", str(len(_LINK.findall(page)))), ("characters", str(len(text))),
-        ("http-status", status.decode("latin-1")), *((f"http-{k}", v) for k, v in sent.items()), ("source-block-digest", source.get("warc-block-digest", "")), ("source-payload-digest", source.get("warc-payload-digest", "")), ("computed-payload-digest", digest(payload)),
+        ("http-status", status.decode("latin-1")), *((f"http-{k}", v) for k, v in pairs), *((f"source-{k}", v) for k, v in others), ("source-block-digest", source.get("warc-block-digest", "")), ("source-payload-digest", source.get("warc-payload-digest", "")), ("computed-payload-digest", digest(payload)),
     ]
     meta = "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8")
     out = []

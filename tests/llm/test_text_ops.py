@@ -192,6 +192,14 @@ def test_derivatives():
     assert "title: A & B\r\n" in body and "language: de\r\n" in body and "links: 1\r\n" in body and f"source-payload-digest: {source['warc-payload-digest']}" in body and "http-content-type: text/html; charset=utf-8" in body
 
 
+def test_all_source_headers():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n<p>x</p>"
+    data = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-IP-Address", "192.0.2.1"), ("WARC-Concurrent-To", "<urn:y>"), ("WARC-Concurrent-To", "<urn:z>")], block)
+    body = warc.parse(warc.derive(data)[0][1])[1].decode()
+    assert "http-set-cookie: a=1\r\nhttp-set-cookie: b=2\r\n" in body
+    assert "source-warc-ip-address: 192.0.2.1\r\nsource-warc-concurrent-to: <urn:y>\r\nsource-warc-concurrent-to: <urn:z>\r\n" in body
+
+
 def test_warc_edges(spark, tmp_path):
     pages = spark.createDataFrame([(1, None, None, "c"), (2, "u\r\nX: y", "x" * 1_000_000, "c"), (3, "u", "", "c"), (3, "u", "", "c")], "page_id long, url string, html string, record string")
     made = warc.derive_records(warc.responses(pages))
