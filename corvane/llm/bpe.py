@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 #: The byte-level pre-tokenisation pattern (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of each of the two generations of a memory; the older one is dropped when the newer is full.
-MEMO = 250_000
-#: No token of the known byte-level files is longer.
-LONG = 256
+#: Bytes, about, of each of the two generations of a memory; the older one is dropped when the newer is full.
+MEMO_BYTES = 20 << 20
+#: Longer pre-tokens aren't remembered: they hardly ever come again.
+MEMO_LONGEST = 48
+#: Bytes of an entry besides its key's and value's characters.
+_ENTRY = 130
 #: Punctuation that ends a word.
 ENDS = frozenset(".,;:!?")
 #: Ids that are gathered at once, so that a very long text needs no more memory.
@@ -49,19 +51,23 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Memo(dict):
-    """A dict of bounded size that computes what it lacks; get through ``memo[key]``."""
+    """A dict of bounded size in bytes that computes what it lacks; get through ``memo[key]``. Keys are strings or integers."""
 
-    def __init__(self, make, most: int = MEMO) -> None:
+    def __init__(self, make, most: int = MEMO_BYTES) -> None:
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.size = make, most, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        text = type(key) is str
+        if text and len(key) > MEMO_LONGEST:
+            return value
+        if self.size >= self.most:
+            self.old, self.size = dict(self), 0
             self.clear()
+        self.size += _ENTRY + (len(key) + len(value) if text else 0)
         self[key] = value
         return value
 
@@ -101,7 +107,7 @@ class ByteBPE:
         for s, i in self.added.items():
             pieces[i] = s.encode()
         self.blob, self.offsets = offset_table(pieces)
-        assert max(map(len, pieces)) <= LONG
+        self.longest = max(map(len, pieces))  # bytes of the longest token
         self.length = np.diff(self.offsets).tolist()
         self.decimals, self.decimal_offsets = offset_table([b"%d," % i for i in range(self.size)])
 
@@ -209,11 +215,11 @@ class ByteBPE:
                 return False
 
     def _backtrack(self, raw: str) -> list[int]:
-        n, length, pairs, size, shorter, best, prefix = len(raw), self.length, self.pairs, self.size, self.shorter, self.best, self.automaton.longest_prefix
+        n, long, length, pairs, size, shorter, best, prefix = len(raw), self.longest, self.length, self.pairs, self.size, self.shorter, self.best, self.automaton.longest_prefix
         alive = bytearray(b"\1" * (n + 1))
         ids: list[int] = []
         at = 0
-        near = raw[:LONG]
+        near = raw[:long]
         token = best[near[: prefix(near)]]
         while True:
             if ids:
@@ -228,7 +234,7 @@ class ByteBPE:
                 at += length[token]
                 if at == n:
                     return ids
-                near = raw[at : at + LONG]
+                near = raw[at : at + long]
                 token = best[near[: prefix(near)]]
             else:  # nothing fits here: this position is dead, so the token before gets shorter
                 alive[at] = 0
