@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.components import components
-from corvane.llm.shared import stage
+from corvane.llm.shared import scope, stage
 
 SIDE, ROWS = 8, 2
 PERCENT = 80
@@ -273,18 +273,18 @@ def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
 def residual_links(open_rows: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels after all links between members of open_rows (key, id, component) in different components."""
     least = lambda n: F.ceil(n * percent / 100)
-    apart = stage(open_rows.select("id", "component").distinct(), "minhash-apart")
+    apart = stage(open_rows.select("id", "component").distinct(), "minhash-apart", narrow=True)
     shared = shared_shingles(apart, sets).filter(F.col("shared") >= least(F.col("n")))
-    sizes = stage(shared.select("id", "n", "shared").distinct(), "minhash-central")
+    sizes = stage(shared.select("id", "n", "shared").distinct(), "minhash-central", narrow=True)
     # a central pivot for each bucket
     open_rows = open_rows.join(sizes, "id")
     central = open_rows.groupBy("key").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), F.col("id").alias("id"), F.col("component").alias("component"))).alias("top")).select("key", F.col("top.id").alias("to"), F.col("top.component").alias("to_component"))
     pairs = open_rows.join(central, "key").filter("component <> to_component").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-    labels = stage(with_links(labels, verified(stage(pairs, "minhash-central-pairs"), sets, percent)), "minhash-labels")
+    labels = with_links(labels, verified(pairs, sets, percent))
 
     # what is still apart: a prefix join, exact for sets that share a shingle between components
     apart = apart.join(labels, apart["id"] == labels["node"], "left").select("id", F.coalesce(labels["component"], apart["component"]).alias("component"))
-    shared = shared_shingles(stage(apart, "minhash-apart"), sets).filter(F.col("shared") >= least(F.col("n")))
+    shared = shared_shingles(stage(apart, "minhash-apart", narrow=True), sets).filter(F.col("shared") >= least(F.col("n")))
     order = Window.partitionBy("id").orderBy("held", "shingle")
     prefix = shared.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("shared") - least(F.col("n")) + 1)
     # of two sets the one that comes second by (n, id) can only be matched by the shorter prefix of the first
@@ -298,10 +298,10 @@ def residual_links(open_rows: DataFrame, labels: DataFrame, sets: DataFrame, per
         & ((100 + percent) * F.least("a.shared", "b.shared") >= percent * (F.col("a.n") + F.col("b.n")))
         & may_be_similar("a", "b", percent)
     )
-    pairs = stage(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "minhash-prefix-pairs")
+    pairs = stage(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "minhash-prefix-pairs", narrow=True)
     if pairs.isEmpty():
         return labels
-    return stage(with_links(labels, verified(pairs, sets, percent)), "minhash-labels")
+    return with_links(labels, verified(pairs, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,19 +315,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_
     """
     kind = docs.schema[id_col].dataType.simpleString()
     raw = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("raw"))
-    signed = stage(raw.mapInArrow(_signature_rows(words), f"id {kind}, n long, one long, two long, bands array<long>"), "minhash-signatures")
     of_class = ["n", "one", "two"]
-    classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*of_class).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    classes = stage(classes, "minhash-classes")
-    members = stage(bucket_members(classes), "minhash-members")
-    wanted = stage(members.select("id").distinct(), "minhash-wanted")
-    sets = stage(raw.join(wanted, "id", "left_semi").mapInArrow(_set_rows(words), f"id {kind}, n long, bits struct<{', '.join(w + ': long' for w in _WORDS)}>, shingles binary"), "minhash-sets")
-
-    pairs = stage(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
-    labels = components(verified(pairs, sets, percent))
-    open_rows = stage(unresolved(members, labels), "minhash-open")
-    if not open_rows.isEmpty():
-        labels = residual_links(open_rows, labels, sets, percent)
+    with scope(docs.sparkSession) as tables:
+        signed = stage(raw.mapInArrow(_signature_rows(words), f"id {kind}, n long, one long, two long, bands array<long>"), "minhash-signatures")
+        classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*of_class).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+        classes = stage(classes, "minhash-classes")
+        members = stage(bucket_members(classes), "minhash-members")
+        wanted = members.select("id").distinct()
+        sets = stage(raw.join(wanted, "id", "left_semi").mapInArrow(_set_rows(words), f"id {kind}, n long, bits struct<{', '.join(w + ': long' for w in _WORDS)}>, shingles binary"), "minhash-sets")
+
+        pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        labels = components(verified(pairs, sets, percent))
+        open_rows = stage(unresolved(members, labels), "minhash-open", narrow=True)
+        if not open_rows.isEmpty():
+            labels = residual_links(open_rows, labels, sets, percent)
+        tables.drop("minhash-signatures", "minhash-classes", "cc-labels")
 
     own = classes.select(*of_class, F.col("id").alias("rep"))
     own = own.join(labels, own["rep"] == labels["node"], "left").select(*of_class, F.coalesce("component", "rep").alias("component"))

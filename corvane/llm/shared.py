@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,27 +20,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-#: Tables that stage() has written and discard() hasn't deleted.
-MADE: list[str] = []
+class Tables:
+    """The tables that stage() has written within a scope, in order."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
 
-def discard(spark: SparkSession, first: int) -> None:
-    """Deletes the tables that stage() has written since MADE had ``first`` entries, but for the last one."""
-    for path in MADE[first:-1]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del MADE[first:-1]
+    def drop(self, *keep: str) -> None:
+        """Deletes the tables of the scope, but for the last one of each of these names. What reads the others must have run by then."""
+        last = {path.rpartition("/")[2].rpartition("-")[0]: path for path in self.paths}
+        kept = {last[name] for name in keep if name in last}
+        gone = {path for path in self.paths if path not in kept}
+        for path in gone:
+            delete(self.spark, path)
+        for tables in {self, *_scope.get()}:
+            tables.paths[:] = [path for path in tables.paths if path not in gone]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_scope: ContextVar[tuple[Tables, ...]] = ContextVar("scope", default=())
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Tables]:
+    """Notes the tables that the operators called within it write; a scope within another one belongs to both."""
+    tables = Tables(spark)
+    before = _scope.set((*_scope.get(), tables))
+    try:
+        yield tables
+    finally:
+        _scope.reset(before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, noted in the scopes."""
+    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    for tables in _scope.get():
+        tables.paths.append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
-    It cuts the lineage, survives lost executors, and freezes values that depend on the partitioning.
+    It cuts the lineage, survives lost executors, and freezes values that depend on the partitioning. narrow: for tables of a
+    few numbers a row, which are written by two tasks a core at most, so that they don't become many tiny files.
     """
-    path = f"{shared_dir(df.sparkSession)}/corvane/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    MADE.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    written = df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df
+    written.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(text: Column) -> Column:

@@ -3,6 +3,7 @@ import hashlib
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from corvane.llm.shared import scope
 from test_near import brute_force
 
 
@@ -54,7 +55,10 @@ def test_stages_take_empty_tables(spark, sf_dir):
         assert docs.count() == 0
 
 
-def test_run_leaves_one_table(spark, sf_dir):
-    before = len(corpus_pipeline.MADE)
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert len(corpus_pipeline.MADE) == before + 1 and out.count() > 0
+def test_run_leaves_one_table_and_no_others_lose_theirs(spark, sf_dir):
+    with scope(spark) as others, scope(spark) as own:
+        mine = corpus_pipeline.stage(spark.range(3).toDF("x"), "test-other")
+        own.paths.clear()
+        out = corpus_pipeline.run(spark, sf_dir)
+        assert len(own.paths) == 1 and own.paths[0].rpartition("/")[2].startswith("pipeline-BPE")
+        assert out.count() > 0 and mine.count() == 3 and others.paths
