@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import bpe, exact_dedup, langid, minhash, mixing
 from corvane.llm.queries import vocabulary
-from corvane.llm.shared import MADE, discard, stage, table
+from corvane.llm.shared import scope, stage, table
 from corvane.session import ship
 
 #: The least corrected share of known n-grams of a document's language. Text of a learnt language is far above it.
@@ -55,8 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what a stage has written on its way, and the table before it, go once its result is written."""
-    docs, first = table(spark, sf_dir, "documents"), len(MADE)
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-        discard(spark, first)
+    docs = table(spark, sf_dir, "documents")
+    with scope(spark) as tables:
+        for name, function in STAGES:
+            own = "pipeline-" + name.replace(" ", "-")
+            docs = stage(function(spark, docs, sf_dir), own)
+            tables.drop(own)
     return docs
