@@ -90,6 +90,14 @@ def offset_table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces), np.uint8), offsets
 
 
+def byte_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ids of a byte-level BPE file by their bytes, and its special tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet, special = byte_alphabet(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    return {bytes(alphabet[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}, special
+
+
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE file (tokenizer.json)."""
 
@@ -285,6 +293,10 @@ class ByteBPE:
         parts = [self.added[p].to_bytes(4, "little") if p in self.added else self._plain(p) for p in self.added_split(text) if p]
         return np.frombuffer(b"".join(parts), "<u4")
 
+    def encode_ordinary(self, text: str) -> np.ndarray:
+        """Ids of the whole text, in which added tokens are ordinary text."""
+        return np.frombuffer(self._plain(text), "<u4")
+
     # -- decoding
 
     def decode_blocks(self, ids: np.ndarray) -> Iterator[bytes]:

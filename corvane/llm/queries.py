@@ -51,7 +51,8 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import token_output
 
-    return token_output.read_slots(token_output.shards(table(spark, sf_dir, "documents")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")  # as it is stored, for the order follows its files
+    return token_output.token_output(docs, token_output.byte_bpe(vocabulary()))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,34 +2,42 @@
 
 Documents become sequences of a fixed number of tokens, the last one padded. A keyed Feistel network
 permutes the sequence numbers 0..N-1; numbers that leave the range are walked along their cycle until they are
-back in it, so every sequence gets one global slot and every slot one sequence. A shard holds a range of slots at a
-fixed stride: the tokens of slot s begin at byte (s - first_slot) * stride of its shard, so a
-training run reads shards one after the other and can resume at any slot.
-
-Sequence numbers are given while the sequences are first written, and so are frozen with them; every run of the steps after that
-(retries after a lost executor too) sees the same numbers. A document's tokens come from a tokenizer function;
-the default takes UTF-8 bytes as ids 0 to 255.
+back in it, so every sequence gets one global slot and every slot one sequence. A shard is a range of slots and one plain file:
+the record of slot s begins at byte (s - first_slot) * stride, so a training run reads shards one after the other and resumes at
+any slot by a seek. A record is ``length`` little-endian ids and one zero word (Spark's record separator).
+
+Two passes run over the texts. The first one counts the sequences of each block of rows and writes the index (which slot
+holds which part of which document). The second one tokenises again, as that is cheaper than a further copy of all tokens on
+disk, and sends each sequence to the range partition of its slot, which writes the shard's file. A block is a run of rows of one
+input file, known by the file and its first row; sequences are numbered by file, row and part. So the order follows
+from the stored table and the key, not from the way Spark splits it; with ``ordered`` it follows from ids and texts alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corvane.llm.shared import stage
+from corvane.llm import bpe
+from corvane.llm.shared import new_folder, stage
 
-LENGTH = 2048
-SHARD_SLOTS = 2048
+LENGTH = 512
+SHARD_SLOTS = 1 << 14
 KEY = 0x5EED
 FEISTEL_ROUNDS = 6
-BYTE_END, BYTE_PAD = 256, 257
+#: Bytes of ids in an Arrow batch.
+BATCH = 4 << 20
+#: Pre-tokens beyond this go to the encoder that is linear in their length.
+LONG_RUN = 2000
 
 _U = np.uint64
 
@@ -54,141 +62,284 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def planes(ids: np.ndarray) -> bytes:
-    """uint16 as all low bytes, then all high bytes: as long, but the compression of shuffles and files does better on it."""
-    return np.ascontiguousarray(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes()
+@dataclass(frozen=True)
+class Tokens:
+    """How texts become ids: load() runs on the workers and gives the function; all ids, the end token's too, lie below size."""
 
+    load: Callable[[], Callable[[str], np.ndarray]]
+    size: int
+    end: int
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<u2")[:, 0]
+    @property
+    def width(self) -> int:
+        """Bytes of an id; the largest number of that width is the padding, so it must be no id."""
+        return 2 if self.size < 1 << 16 else 4
 
+    @property
+    def dtype(self) -> str:
+        return f"<u{self.width}"
 
-def byte_tokens(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8"), np.uint8).astype(np.uint16)
 
+def _utf8() -> Callable[[str], np.ndarray]:
+    return lambda text: np.frombuffer(text.encode("utf-8"), np.uint8)
 
-def sequences(docs: DataFrame, length: int = LENGTH, tokens: Callable[[str], np.ndarray] = byte_tokens, end: int = BYTE_END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block, place, doc_id, part, n_tokens, ids): the sequences of each text and its end token, written to the shared folder.
 
-    ids holds the planes() of n_tokens ids. block is the task that wrote the row, place its number there.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
+#: UTF-8 bytes as ids.
+BYTES = Tokens(_utf8, 257, 256)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, place = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            at, part, n, ids = [], [], [], []
-            size = 0
-
-            def out(columns=(at, part, n, ids), batch=batch):
-                nonlocal place
-                at, part, n, ids = columns
-                rows = pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(at), pa.int64()), pa.array(range(place, place + len(at)), pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(part, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["block", "place", "doc_id", "part", "n_tokens", "ids"],
-                )
-                place += len(at)
-                return rows
-
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                own = np.append(tokens(text or ""), end).astype("<u2")
-                for p, s in enumerate(range(0, len(own), length)):
-                    piece = own[s : s + length]
-                    at.append(k)
-                    part.append(p)
-                    n.append(len(piece))
-                    ids.append(planes(piece))
-                    size += piece.nbytes
-                    if size > 4 << 20:
-                        yield out()
-                        for x in (at, part, n, ids):
-                            x.clear()
-                        size = 0
-            yield out()
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stage(rows.mapInArrow(run, f"block long, place long, doc_id {id_type}, part long, n_tokens long, ids binary"), "token-sequences")
+@lru_cache(maxsize=2)
+def _byte_bpe(path: str) -> Callable[[str], np.ndarray]:
+    import tiktoken
+
+    ranks, _ = bpe.byte_vocabulary(path)
+    # without a run of white space the pattern's look-ahead has nothing to do, and the plain pattern is faster
+    full, plain = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (bpe.PATTERN, bpe.PATTERN.replace(r"|\s+(?!\S)", "")))
+    space, long_run = re.compile(r"\s\s").search, re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}").search
+
+    def encode(text: str) -> np.ndarray:
+        if long_run(text):
+            return bpe.encoder(path).encode_ordinary(text)
+        return np.array((full if space(text) else plain).encode_ordinary(text), np.uint32)
+
+    return encode
+
 
+def byte_bpe(path: str) -> Tokens:
+    """Ids of a byte-level BPE file, special tokens in texts as ordinary text; the end token is its first special token, or the next free id."""
+    ranks, special = bpe.byte_vocabulary(path)
+    end = next(iter(special.values()), max(ranks.values()) + 1)
+    return Tokens(lambda: _byte_bpe(path), max(end, *ranks.values()) + 1, end)
 
-def with_slots(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """rows of sequences() with their slot, and the number of sequences."""
-    blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))  # a row per task
-    starts = blocks.withColumn("start", F.sum("n").over(Window.orderBy("block")) - F.col("n")).select("block", "start", "n")
-    starts = stage(starts, "token-blocks")
-    total = starts.agg(F.sum("n")).first()[0] or 0
 
-    @F.pandas_udf(T.LongType())
-    def slot(number):
-        return number.__class__(feistel(number.to_numpy(np.int64), total, key))
+@dataclass
+class Shards:
+    """A materialised order: shard files in a folder, and the index (slot, doc_id, part, n_tokens)."""
 
-    return rows.join(starts.select("block", "start"), "block").withColumn("slot", slot(F.col("start") + F.col("place"))).drop("block", "start", "place"), total
+    spark: SparkSession
+    folder: str
+    n: int
+    length: int
+    shard_slots: int
+    width: int
+    key: int
+    index: DataFrame
+    _files: dict[int, str] | None = field(default=None, repr=False)
 
+    @property
+    def stride(self) -> int:
+        return self.width * (self.length + 1)
 
-def shards(docs: DataFrame, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: int = KEY, pad: int = BYTE_PAD, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """One row per shard: shard, first_slot, n_slots, stride (bytes), doc_ids, parts, lengths, data.
+    def files(self) -> dict[int, str]:
+        """Paths by shard number."""
+        if self._files is None:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            listed = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(place)
+            found = ((re.match(r"part-(\d+)-", s.getPath().getName()), s.getPath().toString()) for s in listed)
+            self._files = {int(m[1]): path for m, path in found if m}
+        return self._files
 
-    Null and empty texts are one sequence with the end token alone; repeated rows are sequences of their own;
-    an empty table gives no shards; other columns are ignored. Each shard is made by one task from exactly its slots.
+
+def _stored_rows(docs: DataFrame, id_col: str, text_col: str, ordered: bool) -> DataFrame:
+    """(file, path, row, doc_id, text), where docs is a scan of Parquet files with projections and filters alone, or else of a copy of it."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    if not ordered and plan.nodeName() == "LogicalRelation" and "_metadata" not in docs.columns and "parquet" in plan.toString():
+        source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    else:
+        copy = stage(rows.orderBy(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)) if ordered else rows, "token-rows")
+        source = copy.select("doc_id", "text", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    return source.select(F.xxhash64("path").alias("file"), "path", "row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def squeezed(raw: bytes) -> bytes:
+    """The length, and raw compressed."""
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+class Blocks:
+    """For each row of a task, in order, its block: the file, and the row at which this task began to read that part of the file."""
+
+    def __init__(self) -> None:
+        self.file, self.first, self.last = None, 0, -1
+
+    def __call__(self, file: int, row: int) -> tuple[int, int]:
+        if file != self.file or row <= self.last:
+            self.file, self.first = file, row
+        self.last = row
+        return file, self.first
+
+
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Both passes must split files alike, though executors may come and go between them."""
+    setting = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(setting, None)
+    if before is None:
+        spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+
+
+def materialise(docs: DataFrame, tokens: Tokens = BYTES, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text", ordered: bool = False) -> Shards:
+    """Writes the shards of docs in the shared folder.
+
+    Null and empty texts are one sequence with the end token alone; repeated rows are sequences of their own; null ids stay null;
+    an empty table gives no shards; other columns are ignored. Each shard is made by one task from exactly its slots. An id that doesn't
+    fit the tokens' size is an error. ordered: numbers follow the order of (id, text) instead of the table's, whatever the input's partitioning;
+    rows with equal ids and texts can't be told apart and share their slots among themselves.
     """
-    rows, _ = with_slots(sequences(docs, length, id_col=id_col, text_col=text_col, **more), key)
-    stride = 2 * length
-    dealt = rows.withColumn("shard", F.floor(F.col("slot") / shard_slots)).repartition("shard").sortWithinPartitions("slot")
-    id_type = docs.schema[id_col].dataType.simpleString()
+    with _same_splits(docs.sparkSession):
+        return _materialise(_stored_rows(docs, id_col, text_col, ordered), docs.schema[id_col].dataType.simpleString(), tokens, length, shard_slots, key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []
-        now = None
-
-        def out() -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            n = t.num_rows
-            data = np.full((n, length), pad, "<u2")
-            for k, ids in enumerate(t.column("ids").to_pylist()):
-                data[k, : len(ids) // 2] = from_planes(ids)
-            listed = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), t.column(c).combine_chunks()) for c in ("doc_id", "part", "n_tokens")]
-            head = [pa.array([x], pa.int64()) for x in (now, now * shard_slots, n, stride)]
-            return pa.RecordBatch.from_arrays([*head, *listed, pa.array([data.tobytes()], pa.binary())], names=["shard", "first_slot", "n_slots", "stride", "doc_ids", "parts", "lengths", "data"])
 
+def _materialise(rows: DataFrame, id_type: str, tokens: Tokens, length: int, shard_slots: int, key: int) -> Shards:
+    spark = rows.sparkSession
+    dtype, width, size, end = tokens.dtype, tokens.width, tokens.size, tokens.end
+
+    def encoded(texts: pa.Array, encode: Callable[[str], np.ndarray]) -> Iterator[np.ndarray]:
+        for text in texts.to_pylist():
+            ids = np.append(encode(text), end)
+            if int(ids.max()) >= size:
+                raise ValueError(f"the token id {ids.max()} isn't below {size}")
+            yield ids.astype(dtype)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, places, block_of = tokens.load(), {}, Blocks()
+        for batch in batches:
+            firsts = [block_of(file, row) for file, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            n = np.array([len(ids) for ids in encoded(batch.column(4), encode)], np.int64)
+            parts = -(-n // length)
+            of = np.repeat(np.arange(len(n)), parts)
+            part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            place = np.empty(len(of), np.int64)
+            at = 0
+            for block, k in zip(firsts, parts.tolist(), strict=True):
+                begin = places.get(block, 0)
+                place[at : at + k] = np.arange(begin, begin + k)
+                places[block] = begin + k
+                at += k
+            first = np.array([f for _, f in firsts], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(first[of]), pa.array(place), batch.column(3).take(pa.array(of)), pa.array(part), pa.array(np.minimum(length, n[of] - part * length))],
+                names=["file", "path", "first", "place", "doc_id", "part", "n_tokens"],
+            )
+
+    counted = stage(rows.mapInArrow(count, f"file long, path string, first long, place long, doc_id {id_type}, part long, n_tokens long"), "token-index")
+    # one row for each scan task and file it has read
+    starts: dict[tuple[int, int], int] = {}
+    n = 0
+    for r in counted.groupBy("file", "first").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).orderBy("path", "first").toLocalIterator():
+        starts[r["file"], r["first"]] = n
+        n += r["n"]
+    at = spark.sparkContext.broadcast(starts)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin = at.value
+        for batch in batches:
+            start = np.array([begin[b] for b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            slot = feistel(start + batch.column(2).to_numpy(), n, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns[3:]], names=["slot", "doc_id", "part", "n_tokens"])
+
+    index = counted.select("file", "first", "place", "doc_id", "part", "n_tokens").mapInArrow(slots, f"slot long, doc_id {id_type}, part long, n_tokens long")
+    folder = new_folder(spark, "token-shards")
+    made = Shards(spark, folder, n, length, shard_slots, width, key, index)
+    if not n:
+        made._files = {}
+        return made
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, begin, numbers, block_of = tokens.load(), at.value, {}, Blocks()
+        for batch in batches:
+            number, pieces, held = [], [], 0
+            for file, row, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoded(batch.column(4), encode), strict=True):
+                block = block_of(file, row)
+                first = numbers.get(block)
+                first = begin[block] if first is None else first
+                for k in range(0, len(ids), length):
+                    number.append(first)
+                    pieces.append(squeezed(ids[k : k + length].tobytes()))
+                    first += 1
+                    held += len(pieces[-1])
+                    if held >= BATCH:
+                        yield dealt(number, pieces)
+                        number, pieces, held = [], [], 0
+                numbers[block] = first
+            yield dealt(number, pieces)
+
+    def dealt(number: list[int], pieces: list[bytes]) -> pa.RecordBatch:
+        slot = feistel(np.array(number, np.int64), n, key)
+        return pa.RecordBatch.from_arrays([pa.array((slot // shard_slots).astype(np.int32)), pa.array(slot), pa.array(pieces, pa.binary())], names=["shard", "slot", "ids"])
+
+    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pad, whole = b"\xff" * (width * length), width * length
         for batch in batches:
-            numbers = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if now is not None and numbers[a] != now:
-                    yield out()
-                    parts.clear()
-                now = int(numbers[a])
-                parts.append(batch.slice(a, b - a))
-        if parts:
-            yield out()
-
-    # within a partition rows are in slot order, so those of a shard follow each other
-    schema = f"shard long, first_slot long, n_slots long, stride long, doc_ids array<{id_type}>, parts array<long>, lengths array<long>, data binary"
-    return stage(dealt.select("shard", "slot", "doc_id", "part", "n_tokens", "ids").mapInArrow(run, schema), "token-shards")
-
-
-def read_slots(stored: DataFrame, start: int = 0, stop: int | None = None, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, part, n_tokens, ids_sha256 of the slots from start to stop, from the shards' bytes."""
-    if start:
-        stored = stored.filter(F.col("shard") >= start // shard_slots)
-    if stop is not None:
-        stored = stored.filter(F.col("first_slot") < stop)
-    id_type = stored.schema["doc_ids"].dataType.elementType.simpleString()
+            out = []
+            for piece in batch.column(0).to_pylist():
+                raw = pa.decompress(memoryview(piece)[4:], int.from_bytes(piece[:4], "little"), codec="zstd", asbytes=True)
+                out.append(raw + pad[: whole - len(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+
+    sent = rows.mapInArrow(cut, "shard int, slot long, ids binary")
+    # a range of slots is one partition, and its file has that partition's number
+    ranged = sent.repartitionById(-(-n // shard_slots), "shard").sortWithinPartitions("slot")
+    records = ranged.select("ids").mapInArrow(padded, "record binary").select(F.col("record").cast("string").alias("value"))
+    records.write.option("lineSep", "\0" * width).text(folder)
+    return made
+
+
+def read_slots(made: Shards, start: int = 0, stop: int | None = None) -> DataFrame:
+    """slot, shard, byte_offset, n_tokens, ids_sha256 of the slots from start to stop, from the bytes of the files that hold them."""
+    spark, stop = made.spark, made.n if stop is None else min(stop, made.n)
+    shard_slots, stride, length, dtype = made.shard_slots, made.stride, made.length, f"<u{made.width}"
+    schema = "slot long, shard long, byte_offset long, n_tokens long, ids_sha256 string"
+    wanted = range(max(start, 0) // shard_slots, -(-stop // shard_slots)) if start < stop else range(0)
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    files = made.files()
+    whole = len(wanted) == len(files)
+    stored = spark.read.format("binaryFile").load(f"{made.folder}/part-*" if whole else [files[k] for k in wanted]).select(F.regexp_extract("path", r"/part-(\d+)-[^/]*$", 1).cast("long").alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                shard, first, n, stride = (batch.column(c)[k].as_py() for c in range(4))
-                data = memoryview(batch.column(7)[k].as_buffer())
-                lengths = batch.column(6)[k].values.to_numpy()
-                shas = [hashlib.sha256(data[i * stride : i * stride + 2 * int(m)]).hexdigest() for i, m in enumerate(lengths)]
-                places = np.arange(n, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(places + first), pa.array(np.full(n, shard)), pa.array(places * stride), batch.column(4)[k].values, batch.column(5)[k].values, batch.column(6)[k].values, pa.array(shas, pa.string())],
-                    names=["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "ids_sha256"],
-                )
-
-    out = stored.mapInArrow(run, f"slot long, shard long, byte_offset long, doc_id {id_type}, part long, n_tokens long, ids_sha256 string")
-    out = out.filter(F.col("slot") >= start) if start else out
-    return out if stop is None else out.filter(F.col("slot") < stop)
+            for k, shard in enumerate(batch.column(0).to_pylist()):
+                raw = memoryview(batch.column(1)[k].as_buffer())
+                first = shard * shard_slots
+                lo, hi = max(start - first, 0), min(stop - first, len(raw) // stride)
+                n, shas = [], []
+                for s in range(lo, hi):
+                    ids = np.frombuffer(raw[s * stride : (s + 1) * stride], dtype)[:length]
+                    n.append(int(np.searchsorted(ids == np.iinfo(dtype).max, True)))
+                    shas.append(hashlib.sha256(ids[: n[-1]]).hexdigest())
+                places = np.arange(lo, hi, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(places + first), pa.array(np.full(hi - lo, shard)), pa.array(places * stride), pa.array(n, pa.int64()), pa.array(shas, pa.string())], names=["slot", "shard", "byte_offset", "n_tokens", "ids_sha256"])
+
+    return stored.mapInArrow(run, schema)
+
+
+def seek_slots(made: Shards, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
+    """The ids of the slots from start to stop, one after the other, for a training run that can open the folder: a seek to the first one, then sequential reads."""
+    from pyarrow.fs import FileSystem
+
+    stop, files = made.n if stop is None else min(stop, made.n), made.files()
+    slot = start
+    while slot < stop:
+        shard = slot // made.shard_slots
+        system, path = FileSystem.from_uri(files[shard] if "://" in files[shard] else files[shard].replace("file:/", "file:///", 1))
+        with system.open_input_file(path) as f:
+            f.seek((slot - shard * made.shard_slots) * made.stride)
+            for slot in range(slot, min(stop, (shard + 1) * made.shard_slots)):  # noqa: B007, PLW2901
+                ids = np.frombuffer(f.read(made.stride), f"<u{made.width}")[: made.length]
+                yield ids[ids != np.iinfo(ids.dtype).max]
+        slot += 1
+
+
+def token_output(docs: DataFrame, tokens: Tokens = BYTES, **more) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, part, n_tokens, ids_sha256 of every sequence: the index with what was read back from the shards' files."""
+    made = materialise(docs, tokens, **more)
+    return read_slots(made).join(made.index.drop("n_tokens"), "slot").select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "ids_sha256")

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from corvane.llm import bpe, token_output
 from corvane.llm.queries import QUERIES
+from corvane.session import shared_dir as corvane_dir
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -82,28 +83,87 @@ def test_feistel_is_a_permutation(n):
         assert (out != np.arange(n)).mean() > 0.9 and (token_output.feistel(np.arange(n), n, key=1) != out).any()
 
 
-def test_token_output(spark):
-    texts = {1: "ab", 2: None, 3: "x" * 25, 4: "é" * 10}
-    docs = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id long, text string, slot int").repartition(3)
-    stored = token_output.shards(docs, length=8, shard_slots=3)
-    rows = token_output.read_slots(stored, shard_slots=3).collect()
-    expected = []
-    for k, t in texts.items():
-        ids = [*(t or "").encode(), token_output.BYTE_END]
-        expected += [(k, p, len(ids[s : s + 8]), hashlib.sha256(np.array(ids[s : s + 8], "<u2").tobytes()).hexdigest()) for p, s in enumerate(range(0, len(ids), 8))]
-    assert sorted((r.doc_id, r.part, r.n_tokens, r.ids_sha256) for r in rows) == sorted(expected)
-    assert sorted(r.slot for r in rows) == list(range(len(expected)))
-    assert all(r.shard == r.slot // 3 and r.byte_offset == r.slot % 3 * 16 for r in rows)
-    for s in stored.collect():
-        assert len(s.data) == s.n_slots * s.stride and s.first_slot == 3 * s.shard
-        last = np.frombuffer(s.data, "<u2").reshape(s.n_slots, 8)
-        assert all((last[i, n:] == token_output.BYTE_PAD).all() for i, n in enumerate(s.lengths))
-    part = token_output.read_slots(stored, 4, 7, shard_slots=3).collect()
-    assert sorted(r.slot for r in part) == [4, 5, 6] and set(part) <= set(rows)
-    assert token_output.shards(docs.limit(0)).count() == 0
-
-
-def test_op6_holds_every_token(spark, sf_dir):
-    total = QUERIES["op6_token_output"](spark, sf_dir).agg(F.sum("n_tokens"), F.countDistinct("slot"), F.max("slot")).first()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()
-    assert total[0] == docs[0] and total[1] == total[2] + 1
+def scalar_feistel(x, n, key):
+    """One number at a time, with Python's integers."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    keys = [int(k) for k in np.random.Generator(np.random.PCG64(key)).integers(0, 2**63, token_output.FEISTEL_ROUNDS, dtype=np.uint64)]
+    while True:
+        left, right = x >> half, x & (1 << half) - 1
+        for k in keys:
+            f = (right * 0x9E3779B97F4A7C15 + k) % 2**64
+            f = (f ^ f >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+            left, right = right, left ^ ((f ^ f >> 29) & (1 << half) - 1)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 100, 4097])
+def test_feistel_equals_the_scalar_walk(n):
+    assert token_output.feistel(np.arange(n), n, 77).tolist() == [scalar_feistel(x, n, 77) for x in range(n)]
+
+
+def cut(texts, length, key, tokens=lambda t: list(t.encode()), end=256):
+    """slot -> (id, part, ids) of texts in order, by brute force."""
+    rows = [(k, p, ids[s : s + length]) for k, t in texts for ids in [[*tokens(t or ""), end]] for p, s in enumerate(range(0, len(ids), length))]
+    return {scalar_feistel(i, len(rows), key): r for i, r in enumerate(rows)}
+
+
+TEXTS = [(1, "ab"), (2, None), (3, "x" * 25), (None, ""), (4, "é" * 10), (4, "é" * 10), (5, "dup")]
+
+
+def test_token_output_equals_brute_force(spark):
+    docs = spark.createDataFrame([(k, t, 0) for k, t in TEXTS], "doc_id long, text string, slot int")
+    expected = cut(sorted(TEXTS, key=lambda r: (r[0] is not None, r[0])), 8, 5)
+    for parts in (1, 3, 7):
+        made = token_output.materialise(docs.repartition(parts), length=8, shard_slots=3, key=5, ordered=True)
+        assert made.n == len(expected) and made.stride == 18 and sorted(made.files()) == list(range(-(-made.n // 3)))
+        rows = {r.slot: r for r in token_output.read_slots(made).collect()}
+        index = {r.slot: r for r in made.index.collect()}
+        assert set(rows) == set(index) == set(expected)
+        for slot, (k, p, ids) in expected.items():
+            r = rows[slot]
+            assert (r.shard, r.byte_offset, r.n_tokens) == (slot // 3, slot % 3 * 18, len(ids))
+            assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u2").tobytes()).hexdigest()
+            assert (index[slot].doc_id, index[slot].part, index[slot].n_tokens) == (k, p, len(ids))
+        # plain files with a fixed stride
+        for shard, path in made.files().items():
+            raw = open(path.removeprefix("file:"), "rb").read()
+            assert len(raw) == 18 * min(3, made.n - 3 * shard)
+            for s in range(len(raw) // 18):
+                ids = expected[3 * shard + s][2]
+                assert np.frombuffer(raw[18 * s : 18 * s + 18], "<u2").tolist() == [*ids, *[65535] * (8 - len(ids)), 0]
+        assert {r.slot for r in token_output.read_slots(made, 4, 8).collect()} == {4, 5, 6, 7}
+        assert [x.tolist() for x in token_output.seek_slots(made, 4, 8)] == [expected[s][2] for s in range(4, 8)]
+
+
+def test_token_output_edges(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    empty = token_output.token_output(docs.limit(0), token_output.byte_bpe(PATH))
+    assert empty.count() == 0 and empty.columns == ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "ids_sha256"]
+    large = token_output.Tokens(lambda: lambda t: np.array([70_000] * len(t), np.int64), 70_001, 0)
+    made = token_output.materialise(docs, large, length=4, shard_slots=4)
+    assert made.width == 4 and {70_000, 0} == {int(i) for ids in token_output.seek_slots(made) for i in ids}
+    with pytest.raises(Exception, match="70000 isn't below"):
+        token_output.materialise(docs, token_output.Tokens(lambda: lambda t: np.array([70_000] * len(t), np.int64), 300, 0))
+
+
+def test_fast_encoder_equals_the_other(codec):
+    encode = token_output.byte_bpe(PATH).load()
+    for s in strings():
+        assert encode(s).tolist() == codec.encode_ordinary(s).tolist(), s
+
+
+def test_op6_holds_every_token_in_table_order(spark, sf_dir, codec):
+    """Whatever the splits of the table's files."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    expected = cut(docs, token_output.LENGTH, token_output.KEY, lambda t: codec.encode_ordinary(t).tolist(), 50256)
+    folder = f"{corvane_dir(spark)}/token-docs"
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(1).sortWithinPartitions("doc_id").write.option("parquet.block.size", 20_000).mode("overwrite").parquet(f"{folder}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30k")
+    try:
+        found = [QUERIES["op6_token_output"](spark, d).collect() for d in (sf_dir, folder)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for rows in found:
+        assert {r.slot: (r.doc_id, r.part, r.n_tokens, r.ids_sha256) for r in rows} == {s: (k, p, len(ids), hashlib.sha256(np.array(ids, "<u2").tobytes()).hexdigest()) for s, (k, p, ids) in expected.items()}
