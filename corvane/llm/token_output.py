@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -31,13 +31,13 @@ from corvane.llm import bpe
 from corvane.llm.shared import new_folder, stage
 
 LENGTH = 512
-SHARD_SLOTS = 1 << 14
+SHARD_SLOTS = 1 << 13
 KEY = 0x5EED
 FEISTEL_ROUNDS = 6
 #: Bytes of ids in an Arrow batch.
 BATCH = 4 << 20
-#: Pre-tokens beyond this go to the encoder that is linear in their length.
-LONG_RUN = 2000
+#: Characters of texts that go to the own encoder, which takes runs of any length.
+LONG_TEXT = 1 << 17
 
 _U = np.uint64
 
@@ -66,7 +66,7 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 class Tokens:
     """How texts become ids: load() runs on the workers and gives the function; all ids, the end token's too, lie below size."""
 
-    load: Callable[[], Callable[[str], np.ndarray]]
+    load: Callable[[], Callable[[str], Sequence[int]]]
     size: int
     end: int
 
@@ -89,18 +89,18 @@ BYTES = Tokens(_utf8, 257, 256)
 
 
 @lru_cache(maxsize=2)
-def _byte_bpe(path: str) -> Callable[[str], np.ndarray]:
+def _byte_bpe(path: str) -> Callable[[str], Sequence[int]]:
     import tiktoken
 
     ranks, _ = bpe.byte_vocabulary(path)
     # without a run of white space the pattern's look-ahead has nothing to do, and the plain pattern is faster
     full, plain = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (bpe.PATTERN, bpe.PATTERN.replace(r"|\s+(?!\S)", "")))
-    space, long_run = re.compile(r"\s\s").search, re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}").search
+    space = re.compile(r"\s\s").search
 
-    def encode(text: str) -> np.ndarray:
-        if long_run(text):
+    def encode(text: str) -> list[int] | np.ndarray:
+        if len(text) > LONG_TEXT:
             return bpe.encoder(path).encode_ordinary(text)
-        return np.array((full if space(text) else plain).encode_ordinary(text), np.uint32)
+        return (full if space(text) else plain).encode_ordinary(text)
 
     return encode
 
@@ -154,11 +154,6 @@ def _stored_rows(docs: DataFrame, id_col: str, text_col: str, ordered: bool) ->
     return source.select(F.xxhash64("path").alias("file"), "path", "row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def squeezed(raw: bytes) -> bytes:
-    """The length, and raw compressed."""
-    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
 class Blocks:
     """For each row of a task, in order, its block: the file, and the row at which this task began to read that part of the file."""
 
@@ -202,18 +197,11 @@ def _materialise(rows: DataFrame, id_type: str, tokens: Tokens, length: int, sha
     spark = rows.sparkSession
     dtype, width, size, end = tokens.dtype, tokens.width, tokens.size, tokens.end
 
-    def encoded(texts: pa.Array, encode: Callable[[str], np.ndarray]) -> Iterator[np.ndarray]:
-        for text in texts.to_pylist():
-            ids = np.append(encode(text), end)
-            if int(ids.max()) >= size:
-                raise ValueError(f"the token id {ids.max()} isn't below {size}")
-            yield ids.astype(dtype)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, places, block_of = tokens.load(), {}, Blocks()
         for batch in batches:
             firsts = [block_of(file, row) for file, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            n = np.array([len(ids) for ids in encoded(batch.column(4), encode)], np.int64)
+            n = np.array([len(encode(text)) + 1 for text in batch.column(4).to_pylist()], np.int64)
             parts = -(-n // length)
             of = np.repeat(np.arange(len(n)), parts)
             part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -256,40 +244,35 @@ def _materialise(rows: DataFrame, id_type: str, tokens: Tokens, length: int, sha
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, begin, numbers, block_of = tokens.load(), at.value, {}, Blocks()
         for batch in batches:
-            number, pieces, held = [], [], 0
-            for file, row, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoded(batch.column(4), encode), strict=True):
-                block = block_of(file, row)
+            number, records = [], []
+            for file, row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                block, ids = block_of(file, row), encode(text)
+                parts = -(-(len(ids) + 1) // length)
+                whole = np.full(parts * length, -1, np.int64)
+                whole[: len(ids)] = ids
+                whole[len(ids)] = end
+                if int(whole.max()) >= size:
+                    raise ValueError(f"the token id {whole.max()} isn't below {size}")
+                raw = whole.astype(dtype).tobytes()
                 first = numbers.get(block)
                 first = begin[block] if first is None else first
-                for k in range(0, len(ids), length):
-                    number.append(first)
-                    pieces.append(squeezed(ids[k : k + length].tobytes()))
-                    first += 1
-                    held += len(pieces[-1])
-                    if held >= BATCH:
-                        yield dealt(number, pieces)
-                        number, pieces, held = [], [], 0
-                numbers[block] = first
-            yield dealt(number, pieces)
-
-    def dealt(number: list[int], pieces: list[bytes]) -> pa.RecordBatch:
+                numbers[block] = first + parts
+                for k in range(parts):
+                    number.append(first + k)
+                    records.append(raw[k * width * length : (k + 1) * width * length])
+                    if len(records) * width * length >= BATCH:
+                        yield dealt(number, records)
+                        number, records = [], []
+            yield dealt(number, records)
+
+    def dealt(number: list[int], records: list[bytes]) -> pa.RecordBatch:
         slot = feistel(np.array(number, np.int64), n, key)
-        return pa.RecordBatch.from_arrays([pa.array((slot // shard_slots).astype(np.int32)), pa.array(slot), pa.array(pieces, pa.binary())], names=["shard", "slot", "ids"])
-
-    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad, whole = b"\xff" * (width * length), width * length
-        for batch in batches:
-            out = []
-            for piece in batch.column(0).to_pylist():
-                raw = pa.decompress(memoryview(piece)[4:], int.from_bytes(piece[:4], "little"), codec="zstd", asbytes=True)
-                out.append(raw + pad[: whole - len(raw)])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        return pa.RecordBatch.from_arrays([pa.array((slot // shard_slots).astype(np.int32)), pa.array(slot), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
 
-    sent = rows.mapInArrow(cut, "shard int, slot long, ids binary")
+    sent = rows.mapInArrow(cut, "shard int, slot long, record binary")
     # a range of slots is one partition, and its file has that partition's number
     ranged = sent.repartitionById(-(-n // shard_slots), "shard").sortWithinPartitions("slot")
-    records = ranged.select("ids").mapInArrow(padded, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\0" * width).text(folder)
+    ranged.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0" * width).text(folder)
     return made
 
 
