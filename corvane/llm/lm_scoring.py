@@ -2,7 +2,8 @@
 
 A target model (documents marked as wanted) and a background model (all documents) are bigram models over
 one vocabulary, the words of all documents. Words and word pairs are counted as they are: each n-gram has its own
-key, a 63-bit hash and a bit that tells pairs from words. Background counts are scaled to the target's
+key, a hash and a bit that tells pairs from words. The hash has as many bits as the corpus needs: with ``SPARE`` more than
+it takes to number the corpus's bytes, a key meets another n-gram's with a probability of about one in a million. Background counts are scaled to the target's
 number of tokens, so both are smoothed alike. Each token's loss under both models gives a difference; the mean over
 a document's tokens is its score (lower: more like the target).
 
@@ -31,15 +32,21 @@ from corvane.llm.shared import stage
 BLOCK, PART_BYTES = 1 << 23, 1 << 24
 #: Weight of the unigram model in a bigram's estimate, and of the uniform one in a unigram's.
 BACKOFF, FLOOR = 4.0, 0.5
+#: Bits of a key beyond those that number the corpus's bytes.
+SPARE = 20
 _START = np.uint64(0xA0761D6478BD642F)
 _PAIR = np.uint64(0xE7037ED1A0B428DB)
 _ONE = np.uint64(1)
-#: The key of what stands before a text's first word; its count is that of the texts with words.
-_START_KEY = np.uint64(_START & ~_ONE)
 
 
-def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per token of all texts: keys of the token, of the token before and of the pair; and the offsets of the texts."""
+def start_key(width: int) -> np.uint64:
+    """The key of what stands before a text's first word; its count is that of the texts with words."""
+    return np.uint64(_START >> np.uint64(64 - width) & ~_ONE)
+
+
+def token_keys(texts: list[bytes], width: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per token of all texts: keys (of width bits) of the token, of the token before and of the pair; and the offsets of the texts."""
+    down = np.uint64(64 - width)
     own, before, pair, offsets = [], [], [], [np.zeros(1, np.int64)]
     for group in chunks(texts):
         ends = np.cumsum([len(t) + 1 for t in group])
@@ -48,9 +55,9 @@ def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         previous = np.empty_like(hashes)
         previous[1:] = hashes[:-1]
         previous[at[:-1][np.diff(at) > 0]] = _START
-        own.append(hashes & ~_ONE)
-        before.append(previous & ~_ONE)
-        pair.append(mixed(previous * _PAIR + hashes) | _ONE)
+        own.append(hashes >> down & ~_ONE)
+        before.append(previous >> down & ~_ONE)
+        pair.append(mixed(previous * _PAIR + hashes) >> down | _ONE)
         offsets.append(at[1:] + offsets[-1][-1])
     whole = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (own, before, pair)]
     return (*whole, np.concatenate(offsets))
@@ -90,18 +97,18 @@ def unpacked(raw: bytes, rising: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if rising else values
 
 
-def parts_of(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """The parts of sorted keys, without empty ones."""
-    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+def parts_of(keys: np.ndarray, width: int, bits: int) -> Iterator[tuple[int, slice]]:
+    """The parts of sorted keys of width bits, without empty ones."""
+    part = (keys >> np.uint64(width - bits)).astype(np.int64)
     at = np.searchsorted(part, np.arange((1 << bits) + 1))
     for k in np.flatnonzero(np.diff(at)):
         yield int(k), slice(int(at[k]), int(at[k + 1]))
 
 
-def part_bits(documents: DataFrame, text_col: str = "text") -> int:
-    """Parts (as a power of two) for the texts of documents."""
+def key_bits(documents: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """The width of keys in bits, and the parts (as a power of two), for the texts of documents."""
     size = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    return max(3, (size // PART_BYTES).bit_length())
+    return min(64, size.bit_length() + SPARE), max(3, (size // PART_BYTES).bit_length())
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Array]]:
@@ -129,7 +136,7 @@ class MatchedModels:
     """Counts of both models: a table of parts, and the sums over it. The background's counts are scaled to the target's mass."""
 
     table: DataFrame  # part, keys, background, target
-    bits: int
+    bits: tuple[int, int]  # as key_bits() has them
     mass: tuple[int, int]  # tokens: background, target
     texts: tuple[int, int]  # texts with words
     words: int  # distinct words
@@ -144,7 +151,7 @@ class MatchedModels:
         keys, *counts = (np.concatenate([np.zeros(0, np.uint64), *(r[k] for r in rows)]) for k in range(3))
         scaled = np.stack([c * s for c, s in zip(counts, self.scale, strict=True)])
         pair = (keys & _ONE).astype(bool)
-        return scaled[:, ~pair & (keys != _START_KEY)], scaled[:, pair]
+        return scaled[:, ~pair & (keys != start_key(self.bits[0]))], scaled[:, pair]
 
     @property
     def unigrams(self) -> np.ndarray:
@@ -157,26 +164,31 @@ class MatchedModels:
         return self._counts[1]
 
 
-def fit(documents: DataFrame, text_col: str = "text", target_col: str = "is_target", bits: int | None = None) -> MatchedModels:
-    """Both models from all documents; target_col marks the target's. bits: as part_bits() has it, by default from documents."""
-    bits = part_bits(documents, text_col) if bits is None else bits
+def fit(documents: DataFrame, text_col: str = "text", target_col: str = "is_target", bits: tuple[int, int] | None = None) -> MatchedModels:
+    """Both models from all documents; target_col marks the target's. bits: as key_bits() has them, by default of documents.
+
+    Texts that are null, empty or blank add nothing; a null mark is none. Repeated rows count as often as they are there. An empty
+    table gives models without counts; other columns are ignored, whatever their names.
+    """
+    bits = key_bits(documents, text_col) if bits is None else bits
+    start_of, width = start_key(bits[0]), bits[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, flags in _blocks(batches):
-            own, _, pair, offsets = token_keys(texts)
+            own, _, pair, offsets = token_keys(texts, width)
             wanted, n = np.array(flags.to_pylist(), bool), np.diff(offsets)
             full, of = n > 0, np.repeat(wanted, n)
             found = [(u, np.bincount(at, minlength=len(u)), np.bincount(at[of], minlength=len(u))) for u, at in (indexed(own), indexed(pair))]
-            found.append((np.array([_START_KEY]), np.array([full.sum()]), np.array([wanted[full].sum()])))
+            found.append((np.array([start_of]), np.array([full.sum()]), np.array([wanted[full].sum()])))
             keys, background, target = counted(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            rows = [(k, packed(keys[at], True), packed(background[at]), packed(target[at])) for k, at in parts_of(keys, bits)]
+            rows = [(k, packed(keys[at], True), packed(background[at]), packed(target[at])) for k, at in parts_of(keys, *bits)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "keys", "background", "target"])
 
     def add(part: pa.Table) -> pa.Table:
         columns = [[unpacked(x, k == 1) for x in part.column(k).to_pylist()] for k in range(1, 4)]
         keys, background, target = counted(*(np.concatenate(c) for c in columns))
-        start, word = keys == _START_KEY, (keys & _ONE) == 0
+        start, word = keys == start_of, (keys & _ONE) == 0
         word &= ~start
         sums = [int(x[at].sum()) for at in (word, start) for x in (background, target)]
         row = [part.column(0)[0].as_py(), packed(keys, True), packed(background), packed(target), *sums, int(word.sum())]
@@ -210,7 +222,7 @@ def score(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_c
     def keys_of(lengths: list[int], raw: bytes) -> tuple[np.ndarray, ...]:
         whole = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
         ends = np.cumsum(lengths)
-        return token_keys([whole[e - n : e] for e, n in zip(ends.tolist(), lengths, strict=True)])
+        return token_keys([whole[e - n : e] for e, n in zip(ends.tolist(), lengths, strict=True)], bits[0])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +230,7 @@ def score(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_c
                 own, _, pair, _ = keys_of(lengths, raw)
                 keys = np.sort(np.concatenate([own, pair]))
                 keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-                rows = [(k, name, packed(keys[at], True)) for k, at in parts_of(keys, bits)]
+                rows = [(k, name, packed(keys[at], True)) for k, at in parts_of(keys, *bits)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["part", "block", "asked"])
 
@@ -244,7 +256,7 @@ def score(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_c
         (own_keys, at_own), (pair_keys, at_pair) = indexed(own), indexed(pair)
         place = np.argsort(np.concatenate([own_keys, pair_keys]))
         order = np.argsort(answers.column(1).to_numpy())
-        starts = before == _START_KEY
+        starts = before == start_key(bits[0])
         means = []
         for m in range(2):
             raw = answers.column(2 + m)
@@ -270,10 +282,12 @@ def score(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_c
     return scored.withColumnRenamed("id", id_col)
 
 
-def mark_targets(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, text, is_target) where targets lists the wanted ids.
+def mark_targets(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, is_target) where targets lists the wanted ids; repeated and null ids there change nothing, a null id of docs is no target.
 
     Always a merge join: the ids grow with the corpus, so a broadcast that small tables would get doesn't show what large ones need.
     """
-    wanted = targets.select(F.col(id_col).alias("__id"), F.lit(True).alias("__wanted")).distinct().hint("merge")
-    return docs.join(wanted, docs[id_col] == wanted["__id"], "left").select(docs[id_col], docs["text"], F.coalesce("__wanted", F.lit(False)).alias("is_target"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    wanted = targets.select(F.col(id_col).alias("__wanted")).distinct().hint("merge")
+    marked = rows.join(wanted, rows["__id"] == wanted["__wanted"], "left")
+    return marked.select(F.col("__id").alias(id_col), F.col("__text").alias(text_col), F.col("__wanted").isNotNull().alias("is_target"))

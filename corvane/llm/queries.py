@@ -38,7 +38,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     wanted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    models = lm_scoring.fit(lm_scoring.mark_targets(docs, wanted), bits=lm_scoring.part_bits(docs))
+    models = lm_scoring.fit(lm_scoring.mark_targets(docs, wanted), bits=lm_scoring.key_bits(docs))
     return lm_scoring.score(docs, models)
 
 
