@@ -76,15 +76,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all its columns, without the rows that exact_dedup() doesn't keep."""
-    found = stage(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"), "keep_id", "group_size"), "dedup-verdicts")
-    lost = found.filter(~F.col("__id").eqNullSafe(F.col("keep_id"))).select("__id", "__sha").distinct()
-    sha = F.unhex(F.sha2(normalised(text_col), 256))
-    kept = docs.join(lost, docs[id_col].eqNullSafe(lost["__id"]) & (sha == lost["__sha"]), "left_anti")
-    repeated = found.filter("group_size > 1").filter(F.col("__id").eqNullSafe(F.col("keep_id"))).groupBy("__id", "__sha").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    """docs with all its columns, without the rows that exact_dedup() doesn't keep.
+
+    Null counts as empty, as there, and a null id stays only where no other row has the text. Of repeated rows with the same id and text
+    one stays. An empty table gives an empty result; names of other columns don't matter.
+    """
+    found = exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("sha"), "keep_id", "kept")
+    found = stage(found, "dedup-verdicts")
+    # a text's own keeper loses only as a repeated row, which goes by its rank below
+    lost = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "sha").distinct()
+    twice = found.filter(F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select("id", "sha").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"))
+    meets = lambda other: rows["own"].eqNullSafe(other["id"]) & (rows["digest"] == other["sha"])
+    kept = rows.join(lost, meets(lost), "left_anti")
+    single = kept.join(twice, meets(twice), "left_anti").select("row")
+    if twice.isEmpty():
+        return single.select("row.*")
+    # repeated rows: equal ones are one row after the map-side part of the aggregate
+    repeated = kept.join(twice, meets(twice), "left_semi").groupBy("own", "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return single.union(repeated).select("row.*")
 
 
 ORACLE = r"""

@@ -162,11 +162,11 @@ def _signature_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for group in chunks(batch.column(1).to_pylist()):
+            for group in chunks(batch.column(2).to_pylist()):
                 flat, offsets = shingle_sets(group, words)
                 one, two, bands = signatures(flat, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1, dtype=np.int32) * (2 * SIDE)), pa.array(bands.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(group)), pa.array(np.diff(offsets)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["id", "n", "one", "two", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(group)), batch.column(1).slice(done, len(group)), pa.array(np.diff(offsets)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["id", "digest", "n", "one", "two", "bands"])
                 done += len(group)
 
     return run
@@ -304,20 +304,18 @@ def residual_links(open_rows: DataFrame, labels: DataFrame, sets: DataFrame, per
     return with_links(labels, verified(pairs, sets, percent))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept: one row per input row.
+def _raw(text_col: str):
+    return F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
 
-    A-Z is lower-cased; words are runs of other than ASCII white space. The set of a text is its distinct
-    shingles of ``words`` words, or the whole sequence if it has fewer words. Texts are linked where
-    100 * intersection >= percent * union; component_id is the smallest id that links reach. Null, empty and blank texts
-    have no shingles and no links. A row with a null id has a null component and is kept. Repeated rows
-    get equal values; an empty table gives an empty result; other columns are ignored.
-    """
+
+def labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, n, component) of every row: a hash of its text, the size of its set, and its component's smallest id."""
     kind = docs.schema[id_col].dataType.simpleString()
-    raw = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("raw"))
+    raw = docs.select(F.col(id_col).alias("id"), _raw(text_col).alias("raw"))
     of_class = ["n", "one", "two"]
     with scope(docs.sparkSession) as tables:
-        signed = stage(raw.mapInArrow(_signature_rows(words), f"id {kind}, n long, one long, two long, bands array<long>"), "minhash-signatures")
+        signed = raw.select("id", F.xxhash64("raw").alias("digest"), "raw").mapInArrow(_signature_rows(words), f"id {kind}, digest long, n long, one long, two long, bands array<long>")
+        signed = stage(signed, "minhash-signatures")
         classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*of_class).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
         classes = stage(classes, "minhash-classes")
         members = stage(bucket_members(classes), "minhash-members")
@@ -333,13 +331,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_
 
     own = classes.select(*of_class, F.col("id").alias("rep"))
     own = own.join(labels, own["rep"] == labels["node"], "left").select(*of_class, F.coalesce("component", "rep").alias("component"))
-    found = signed.select("id", *of_class).join(own, of_class, "left")
+    found = signed.select("id", "digest", *of_class).join(own, of_class, "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return found.select("id", "digest", "n", component.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept: one row per input row.
+
+    A-Z is lower-cased; words are runs of other than ASCII white space. The set of a text is its distinct
+    shingles of ``words`` words, or the whole sequence if it has fewer words. Texts are linked where
+    100 * intersection >= percent * union; component_id is the smallest id that links reach. Null, empty and blank texts
+    have no shingles and no links. A row with a null id has a null component and is kept. Repeated rows
+    get equal values; an empty table gives an empty result; other columns are ignored.
+    """
+    found = labelled(docs, words, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all its columns, one document of each component (its smallest id)."""
-    found = near_duplicates(docs, words, percent, id_col, text_col)
-    lost = stage(found.filter("NOT kept").select(F.col(id_col).alias("__id")).distinct(), "minhash-lost")
-    return docs.join(lost, docs[id_col] == lost["__id"], "left_anti")
+    """docs with all its columns, of each component the rows with its smallest id.
+
+    Nulls, empty texts and repeated rows are as in near_duplicates(): a row goes only if its own text is linked to a smaller id, so rows
+    that share an id stay or go by their texts (different texts that both come first with that id share their links, though). An empty table gives an empty result; names of other columns don't matter.
+    """
+    found = labelled(docs, words, percent, id_col, text_col)
+    lost = stage(found.filter("id <> component").select("id", "digest").distinct(), "minhash-lost")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.xxhash64(_raw(text_col)).alias("sum"))
+    return rows.join(lost, (rows["own"] == lost["id"]) & (rows["sum"] == lost["digest"]), "left_anti").select("row.*")

@@ -6,8 +6,8 @@ and id; the row is exploded by that number, and the copies are shuffled globally
 
 The inversion reads a table of cumulative probabilities per source. Rates above ``PIECE`` are split
 into equal pieces with a draw for each (a sum of Poissons is Poisson), so the tables stay short and
-exp(-rate) never underflows. The rates meet the rows by source and salt: a source with a third of all rows
-is spread over ``SALTS`` keys.
+exp(-rate) never underflows. The rates meet the rows by source and salt: a source with at least one in ``HOT`` of all
+rows (so there are ``HOT`` of them at most) is spread over ``SALTS`` keys.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import hashed_uniform
+from corvane.llm.shared import hashed_uniform, stage
 
 PIECE = 16.0
 SALTS = 256
+HOT = 1000
 ALPHA = 0.5
 SEED = 20
 
@@ -57,36 +58,41 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: DataFrame
 
 
 def with_copies(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """docs with n_copies (long), replacing a column of that name."""
-    docs = docs.drop("n_copies").withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    salted = rates.select(
-        F.col("source").alias("__source"), F.col("pieces").alias("__pieces"), F.col("cdf").alias("__cdf"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__to"),
-    )
-    joined = docs.join(salted, docs[source_col].eqNullSafe(salted["__source"]) & (docs["__salt"] == salted["__to"]))
+    """row (all columns of docs), id and n_copies (long) of each row."""
+    rates = stage(rates, "mixing-rates", narrow=True)
+    total = rates.agg(F.sum("n")).first()[0] or 0  # one number
+    is_hot = F.col("n") * HOT >= total
+    salted = rates.select("source", "pieces", "cdf", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("to"))
+    hot = rates.filter(is_hot).select(F.col("source").alias("hot"), F.lit(True).alias("is_hot"))  # HOT rows at most
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("own"))
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = rows.join(F.broadcast(hot), rows["own"].eqNullSafe(hot["hot"]), "left").select("row", "id", "own", salt.alias("salt"))
+    joined = rows.join(salted, rows["own"].eqNullSafe(salted["source"]) & (rows["salt"] == salted["to"])).select("row", "id", "pieces", "cdf")
+    of_id = F.coalesce(F.col("id").cast("string"), F.lit(""))
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("__pieces")),
+        F.sequence(F.lit(1), F.col("pieces")),
         F.lit(0),
-        lambda a, j: a + F.size(F.filter("__cdf", lambda c: c <= hashed_uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), j))),
+        lambda a, j: a + F.size(F.filter("cdf", lambda c: c <= hashed_uniform(F.lit(seed), of_id, j))),
     )
-    one = hashed_uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(1))
-    joined = joined.withColumn("__u", F.when(F.col("__pieces") == 1, one))
-    copies = F.when(F.col("__pieces") == 1, F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).otherwise(draw)
-    return joined.withColumn("n_copies", copies.cast("long")).drop("__salt", "__source", "__pieces", "__cdf", "__to", "__u")
+    joined = joined.withColumn("u", F.when(F.col("pieces") == 1, hashed_uniform(F.lit(seed), of_id, F.lit(1))))
+    copies = F.when(F.col("pieces") == 1, F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(draw)
+    return joined.select("row", "id", copies.cast("long").alias("n_copies"))
 
 
 def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: DataFrame | None = None, alpha: float = ALPHA, total_rows: int | None = None, seed: int = SEED) -> DataFrame:
     """docs with n_copies, copy_no (from 1) and order_key, each row as often as it was drawn, in a global random order.
 
     Rows with equal ids (repeated rows) draw the same number; a null id draws as the empty one. A source of
-    weight 0 vanishes; a null source is a source like the others. An empty table gives an empty result. The
-    result's columns replace columns of docs with the same names.
+    weight 0 vanishes; a null source is a source like the others. Null, empty and long texts are carried as they are. An empty table
+    gives an empty result. The result's columns replace columns of docs with the same names; other columns pass through, whatever their names.
     """
+    kept = [c for c in docs.columns if c not in ("n_copies", "copy_no", "order_key")]
     rates = source_rates(docs, source_col, weights, alpha, total_rows)
-    drawn = with_copies(docs.drop("copy_no", "order_key"), rates, id_col, source_col, seed)
+    drawn = with_copies(docs.select(kept), rates, id_col, source_col, seed)
     copies = drawn.filter("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col(id_col).cast("string"), F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long")
-    return copies.withColumn("order_key", key).repartition("order_key").sortWithinPartitions("order_key")
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col("id").cast("string"), F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long")
+    ordered = copies.select("row", "n_copies", "copy_no", key.alias("order_key")).repartition("order_key").sortWithinPartitions("order_key")
+    return ordered.select(*(F.col("row").getField(c).alias(c) for c in kept), "n_copies", "copy_no", "order_key")
 
 
 ORACLE = f"""
@@ -97,9 +103,9 @@ q AS (SELECT source, pieces, rate / pieces AS piece FROM r),
 c AS (SELECT source, pieces, list_reduce(
         list_prepend({{'p': exp(-piece), 'cdf': [exp(-piece)]}}, list_transform(generate_series(1, (ceil(piece + 12 * sqrt(piece)) + 24)::INT), lambda k: {{'p': piece / k, 'cdf': [0.0::DOUBLE]}})),
         lambda a, b: {{'p': a.p * b.p, 'cdf': list_append(a.cdf, a.cdf[-1] + a.p * b.p)}}).cdf AS cdf FROM q),
-d AS (SELECT doc_id, documents.source, list_sum(list_transform(generate_series(1, pieces), lambda j:
+d AS (SELECT doc_id, text, documents.source, list_sum(list_transform(generate_series(1, pieces), lambda j:
         len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('{SEED}|' || doc_id || '|' || j), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0))))::BIGINT AS n_copies
       FROM documents JOIN c ON documents.source IS NOT DISTINCT FROM c.source)
-SELECT doc_id, source, n_copies, copy_no, ('0x' || substr(md5('order{SEED}|' || doc_id || '|' || copy_no), 1, 15))::BIGINT AS order_key
+SELECT doc_id, source, sha256(coalesce(text, '')) AS text_sha256, n_copies, copy_no, ('0x' || substr(md5('order{SEED}|' || doc_id || '|' || copy_no), 1, 15))::BIGINT AS order_key
 FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy_no FROM d WHERE n_copies > 0)
 """

@@ -67,8 +67,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import mixing
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.poisson_mix(docs).select("doc_id", "source", "n_copies", "copy_no", "order_key")
+    mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)  # of the text as it arrives
+    return mixed.select("doc_id", "source", digest.alias("text_sha256"), "n_copies", "copy_no", "order_key")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

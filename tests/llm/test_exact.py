@@ -48,6 +48,16 @@ def test_drop_exact_copies(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, 1), (False, 3), (False, 4), (False, 9), (True, 0)]
 
 
+def test_drop_exact_copies_of_repeated_rows(spark):
+    rows = [(5, "a", "x"), (5, "a", "x"), (5, "a", "y"), (5, "b", "x"), (2, "b", "z"), (None, "c", "x"), (None, "c", "x"), (None, None, "x"), (7, " ", "x"), (7, "\t", "x"), (8, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumns({"own": F.lit(1), "id": F.lit("i"), "digest": F.lit(None).cast("binary"), "sha": F.lit("s"), "__id": F.lit(2)})
+    left = exact_dedup.drop_exact_copies(docs.repartition(4))
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id or 0, (r.text or "").strip()) for r in left.collect())
+    assert got == [(0, "c"), (2, "b"), (5, "a"), (7, ""), (8, "")]
+    assert exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
+
+
 def test_hot_text_is_merged_before_it_moves(spark):
     """A text that all rows share is a row per task and leaf after the map side."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
@@ -83,6 +93,16 @@ def test_poisson_mix_edges(spark):
     assert mixing.poisson_mix(docs.limit(0)).count() == 0
 
 
+def test_poisson_mix_carries_whole_rows(spark):
+    rows = [(i, "s" if i % 3 else "hot", "t" * i, i) for i in range(60)] + [(None, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, salt long").withColumns({"row": F.lit("r"), "to": F.lit(1), "cdf": F.lit(0.5), "hot": F.lit(True), "__salt": F.lit(3), "order_key": F.lit("gone")})
+    out = mixing.poisson_mix(docs, total_rows=600)
+    assert out.columns == [*docs.columns[:-1], "n_copies", "copy_no", "order_key"]
+    kept = {r.doc_id: tuple(r)[:-1] for r in docs.collect()}
+    mixed = out.collect()
+    assert all(tuple(r)[:9] == kept[r.doc_id] for r in mixed) and len(mixed) > 400 and any(r.doc_id is None for r in mixed)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 200), (200, 300), (300, 100), (7, 500)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

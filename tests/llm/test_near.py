@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import lm_scoring, minhash
 from corvane.llm.queries import QUERIES
@@ -76,6 +77,16 @@ def test_near_duplicate_edges(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3, 4, 5, 6, 7, 8, 9, 11]
 
 
+def test_drop_near_copies_of_one_id(spark):
+    """Rows that share an id go or stay by their own texts."""
+    rows = [(1, "a b c d"), (2, "A b c d"), (2, "q r s t"), (2, "q r s t"), (None, "a b c d"), (3, None), (3, "q r s t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "digest": F.lit("d"), "__id": F.lit(2), "row": F.lit("r"), "sum": F.lit(0)})
+    left = minhash.drop_near_copies(docs, 2)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in left.collect()))
+    assert got == [(0, "a b c d"), (1, "a b c d"), (2, "q r s t"), (2, "q r s t"), (3, "")], got
+
+
 def test_word_hashes_tell_words_apart():
     rnd = random.Random(1)
     words = {"".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 12))) for _ in range(20_000)} | {"A" * n + "b" for n in range(300)}
