@@ -5,8 +5,8 @@ of its slots gives all languages that contain it at once. Per language the n-gra
 has the language's bit are counted (a popcount down the bit's column), corrected for the false positives that the
 bit's fill rate predicts; the language with the highest corrected share decides.
 
-Training sees at most about ``train_docs`` labelled rows, drawn by a hash of the id. N-grams that too few of
-a language's texts hold are left out. Prediction reads the whole text and nothing else.
+Training sees at most about ``train_docs`` labelled rows of each language, drawn by a hash of the id, so a rare language is
+learnt at every size of the table. N-grams that too few of a language's texts hold are left out. Prediction reads the whole text and nothing else.
 """
 
 from __future__ import annotations
@@ -20,18 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import stage
-
 #: Sizes of the n-grams, in characters of the lower-cased text in which all but letters is one space.
 SIZES = (2, 3, 4)
 #: Slots of the filter (a power of two), and hashes per n-gram.
 SLOT_BITS = 21
 HASHES = 2
-#: Bound of the training sample, in rows (as an expectation), and of the n-grams kept per language and size.
-TRAIN_DOCS = 20_000
-TRAIN_GRAMS = 40_000
-#: Texts of a language that must hold an n-gram, as a share.
+#: Bound of the training sample of a language, in rows (as an expectation).
+TRAIN_DOCS = 5_000
+#: Texts of a language that must hold an n-gram, as a share. It also bounds the n-grams kept: a text of n letters has 3 n of them.
 LEAST_SHARE = 0.002
+#: Languages of one bitmask; further ones have masks of their own.
+MASK_BITS = 63
 #: Characters that are handled at once.
 BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
@@ -101,34 +100,34 @@ def blocks_of(text: str) -> Iterator[np.ndarray]:
 
 @dataclass
 class LanguageFilter:
-    """The fitted filter: languages in bit order, slots, and per size the false-positive and hit rates."""
+    """The fitted filter: languages in bit order, slots (an array for each MASK_BITS languages), and per size the false-positive rates."""
 
     languages: list[str]
     prior: list[float]
-    slots: np.ndarray  # uint8, 16, 32 or 64
+    slots: list[np.ndarray]  # of uint8, 16, 32 or 64
     false_rate: np.ndarray  # (sizes, languages)
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
+    def masks(self, hashes: np.ndarray) -> list[np.ndarray]:
         low = np.uint64((1 << SLOT_BITS) - 1)
-        found = self.slots[(hashes & low).astype(np.int64)]
-        for k in range(1, HASHES):
-            found &= self.slots[((hashes >> np.uint64(SLOT_BITS * k)) & low).astype(np.int64)]
-        return found
+        places = [((hashes >> np.uint64(SLOT_BITS * k)) & low).astype(np.int64) for k in range(HASHES)]
+        return [np.bitwise_and.reduce([slots[p] for p in places]) for slots in self.slots]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, languages) popcounts, and n-grams per size."""
-        bits = len(self.languages)
-        hits, n = np.zeros((len(SIZES), bits)), np.zeros(len(SIZES))
+        hits, n = np.zeros((len(SIZES), len(self.languages))), np.zeros(len(SIZES))
         for codes in blocks_of(text):
             for j, size in enumerate(SIZES):
-                masks = self.masks(gram_hashes(codes[: BLOCK_CHARS + size - 1], size))
-                n[j] += len(masks)
-                if bits <= 8:
-                    # every mask value once, then its bits
-                    seen = np.bincount(masks, minlength=1 << bits)
-                    hits[j] += [seen[np.arange(len(seen)) >> b & 1 == 1].sum() for b in range(bits)]
-                else:
-                    hits[j] += [np.count_nonzero(masks >> masks.dtype.type(b) & masks.dtype.type(1)) for b in range(bits)]
+                hashes = gram_hashes(codes[: BLOCK_CHARS + size - 1], size)
+                n[j] += len(hashes)
+                for w, masks in enumerate(self.masks(hashes)):
+                    bits = range(min(MASK_BITS, len(self.languages) - w * MASK_BITS))
+                    if len(bits) <= 8:
+                        # every mask value once, then its bits
+                        seen = np.bincount(masks, minlength=1 << len(bits))
+                        found = [seen[np.arange(len(seen)) >> b & 1 == 1].sum() for b in bits]
+                    else:
+                        found = [np.count_nonzero(masks >> masks.dtype.type(b) & masks.dtype.type(1)) for b in bits]
+                    hits[j, w * MASK_BITS : w * MASK_BITS + len(bits)] += found
         return hits, n
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -145,48 +144,58 @@ class LanguageFilter:
         return self.languages[best], float(min(1.0, max(0.0, total[best])))
 
 
+def filled(languages: list[str], sizes: list[float], grams: np.ndarray, masks: list[np.ndarray]) -> LanguageFilter:
+    """The filter of n-gram hashes with their languages' masks."""
+    all_slots = []
+    low = np.uint64((1 << SLOT_BITS) - 1)
+    fill = np.zeros(len(languages))
+    for w, mask in enumerate(masks):
+        bits = min(MASK_BITS, len(languages) - w * MASK_BITS)
+        kind = next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if bits <= most)
+        slots = np.zeros(1 << SLOT_BITS, kind)
+        for k in range(HASHES):
+            np.bitwise_or.at(slots, ((grams >> np.uint64(SLOT_BITS * k)) & low).astype(np.int64), mask.astype(kind))
+        fill[w * MASK_BITS : w * MASK_BITS + bits] = [np.count_nonzero(slots >> kind(b) & kind(1)) / len(slots) for b in range(bits)]
+        all_slots.append(slots)
+    return LanguageFilter(languages, sizes, all_slots, np.tile(fill**HASHES, (len(SIZES), 1)))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, id_col: str = "doc_id") -> LanguageFilter:
-    """The filter of rows with a non-null text and lang; at most 64 languages (an error otherwise).
+    """The filter of rows with a non-null text and lang, of any number of languages.
 
-    A sample of about train_docs rows is drawn by a hash of the id, so its size doesn't grow with the table; its n-grams
-    are counted on the executors, and of each language and size the TRAIN_GRAMS most frequent ones that
-    LEAST_SHARE of the language's sampled texts hold come to the driver.
+    A sample of about train_docs rows of each language is drawn by a hash of the id, so its size doesn't grow with the table; its
+    n-grams are counted on the executors, and those that LEAST_SHARE of a language's sampled texts hold come to the driver
+    with their languages' masks. Repeated rows count as often as they are there; a table without labels gives a filter that knows no language.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    n = rows.count()
-    if n > train_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) < int((1 << 30) * train_docs / n))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) > 64:
-        raise ValueError("more than 64 languages")
-    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    languages = sorted(n, key=lambda x: (-n[x], x))
+    if not languages:
+        return LanguageFilter([], [], [], np.zeros((len(SIZES), 0)))
+    sizes = [float(min(n[x], train_docs)) for x in languages]
+    share = 1 << 30
+    drawn = [(x, k // MASK_BITS, 1 << k % MASK_BITS, int(share * min(1.0, train_docs / n[x])), max(2 if sizes[k] >= 20 else 1, int(LEAST_SHARE * sizes[k]))) for k, x in enumerate(languages)]
+    known = spark.createDataFrame(drawn, "of string, word int, mask long, rate long, least long")
+    sample = rows.join(F.broadcast(known.select("of", "rate")), F.col("lang") == F.col("of")).filter(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(share)) < F.col("rate"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # per partition: how many texts of a language hold an n-gram
+        # per batch: how many texts of a language hold an n-gram
         for batch in batches:
-            held: dict[tuple[str, int], list[np.ndarray]] = {}
+            held: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = codes_of(text)
                 for size in SIZES:
-                    held.setdefault((lang, size), []).append(np.unique(gram_hashes(codes, size)))
-            for (lang, size), found in held.items():
+                    held.setdefault(lang, []).append(np.unique(gram_hashes(codes, size)))
+            for lang, found in held.items():
                 keys, count = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([size] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "size", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(grams, "lang string, size int, gram long, n long")
-    counted = stage(counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langid-grams")
-    kind = next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= most)
-    slots = np.zeros(1 << SLOT_BITS, kind)
-    low = np.uint64((1 << SLOT_BITS) - 1)
-    for bit, lang in enumerate(languages):
-        least = max(2 if sizes[lang] >= 20 else 1, int(LEAST_SHARE * sizes[lang]))
-        for size in SIZES:
-            top = counted.filter((F.col("lang") == lang) & (F.col("size") == size) & (F.col("n") >= least)).orderBy(F.desc("n"), "gram").limit(TRAIN_GRAMS).select("gram").toArrow()
-            hashes = top.column("gram").to_numpy().view(np.uint64)
-            for k in range(HASHES):
-                slots[((hashes >> np.uint64(SLOT_BITS * k)) & low).astype(np.int64)] |= kind(1 << bit)
-    fill = np.array([np.count_nonzero(slots >> kind(b) & kind(1)) / len(slots) for b in range(len(languages))])
-    return LanguageFilter(languages, [float(sizes[x]) for x in languages], slots, np.tile(fill**HASHES, (len(SIZES), 1)))
+    counted = sample.select("text", "lang").mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    frequent = counted.join(F.broadcast(known.select("of", "word", "mask", "least")), (F.col("lang") == F.col("of")) & (F.col("n") >= F.col("least")))
+    words = range(-(-len(languages) // MASK_BITS))
+    found = frequent.groupBy("gram").agg(*(F.bit_or(F.when(F.col("word") == w, F.col("mask")).otherwise(0)).alias(f"mask{w}") for w in words)).toArrow()
+    return filled(languages, sizes, found.column("gram").to_numpy().view(np.uint64), [found.column(f"mask{w}").to_numpy().view(np.uint64) for w in words])
 
 
 def predict_columns(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
@@ -216,5 +225,5 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit_documents(docs: DataFrame) -> LanguageFilter:
-    """The filter of the rows that aren't held out."""
+    """The filter of the rows of documents that aren't held out; rows with a null id are learnt from, other nulls and repeated rows are as in fit()."""
     return fit(docs.filter(~F.coalesce(held_out(), F.lit(False))))

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import html
+import random
 import re
 import zlib
 
@@ -101,6 +102,36 @@ def test_language_edges(spark):
     assert none.predict("text") == ("und", 0.0)
 
 
+def test_many_languages_and_rare_ones(spark):
+    """More languages than a mask has bits, one of them with two texts among thousands."""
+    rnd = random.Random(5)
+    words = {f"l{k:03}": ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(140)}
+    text = lambda lang: " ".join(rnd.choice(words[lang]) for _ in range(30))
+    rows = [(k, text(lang), lang) for k, lang in enumerate([*list(words) * 4, *["l000"] * 3000, "rare", "rare"]) if lang != "rare"]
+    words["rare"] = ["zzyzx", "qqwrt", "vvnmk"]
+    rows += [(10**6 + k, text("rare"), "rare") for k in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=50)
+    assert len(model.languages) == 141 and len(model.slots) == 3 and model.prior[0] == 50
+    assert [model.predict(text(lang))[0] for lang in words] == list(words)
+
+
+def test_filter_equals_exact_sets():
+    """The languages of an n-gram's mask are those that hold it, but for false positives at about the rate that the fill predicts."""
+    rnd = np.random.default_rng(2)
+    sets = {lang: rnd.integers(0, 2**64, 60_000, dtype=np.uint64) for lang in range(5)}
+    grams = np.unique(np.concatenate(list(sets.values())))
+    mask = np.zeros(len(grams), np.uint64)
+    for lang, own in sets.items():
+        mask |= np.isin(grams, own).astype(np.uint64) << np.uint64(lang)
+    model = langid.filled(list("abcde"), [1.0] * 5, grams, [mask])
+    (got,) = model.masks(grams)
+    assert (got & mask.astype(np.uint8) == mask).all()
+    strangers = rnd.integers(0, 2**64, 200_000, dtype=np.uint64)
+    for lang in range(5):
+        rate = (model.masks(strangers)[0] >> np.uint8(lang) & 1).mean()
+        assert abs(rate - model.false_rate[0][lang]) < 0.001
+
+
 def test_blocks_of_long_texts_hold_all_grams():
     text = "abc def, ghi " * 60_000
     whole = langid.gram_hashes(langid.codes_of(text), 4)
@@ -113,7 +144,7 @@ def test_false_positive_correction():
     rnd = np.random.default_rng(1)
     slots[rnd.random(len(slots)) < 0.3] |= 1
     rate = np.tile(np.array([(slots & 1).mean(), 0.0]) ** langid.HASHES, (len(langid.SIZES), 1))
-    model = langid.LanguageFilter(["a", "b"], [1.0, 1.0], slots, rate)
+    model = langid.LanguageFilter(["a", "b"], [1.0, 1.0], [slots], rate)
     _, score = model.predict("".join(chr(97 + int(x)) for x in rnd.integers(0, 26, 20_000)))
     assert score < 0.05  # hits by chance are taken off
 
