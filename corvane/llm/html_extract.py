@@ -29,6 +29,15 @@ STOP_WORDS = frozenset(
     nur oder sein sich sie sind so über um und von vor war wie wird zu zum zur
     al como con cuando de del desde el ella en entre era es esta este fue ha hasta la las le lo los más me mi muy no o para pero por porque que
     se ser si sin sobre son su sus también un una y ya
+    anche che chi ci con cui da dal dalla degli dei del della delle di dove e è era fra già gli ha hanno i il io la le lei lo loro ma mi nel nella non o per perché più
+    questa questo quella quello se si sono su sul sulla tra tutti un una
+    ao aos até com como da das do dos ela ele em entre era essa esse esta este eu foi isso já mais mas mesmo muito na não nas nem no nos o os ou para pela pelo por quando que
+    se sem seu sua também tem um uma
+    aan al als bij dan dat de deze die dit door een en er geen had heeft het hij hoe ik in is je kan maar meer met naar niet nog nu of om onder ook op over te tot uit van voor
+    waar was wat we wel werd wordt ze zich zij zijn zo
+    а без более бы был была были было быть в вам вас весь во вот все всего вы где да для до его ее её если есть еще ещё же за здесь и из или им их к как ко когда кто ли либо
+    между меня мне может мы на над надо наш не него нее ней нет ни них но ну о об однако он она они оно от очень по под при с со так также такой там те тем то того тоже той
+    только том ты у уже хотя чего чей чем что чтобы чье чья эта эти это этого этой этом этот
     """.split()
 )
 # Names of HTML elements.
@@ -43,25 +52,37 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 BLOCKS = HEADINGS | BOILERPLATE | CONTENT | frozenset(
     "address blockquote body caption center dd details dir div dl dt fieldset figcaption figure head header hgroup hr html legend li ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-# Words of class, id or role attributes that mark boilerplate.
+# Parts of the names in class, id or role attributes. A name with one of HINTS marks boilerplate; one of WEAK does so
+# alone or before words of RESTS only (social, social-links, but not social-science); names that begin with one of ABOUT say something else.
 HINTS = frozenset(
     """
-    ad ads advert advertisement advertising banner breadcrumb breadcrumbs combx comment comments commentlist consent contentinfo cookie cookies copyright disqus disclaimer
-    footer masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination pager popup promo promoted promotion
-    recommended related replies reply respond share sharing shoutbox sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription
-    taboola toolbar widget widgets
+    ad ads advert advertisement advertising breadcrumb breadcrumbs combx comment comments commentlist consent contentinfo cookie cookies copyright disqus disclaimer
+    footer masthead menu modal nav navbar navigation newsletter outbrain pagination pager popup promo promoted shoutbox sidebar sidebars signup skyscraper sponsor sponsored
+    taboola toolbar
     """.split()
 )
+WEAK = frozenset("banner notice notices notification promotion recommended related replies reply respond share sharing social subscribe subscription widget widgets".split())
+RESTS = WEAK | frozenset(
+    "area article articles bar block body box button buttons container content form group header heading icon icons inner item items link links list media message news outer panel post posts row section stories story text title top bottom wrap wrapper".split()
+)
+ABOUT = frozenset("has is no not with without hide show open close".split())
+COMMENT = frozenset(["comment", "comments", "reply", "replies"])
+# Marks that end a sentence in some script.
+SENTENCE_ENDS = re.compile(r"[.!?…。！？｡।؟۔։။።]")
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.05, 0.12
 LINKS_MOST = 0.3
+#: Characters a sentence end at most, where stop words can't tell.
+SENTENCE_MOST = 300
 
+# attributes as HTML has them: a quote inside an unquoted value or a name is an ordinary character
+_ATTRIBUTES = r"(?:[\s/]+|[^\s/>=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)?|=)*+>"
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + _ATTRIBUTES + r"(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>" + _ATTRIBUTES + r"|[^>]*(?:>|\Z))",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -80,16 +101,31 @@ class Block:
     label: str = ""
 
 
-def marks(attrs: str) -> tuple[bool, bool]:
-    """Whether class, id or role names a kind of boilerplate, and whether the element is hidden."""
-    named = hidden = False
+def names_boilerplate(name: str) -> bool:
+    """Whether one name of a class, id or role attribute marks boilerplate."""
+    first, *rest = [w.lower() for w in _SPLIT_HINT.split(name) if w] or [""]
+    if first in ABOUT:
+        return False
+    return first in HINTS or any(w in HINTS for w in rest) or first in WEAK and all(w in RESTS for w in rest)
+
+
+def names_comment(name: str) -> bool:
+    """Whether one name says that the element is a reader's comment."""
+    return next((w.lower() for w in _SPLIT_HINT.split(name) if w), "") in COMMENT
+
+
+def marks(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role names a kind of boilerplate, whether the element is hidden, and whether it is a comment."""
+    named = hidden = comment = False
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), m[2] or ""
         if key in ("class", "id", "role"):
-            named = named or any(w.lower() in HINTS for w in _SPLIT_HINT.split(value) if w)
+            names = value.strip("\"'").split()
+            named = named or any(map(names_boilerplate, names))
+            comment = comment or any(map(names_comment, names))
         elif key == "hidden" or key == "aria-hidden" and value.strip("\"'").lower() == "true" or key == "style" and _UNSEEN.search(value):
             hidden = True
-    return named, hidden
+    return named, hidden, comment
 
 
 def skipped(tags: list[re.Match[str]]) -> dict[int, int]:
@@ -164,7 +200,7 @@ def blocks_of(page: str) -> list[Block]:
             in_link = not end
             continue
         attrs = m["attrs"]
-        named, hidden = marks(attrs) if not end and len(attrs) > 1 and name not in ("html", "body") else (False, False)
+        named, hidden, comment = marks(attrs) if not end and len(attrs) > 1 and name not in ("html", "body") else (False, False, False)
         marked = named or hidden
         if name not in BLOCKS and not marked and not any(name == x[0] for x in stack):
             continue
@@ -185,7 +221,7 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 wrapped = wrapped or named
             # a page's header is boilerplate, an article's header isn't
-            bad = bad or hidden or name in BOILERPLATE or name == "header" and not content
+            bad = bad or hidden or comment and name == "article" or name in BOILERPLATE or name == "header" and not content
             if name in ("li", "td", "th", "dd", "dt", "option") and stack and stack[-1][0] == name:
                 stack.pop()
             stack.append((name, bad, content, wrapped))
@@ -199,21 +235,42 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def first_pass(b: Block) -> str:
-    n = len(b.text)
-    if b.boilerplate or b.links > LINKS_MOST * n or "©" in b.text and n < LENGTH_HIGH and not b.content:
+def size(text: str) -> int:
+    """Characters, of which those of scripts with a sign for a syllable or a word count as three."""
+    return len(text) if text.isascii() else len(text) + 2 * sum("\u2e80" <= c <= "\ud7a3" or c >= "\U00020000" for c in text)
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    """Stop words, and all words."""
+    words = _WORD_EDGE.findall(text)
+    return sum(w.lower() in STOP_WORDS for w in words), len(words)
+
+
+def first_pass(b: Block, known: bool = True) -> str:
+    """known: whether the page's language is one of the stop words'; otherwise the density of sentence ends stands in for theirs."""
+    n = size(b.text)
+    if b.boilerplate or b.links > LINKS_MOST * len(b.text) or "©" in b.text and n < LENGTH_HIGH and not b.content:
         return "bad"
     if n < LENGTH_LOW:
         return "bad" if b.links and not b.content else "short"
-    words = _WORD_EDGE.findall(b.text)
-    stops = sum(w.lower() in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOP_HIGH:
+    if known:
+        stops, words = stop_words(b.text)
+        share = stops / max(1, words)
+    else:
+        share = STOP_HIGH if len(SENTENCE_ENDS.findall(b.text)) * SENTENCE_MOST >= n else 0.0
+    if share >= STOP_HIGH:
         return "good" if n > LENGTH_HIGH else "near"
-    if stops >= STOP_LOW or b.content:
+    if share >= STOP_LOW or b.content:
         return "near"
     return "bad"
 
 
+def language_known(blocks: list[Block]) -> bool:
+    """Whether stop words occur in the page's longer blocks as they do in a language that they are from."""
+    counts = [stop_words(b.text) for b in blocks if not b.boilerplate and size(b.text) >= LENGTH_LOW]
+    return sum(s for s, _ in counts) >= STOP_HIGH * sum(n for _, n in counts) > 0
+
+
 def second_pass(blocks: list[Block]) -> None:
     """Labels of near and short blocks; decided blocks keep theirs."""
     n = len(blocks)
@@ -257,8 +314,9 @@ def second_pass(blocks: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks joined by a space; empty for null, empty and boilerplate-only pages."""
     blocks = blocks_of(page or "")
+    known = language_known(blocks)
     for b in blocks:
-        b.label = first_pass(b)
+        b.label = first_pass(b, known)
     second_pass(blocks)
     return " ".join(b.text for b in blocks if b.label == "good")
 

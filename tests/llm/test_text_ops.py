@@ -197,6 +197,33 @@ def test_hidden_and_skipped():
     assert html_extract.main_text("<button>" * 50_000 + ARTICLE) == PARAGRAPH
 
 
+RUSSIAN = "Это длинный абзац статьи, в котором достаточно много слов, чтобы его можно было считать основным текстом страницы, и он продолжается ещё некоторое время, чтобы длина была больше двухсот знаков, а потом заканчивается точкой, как и всякий абзац."
+CHINESE = "这是一个很长的段落，包含了许多文字，所以它应该被视为页面的主要内容，而不是菜单或者广告。" * 5
+POLISH = "Jest to długi akapit artykułu, w którym znajduje się wiele słów. Dlatego powinien zostać uznany za główny tekst strony. Nie jest to menu ani reklama, lecz zwykły tekst, który ma więcej niż dwieście znaków i kończy się kropką."
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, CHINESE, POLISH])
+def test_other_languages_outside_articles(text):
+    page = f"<nav><a href=1>a</a><a href=2>b</a></nav><div class=post><p>{text}</p><p>{text}</p></div><div class=footer>{text}</div>"
+    assert html_extract.main_text(page) == f"{text} {text}"
+
+
+@pytest.mark.parametrize("mark", ["class='elementor-widget'", "class='post social-science'", "class='has-sidebar content'", "class=no-comments", "aria-hidden=false", "data-x='no hidden fee'", "class='overflow-hidden'"])
+def test_marks_that_say_nothing_against_an_element(mark):
+    assert html_extract.main_text(f"<div {mark}><p>{PARAGRAPH}</p></div>") == html_extract.main_text(f"<article {mark}><p>{PARAGRAPH}</p></article>") == PARAGRAPH
+
+
+@pytest.mark.parametrize("mark", ["class=widget", "class='social-links'", "class=siteFooter", "id='related_posts'", "class='x comment-body'", "role=navigation", "class='share-buttons'", "hidden", "aria-hidden=true"])
+def test_marks_of_boilerplate(mark):
+    assert html_extract.main_text(f"<div {mark}><p>{PARAGRAPH}</p></div><div><p>{PARAGRAPH} {PARAGRAPH}</p></div>") == f"{PARAGRAPH} {PARAGRAPH}"
+
+
+def test_comments_in_articles_and_quotes_in_values():
+    assert html_extract.main_text(f"{ARTICLE}<article class='comment even'><p>{PARAGRAPH} says a reader</p></article>") == PARAGRAPH
+    assert html_extract.main_text(f"<article><p title=it's>{PARAGRAPH}</p></article><div>it's</div>") == PARAGRAPH
+    assert html_extract.main_text(f"<article><p title=\"a > b\" data-x='1>2'>{PARAGRAPH}</p></article>") == PARAGRAPH
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, None, None, "c"), (2, "u", "<p>" * 50_000, "c"), (3, "u", f"<article><p>{PARAGRAPH * 500}</article>", "c"), (3, "u", "", "c")], "page_id long, url string, html string, text string")
     out = html_extract.extract_columns(pages)
