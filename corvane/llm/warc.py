@@ -3,7 +3,8 @@
 A response record is parsed from its bytes (record headers, HTTP head, payload). Two records are derived from it:
 ``metadata`` (application/warc-fields: title, language, numbers of links and characters, and the source's HTTP headers) and
 ``conversion`` (text/plain, the visible text). Both name the response in WARC-Refers-To and keep its target
-URI and date; each has its own block digest, and the metadata keeps the source's digests.
+URI and date; each has its own block digest, and the metadata keeps the source's digests and says whether they are right.
+Chunked and compressed payloads are decoded first; a payload that isn't text has metadata alone.
 Records are independent of each other, so the work is one narrow stage.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = b"\r\n"
+#: Compressed bytes that are unpacked at once.
+PIECE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL namespace of RFC 4122
 _DROP = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style|template|noscript)\b[^>]*>(?:.*?</\1\s*>|.*\Z)", re.S | re.I)
@@ -97,31 +100,100 @@ def visible_text(page: str) -> str:
 _CARRIED = frozenset(["warc-type", "warc-record-id", "warc-date", "warc-target-uri", "warc-block-digest", "warc-payload-digest", "content-type", "content-length"])
 
 
+#: Content types with a text; without one the payload counts as text.
+_TEXTUAL = re.compile(r"\s*(text/|application/(xhtml\+xml|xml|json|javascript)|$)", re.I)
+
+
+def dechunked(body: bytes) -> bytes:
+    """The body of a chunked transfer (RFC 9112, 7.1); ValueError if it isn't one."""
+    out, at = [], 0
+    while True:
+        end = body.find(CRLF, at)
+        if end < 0:
+            raise ValueError("a chunk without its size")
+        size = int(body[at:end].partition(b";")[0].strip(), 16)
+        if not size:
+            return b"".join(out)
+        if size < 0 or end + 2 + size > len(body):
+            raise ValueError("a chunk is cut off")
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def decoded(body: bytes, fields: list[tuple[str, str]]) -> tuple[bytes, bytes, str]:
+    """The payload as it was sent, the one without its codings, and what became of these: "none", "decoded", or what stood in the way."""
+    names = lambda key: [x.strip().lower() for k, v in fields if k == key for x in v.split(",") if x.strip() and x.strip().lower() != "identity"]
+    transfer, content = names("transfer-encoding"), names("content-encoding")
+    payload, done = body, "none"
+    if transfer[-1:] == ["chunked"]:
+        try:
+            payload, done = dechunked(body), "decoded"
+        except ValueError as e:
+            done = f"not chunked: {e}"  # crawlers often store the body without its chunks
+        transfer = transfer[:-1]
+    plain = payload
+    for coding in reversed(content + transfer):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                plain = b"".join(out for _, out, _ in members(plain, strict=True))
+            elif coding == "deflate":
+                try:
+                    plain = zlib.decompress(plain)
+                except zlib.error:
+                    plain = zlib.decompress(plain, -15)
+            else:
+                return payload, b"", f"unknown coding {coding}"
+            done = "decoded"
+        except (zlib.error, ValueError) as e:
+            return payload, b"", f"damaged {coding}: {e}"
+    return payload, plain, done
+
+
+def checked(stated: str, *bodies: bytes) -> str:
+    """Whether a digest that a record states is that of one of the bodies: right, wrong, absent, or unknown (algorithm)."""
+    if not stated:
+        return "absent"
+    name, _, value = stated.partition(":")
+    try:
+        distinct = {id(body): body for body in bodies}.values()
+        sums = [hashlib.new(name.strip().lower().replace("-", ""), body, usedforsecurity=False).digest() for body in distinct]
+    except (ValueError, TypeError):
+        return "unknown"
+    known = {f(x).decode().rstrip("=").lower() for x in sums for f in (base64.b32encode, base64.b16encode)}
+    return "right" if value.strip().rstrip("=").lower() in known else "wrong"
+
+
 def derive(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """(headers, whole record) of the metadata and the conversion record of a response record."""
+    """(headers, whole record) of the metadata and, if the payload is text, the conversion record of a response record; nothing for other types."""
     source, block, _ = parse(data)
-    http, _, payload = block.partition(CRLF + CRLF)
+    if source.get("warc-type", "").lower() != "response":
+        return []
+    http, _, body = block.partition(CRLF + CRLF)
     status, _, fields = http.partition(CRLF)
     pairs = fields_of(fields)
     sent = dict(pairs)
     others = [(k, v) for k, v in fields_of(data[: data.find(CRLF + CRLF)]) if k not in _CARRIED]
-    charset = _CHARSET.search(sent.get("content-type", ""))
+    payload, plain, coding = decoded(body, pairs)
+    textual = bool(_TEXTUAL.match(sent.get("content-type", "")))
+    charset = _CHARSET.search(sent.get("content-type", "")) or _CHARSET.search(plain[:1024].decode("latin-1"))
     try:
-        page = payload.decode(charset.group(1) if charset else "utf-8", "replace")
+        page = plain.decode(charset.group(1) if charset else "utf-8", "replace") if textual else ""
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = plain.decode("utf-8", "replace")
     text = visible_text(page)
     title, lang = _TITLE.search(page), _LANG.search(page)
     source_id, uri, date = source.get("warc-record-id", ""), source.get("warc-target-uri", ""), source.get("warc-date", DATE)
+    block_digest, payload_digest = source.get("warc-block-digest", ""), source.get("warc-payload-digest", "")
     facts = [
         ("title", " ".join(html.unescape(title.group(1)).split()) if title else ""), ("language", lang.group(1).lower() if lang else ""), ("links", str(len(_LINK.findall(page)))), ("characters", str(len(text))),
-        ("http-status", status.decode("latin-1")), *((f"http-{k}", v) for k, v in pairs), *((f"source-{k}", v) for k, v in others), ("source-block-digest", source.get("warc-block-digest", "")), ("source-payload-digest", source.get("warc-payload-digest", "")), ("computed-payload-digest", digest(payload)),
+        ("http-status", status.decode("latin-1")), *((f"http-{k}", v) for k, v in pairs), *((f"source-{k}", v) for k, v in others), ("payload-coding", coding),
+        ("source-block-digest", block_digest), ("source-block-digest-check", checked(block_digest, block)), ("source-payload-digest", payload_digest), ("source-payload-digest-check", checked(payload_digest, body, payload, plain)), ("computed-payload-digest", digest(payload)),
     ]
     meta = "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8")
     out = []
-    for kind, content, body in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8"))):
-        headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source_id)), ("WARC-Refers-To", source_id), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", digest(body)), ("Content-Type", content)]
-        out.append(({k.lower(): v for k, v in headers}, record(headers, body)))
+    for kind, content, made in (("metadata", "application/warc-fields", meta), *([("conversion", "text/plain; charset=utf-8", text.encode("utf-8"))] if textual else [])):
+        headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source_id)), ("WARC-Refers-To", source_id), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", digest(made)), ("Content-Type", content)]
+        out.append(({k.lower(): v for k, v in headers}, record(headers, made)))
     return out
 
 
@@ -131,7 +203,8 @@ _FIELDS = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "
 def derive_records(responses: DataFrame, record_col: str = "record", key_col: str = "page_id") -> DataFrame:
     """Two rows per response record: key, warc_type, record_id, refers_to, target_uri, date, block_digest, content_type, record.
 
-    A null or unreadable record gives one row of the type "error" with nulls, so no input is lost. Repeated rows
+    One row, the metadata, where the payload isn't text; none for records of other types. A null or unreadable record gives one row of
+    the type "error" with nulls, so no damage goes unseen. Repeated rows
     give equal records; an empty table gives an empty result; other columns are ignored.
     """
     key_type = responses.schema[key_col].dataType.simpleString()
@@ -168,35 +241,71 @@ def responses(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
     return pages.select(F.col(key_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, f"key {key_type}, record binary").withColumnRenamed("key", key_col)
 
 
-def unzipped(data: bytes) -> bytes:
-    """The content of gzip members as far as they are whole, other data as it is."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(wbits=31)
+def members(data: bytes, strict: bool = False) -> Iterator[tuple[int, bytes, str]]:
+    """(place, content, what is wrong with it) of the gzip members of data; after a damaged one the next that begins as a member does. strict: an error instead."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, out, end = zlib.decompressobj(wbits=31), [], at
+        wrong = ""
+        try:
+            while not member.eof and end < len(data):
+                piece = view[end : end + PIECE]
+                out.append(member.decompress(piece))
+                end += len(piece)
+            end -= len(member.unused_data)
+            wrong = "" if member.eof else "the member is cut off"
+        except zlib.error as e:
+            wrong = str(e)
+        if wrong and strict:
+            raise ValueError(wrong)
+        if wrong:
+            end = data.find(b"\x1f\x8b\x08", at + 1)
+            end = len(data) if end < 0 else end
+        yield at, b"".join(out), wrong
+        at = end
+
+
+def records_of(data: bytes) -> Iterator[tuple[str, bytes | None]]:
+    """(type, record) of all records of a file's bytes, in order; a damaged place gives ("error", None), and the next record after it is found."""
+    if data[:2] == b"\x1f\x8b":
+        for _, content, wrong in members(data):
+            yield from _plain_records(content, cut=bool(wrong))
+            if wrong:
+                yield "error", None
+    else:
+        yield from _plain_records(data)
+
+
+def _plain_records(data: bytes, cut: bool = False) -> Iterator[tuple[str, bytes | None]]:
+    """cut: the data is known to end too early, so its last, incomplete record is no damage of its own."""
+    at = 0
+    while at < len(data):
+        if data[at : at + 2] == CRLF:
+            at += 2
+            continue
         try:
-            out.append(member.decompress(data))
-        except zlib.error:
-            break
-        if not member.eof:
-            break
-        data = member.unused_data
-    return b"".join(out) if out or data[:2] == b"\x1f\x8b" else data
+            headers, _, after = parse(data, at)
+            yield headers.get("warc-type", ""), data[at:after]
+            at = after
+        except (ValueError, KeyError):
+            at = data.find(b"\r\n\r\nWARC/", at + 1)
+            at = len(data) if at < 0 else at + 4
+            if not (cut and at == len(data)):
+                yield "error", None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, place, warc_type, record) of the records of .warc and .warc.gz files; a damaged tail ends its file."""
+    """(path, place, warc_type, record) of the records of .warc and .warc.gz files.
+
+    Each damaged place gives a row of the type "error" without a record, and reading goes on at the next record or gzip member. A task holds one file, which
+    Spark bounds to 2 GB, and unpacks one member at a time.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data, at, place = unzipped(data), 0, 0
-                while at < len(data):
-                    try:
-                        headers, _, after = parse(data, at)
-                    except (ValueError, KeyError):
-                        break
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([place], pa.int64()), pa.array([headers.get("warc-type")], pa.string()), pa.array([data[at:after]], pa.binary())], names=["path", "place", "warc_type", "record"])
-                    at, place = after, place + 1
+                for place, (kind, found) in enumerate(records_of(data or b"")):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([place], pa.int64()), pa.array([kind]), pa.array([found], pa.binary())], names=["path", "place", "warc_type", "record"])
 
     return files.mapInArrow(run, "path string, place long, warc_type string, record binary")

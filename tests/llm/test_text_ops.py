@@ -271,11 +271,59 @@ def test_warc_edges(spark, tmp_path):
     (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, records))[:-60])
     read = warc.read_warc(spark, str(tmp_path)).collect()
     assert sorted(bytes(r.record) for r in read if "c.warc" not in r.path) == sorted(records * 2)
-    assert sum("c.warc" in r.path for r in read) == 3
+    assert sorted(r.warc_type for r in read if "c.warc" in r.path) == ["error", "response", "response", "response"]
     again = warc.derive_records(warc.read_warc(spark, str(tmp_path / "a.warc")), key_col="place")
     assert again.count() == 8
 
 
+def hand_made_crawl():
+    """Records as crawlers write them, and the text and the facts that each response must give."""
+
+    def response(name, head, body, **more):
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n" + body
+        fields = b"".join(b"%s: %s\r\n" % (k.replace("_", "-").encode(), v) for k, v in more.items())
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%s>\r\nWARC-Date: 2020-02-02T02:02:02Z\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (name, fields, len(block), block)
+
+    page, sha = b"<html><title>Caf\xe9</title><body><p>one &amp; two</p></body></html>", lambda x: b"sha1:" + base64.b32encode(hashlib.sha1(x).digest())
+    packed = gzip.compress(page)
+    chunked = b"5;x=y\r\n" + packed[:5] + b"\r\n" + b"%X\r\n" % (len(packed) - 5) + packed[5:] + b"\r\n0\r\n\r\n"
+    html_head = b"Content-Type: text/html; charset=iso-8859-1\r\n"
+    yield b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:info>\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n", None, None
+    yield b"WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <urn:ask>\r\nContent-Length: 18\r\n\r\nGET / HTTP/1.1\r\n\r\n\r\n\r\n", None, None
+    yield response(b"plain", html_head, page, WARC_Payload_Digest=sha(page)), "Café one & two", ["payload-coding: none", "source-payload-digest-check: right", "title: Café"]
+    yield response(b"both", html_head + b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n", chunked, WARC_Payload_Digest=sha(b"other")), "Café one & two", ["payload-coding: decoded", "source-payload-digest-check: wrong", "source-block-digest-check: absent"]
+    yield response(b"dechunked", html_head + b"Transfer-Encoding: chunked\r\n", page), "Café one & two", ["payload-coding: not chunked"]
+    yield response(b"zlib", html_head + b"Content-Encoding: deflate\r\n", zlib.compress(page), WARC_Block_Digest=b"md9:AA"), "Café one & two", ["source-block-digest-check: unknown"]
+    yield response(b"torn", html_head + b"Content-Encoding: gzip\r\n", packed[:-9]), "", ["payload-coding: damaged gzip"]
+    yield response(b"odd", html_head + b"Content-Encoding: br\r\n", b"\x8b\x00"), "", ["payload-coding: unknown coding br"]
+    yield response(b"image", b"Content-Type: image/png\r\n", b"\x89PNG\r\n\x1a\n<p>no text</p>"), None, ["http-content-type: image/png", "characters: 0"]
+
+
+def test_a_crawl_file(spark, tmp_path):
+    crawl = list(hand_made_crawl())
+    damage = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\nlost\r\n\r\n"
+    raw = [r for r, _, _ in crawl]
+    (tmp_path / "a.warc").write_bytes(b"".join([*raw[:3], damage, *raw[3:]]))
+    torn = gzip.compress(b"x" * 1000 + bytes(range(256)) * 40)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join([*map(gzip.compress, raw[:3]), torn[:30] + b"\xff" * 8 + torn[38:-8], *map(gzip.compress, raw[3:])]))
+    for name in ("a.warc", "b.warc.gz"):
+        rows = sorted(warc.read_warc(spark, str(tmp_path / name)).collect(), key=lambda r: r.place)
+        assert [bytes(r.record)[:-4] if r.record else None for r in rows] == [*(r[:-4] for r in raw[:3]), None, *(r[:-4] for r in raw[3:])]
+        assert [r.warc_type for r in rows][:4] == ["warcinfo", "request", "response", "error"]
+        made = warc.derive_records(warc.read_warc(spark, str(tmp_path / name)).filter("record IS NOT NULL"), key_col="place").collect()
+        place = {r.place: bytes(r.record) for r in rows if r.record}
+        for at, (_, text, facts) in zip(sorted(place), crawl, strict=True):
+            own = {r.warc_type: r for r in made if r.place == at}
+            if facts is None:
+                assert not own
+                continue
+            assert set(own) == ({"metadata"} if text is None else {"metadata", "conversion"})
+            assert {r.refers_to for r in own.values()} == {warc.parse(place[at])[0]["warc-record-id"]}
+            body = warc.parse(bytes(own["metadata"].record))[1].decode()
+            assert all(f in body for f in facts), (facts, body)
+            assert text is None or warc.parse(bytes(own["conversion"].record))[1].decode() == text
+
+
 def test_op3_links_all_pages(spark, sf_dir):
     out = QUERIES["op3_warc_derivatives"](spark, sf_dir)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
