@@ -43,16 +43,16 @@ def makedataset(spark, a) -> int:
     from corvane.functions import text as X
     from corvane.operators import model
     from corvane.plans import makedataset as plan
-    from corvane.sources import sinks
+    from corvane.sources import files, sinks
 
     if not os.path.isdir(a.source):
         raise ValueError(f"no folder {a.source}")
     source, dest = os.path.abspath(a.source), os.path.abspath(a.dest)
     # the full relative path names the output, suffix included, so that x.pdf and x.txt don't meet
-    done = {}
-    for folder, _, names in os.walk(dest):
-        done |= {os.path.join(source, os.path.relpath(os.path.join(folder, n), dest))[: -len(".json")]: 1 for n in names if n.endswith(".json") and os.path.getsize(os.path.join(folder, n)) > 2}
-    finished = spark.createDataFrame([(f"file:{p}",) for p in done], "path string")
+    finished = None
+    if os.path.isdir(dest):
+        own = files.scan_folder(spark, f"file://{dest}", "*.json").filter("length > 2").select("path")
+        finished = own.select(F.concat(F.lit(f"file:{source}"), F.regexp_replace(F.expr(f"substring(path, {len('file:' + dest) + 1})"), r"\.json$", "")).alias("path"))
     chunks, rejected = plan.make_dataset(spark, source, finished, a.cleaner, model.HttpBackend() if a.cleaner == "model" else None, a.limit)
     local = F.regexp_replace("path", "^file:", "")
     written = sinks.export_json(chunks.withColumn("out_path", F.concat(F.lit(dest), F.substring(local, len(source) + 1, 1 << 30), F.lit(".json"))))
@@ -68,10 +68,13 @@ def trainset(spark, a) -> int:
 
     from corvane.operators import runs
     from corvane.plans import makedataset as plan
+    from corvane.session import frozen
     from corvane.sources import files
 
     checkpoint = runs.checkpoint_of(a.model)
-    rows = files.read_json_dataset(spark, a.source).withColumn("key", F.sha2("text", 256)).dropDuplicates(["key"])
+    # equal texts are rows of their own: the frozen number tells them apart
+    numbered = frozen(files.read_json_dataset(spark, a.source).withColumn("row", F.monotonically_increasing_id()), "training-rows")
+    rows = numbered.withColumn("key", F.concat_ws("|", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("row").cast("string"))).drop("row")
     out = plan.training_table(rows, "key", a.eos, a.test_size)
     out.write.mode("overwrite").partitionBy("split").parquet(os.path.join(a.dest, "table"))
     name = (f"{a.tag}-" if a.tag else "") + "CPT-" + checkpoint.split("/")[-1]

@@ -6,6 +6,7 @@ import os
 import random
 import time
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from corvane.functions import html as H
 from corvane.functions import text as X
 
 CONCURRENT = 3
+DOWNLOAD_BLOCK = 1 << 16
 DELAY_BETWEEN_PAGES, DELAY_BEFORE_DOWNLOAD = 2.0, (1.5, 4.0)
 
 
@@ -64,6 +66,13 @@ def fetch_http(url: str, timeout: float = 60.0) -> bytes:
         return response.read()
 
 
+def fetch_blocks(url: str, size: int = DOWNLOAD_BLOCK, timeout: float = 60.0) -> Iterator[bytes]:
+    """A body in blocks, so that a book never is in memory as a whole."""
+    with urllib.request.urlopen(url, timeout=timeout) as response:  # noqa: S310
+        while block := response.read(size):
+            yield block
+
+
 def fetch_pages(spark: SparkSession, template: str, max_pages: int, fetch: Callable[[str], bytes] = fetch_http, delay: float = DELAY_BETWEEN_PAGES) -> DataFrame:
     """(page, url, html, error): listing pages 0 to max_pages - 1, fetched one by one in a single polite task."""
 
@@ -83,12 +92,13 @@ def fetch_pages(spark: SparkSession, template: str, max_pages: int, fetch: Calla
     return pages.mapInPandas(run, "page long, url string, html string, error string")
 
 
-def download(books: DataFrame, folder: str, base_url: str, fetch: Callable[[str], bytes] = fetch_http, concurrent: int = CONCURRENT, delay: tuple[float, float] = DELAY_BEFORE_DOWNLOAD) -> DataFrame:
+def download(books: DataFrame, folder: str, base_url: str, fetch: Callable[[str], bytes] = fetch_http, concurrent: int = CONCURRENT, delay: tuple[float, float] = DELAY_BEFORE_DOWNLOAD, blocks: Callable[[str], Iterator[bytes]] | None = None) -> DataFrame:
     """(url, path, status, bytes): each book's preferred file, stored in folder under its base name.
 
     ``folder`` must be shared by all executors. At most ``concurrent`` downloads run at once; a book that fails is a row with its error.
     """
     pattern = H.LINK
+    blocks = blocks or (fetch_blocks if fetch is fetch_http else lambda url: [fetch(url)])
 
     def one(url: str) -> tuple[str | None, str, int]:
         import re
@@ -101,12 +111,18 @@ def download(books: DataFrame, folder: str, base_url: str, fetch: Callable[[str]
 
         target = urljoin(base_url, link)
         time.sleep(random.uniform(*delay))  # noqa: S311
-        data = fetch(target)
         path = os.path.join(folder, os.path.basename(target))
         os.makedirs(folder, exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(data)
-        return path, "ok", len(data)
+        part, n = f"{path}.part{uuid.uuid4().hex}", 0
+        try:
+            with open(part, "wb") as f:
+                for block in blocks(target):
+                    n += f.write(block)
+            os.replace(part, path)  # a download that breaks off leaves no file of that name
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
+        return path, "ok", n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -17,14 +17,16 @@ ALPACA = (
 
 
 def split_key(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
+    """A null key hashes as the empty one."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{seed}")))
 
 
 def train_test_split(df: DataFrame, key_col: str, test_size: float, seed: int = 3407) -> DataFrame:
     """df with split: exactly ceil(test_size * n) rows are "test", chosen by the md5 of key and seed, ties by key.
 
     Rows are compared with the hash of the last test row, which a distributed top-k finds over the two hash columns only; the table
-    itself is neither sorted nor moved. Keys must be unique for an exact size. Independent of the partitioning.
+    itself is neither sorted nor moved. Rows with equal keys get the same split, so with repeated keys the test set has the rows of the last
+    key that begins within its size, all of them. Null keys count as one key, before all others. Independent of the partitioning.
     """
     if not 0 <= test_size <= 1:
         raise ValueError("test_size must be between 0 and 1")
@@ -32,9 +34,12 @@ def train_test_split(df: DataFrame, key_col: str, test_size: float, seed: int =
     if k == 0:
         return df.withColumn("split", F.lit("train"))
     order = F.struct(split_key(F.col(key_col), seed).alias("h"), F.col(key_col).alias("k"))
-    last = _kth(df.select(order.alias("o")), k)
-    mark = F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).cast(df.schema[key_col].dataType).alias("k"))
-    return df.withColumn("split", F.when(order <= mark, F.lit("test")).otherwise(F.lit("train")))
+    last_hash, last_key = _kth(df.select(order.alias("o")), k)
+    kind = df.schema[key_col].dataType
+    own, key = split_key(F.col(key_col), seed), F.col(key_col)
+    tie = key.isNull() if last_key is None else key.isNull() | (key <= F.lit(last_key).cast(kind))
+    test = (own < F.lit(last_hash)) | ((own == F.lit(last_hash)) & tie)
+    return df.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def _kth(hashed: DataFrame, k: int, at_once: int = 200_000) -> tuple:

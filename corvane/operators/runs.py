@@ -99,9 +99,11 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def memory_report(df: DataFrame, used: str, start: str, most: str, seconds: str) -> DataFrame:
-    """df with used_gib, training_gib, used_percent, training_percent and minutes, not rounded."""
-    u, s, m = (gibibytes(F.col(c).cast("double")) for c in (used, start, most))
-    return df.withColumns({"used_gib": u, "training_gib": u - s, "used_percent": percent(u, m), "training_percent": percent(u - s, m), "minutes": F.col(seconds) / 60.0})
+    """df with used_gib, training_gib, used_percent, training_percent (3 decimals, half to even; shares of the rounded figures) and minutes (2 decimals)."""
+    u, s, m = (F.bround(gibibytes(F.col(c).cast("double")), 3) for c in (used, start, most))
+    training = F.bround(u - s, 3)
+    share = lambda x: F.bround(x / F.nullif(m, F.lit(0.0)) * 100.0, 3)
+    return df.withColumns({"used_gib": u, "training_gib": training, "used_percent": share(u), "training_percent": share(training), "minutes": F.bround(F.col(seconds) / 60.0, 2)})
 
 
 def run_report(used: float, start: float, seconds: float) -> dict[str, float]:

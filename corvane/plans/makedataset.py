@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as X
 from corvane.functions.rules import rule_clean
 from corvane.operators import chunk, dataset, model
+from corvane.session import frozen
 from corvane.sources import files
 
 
@@ -18,8 +19,8 @@ def clean_and_chunk(docs: DataFrame, text_col: str = "text", limit: int = chunk.
 
 
 def pending(spark: SparkSession, folder: str, done: DataFrame | None = None) -> DataFrame:
-    """Supported files below a folder that are not in done (path); contents are read only for these."""
-    found = files.scan_folder(spark, folder)
+    """(path, length) of the supported files below a folder that are not in done (path)."""
+    found = files.listed(spark, folder)
     return found if done is None else dataset.not_done(found, done, "path")
 
 
@@ -29,18 +30,20 @@ def make_dataset(spark: SparkSession, folder: str, done: DataFrame | None = None
     chunks: path, ext, chunk_idx, text. rejected: path, error, of files that can't be read or have no text.
     cleaner: none, rules (the built-in one) or model (with a backend). Chunks of which nothing is left are dropped.
     """
-    extracted = files.extract(pending(spark, folder, done)).persist()
+    todo = frozen(pending(spark, folder, done), "pending-files")
+    extracted = frozen(files.extract(files.opened(spark, todo)), "extracted-files")
+    large = todo.filter(F.col("length") >= files.MOST_BYTES).select("path", F.lit("the file is too large").alias("error"))
     cleaned = extracted.filter("error IS NULL").select("path", "ext", X.clean_text(F.col("text")).alias("text"))
     cleaned = cleaned.withColumn("__pieces", F.size(chunk.sentence_pieces(F.col("text"))))
     empty = cleaned.filter("__pieces = 0").select("path", F.lit("nothing extracted from source").alias("error"))
-    rejected = extracted.filter("error IS NOT NULL").select("path", "error").union(empty)
+    rejected = extracted.filter("error IS NOT NULL").select("path", "error").union(empty).union(large)
     chunks = chunk.chunk_by_sentences(cleaned.drop("__pieces"), "text", limit)
     if cleaner == "rules":
         chunks = chunks.withColumn("text", rule_clean(F.col("text")))
     elif cleaner == "model":
         if backend is None:
             raise ValueError("the model cleaner needs a backend")
-        answered = model.model_clean(chunks, backend).persist()  # the model runs once
+        answered = frozen(model.model_clean(chunks, backend), "cleaned-chunks")  # the model runs once
         rejected = rejected.union(answered.filter("error IS NOT NULL").select("path", "error"))
         chunks = answered.filter("error IS NULL").withColumn("text", F.col("value")).drop("value", "error")
     elif cleaner != "none":
@@ -56,7 +59,7 @@ def training_table(chunks: DataFrame, key_col: str, eos: str, test_size: float =
 def extract_markdown(pages: DataFrame, backend: model.Backend, limit: int = chunk.OVERLAP_LIMIT, overlap: int = chunk.OVERLAP_WORDS, context: int = 400_000, **more) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) of page texts (path, page_no, text): marked, normalised, capped, sent to a model, chunked with overlap."""
     raw = dataset.joined_pages(pages, "path", "page_no").withColumn("text", X.cap(X.normalize_whitespace(F.col("text")), context))
-    answered = model.apply_model(raw, backend, **more).persist()
+    answered = frozen(model.apply_model(raw, backend, **more), "extracted-markdown")
     stem = X.stem(F.col("path"))
     docs = answered.withColumn("markdown", X.title_header(stem, X.strip(F.col("value")))).withColumn("stem", stem).drop("value")
     chunks = chunk.chunk_with_overlap(docs.filter("error IS NULL").select("path", F.col("markdown").alias("text")), "text", limit, overlap)

@@ -105,7 +105,7 @@ text_query("clean_text_full", ALL, X.clean_text, SQL_CLEAN)
 text_query("normalize_whitespace", NEWLINES, X.normalize_whitespace, SQL_NORMALIZE)
 text_query("squeeze_ws", NEWLINES, X.squeeze_ws, SQL_SQUEEZE)
 text_query("append_eos", [], lambda c: X.append_eos(c, EOS_DEFAULT), lambda c: f"{c} || '{EOS_DEFAULT}'")
-text_query("context_cap", [], lambda c: X.cap(c, 400), lambda c: f"substr({c}, 1, 400)")
+text_query("context_cap", [], X.cap, lambda c: f"substr({c}, 1, 400000)")
 text_query("md_header", [], lambda c: X.title_header(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), c), lambda c: f"'# Complete structured extraction: doc' || doc_id || chr(10) || chr(10) || {c}")
 
 # -- the rule-based cleaner ----------------------------------------------------------------------------------
@@ -124,6 +124,8 @@ _RULE_PAIRS = {
     "capital_runs": [(". ", ". ИСПОЛЬЗОВАНИЕ ДАННЫХ ПРИ ИЗУЧЕНИИ ПОРОД ")],
     "number_runs": [(". ", ". 3,060 0,071 0,042 0,081 1,830 0,012 ")],
 }
+#: Junk of all kinds, and what only the whole cleaner takes away.
+RULE_CLEAN_PAIRS = [*(p for pairs in _RULE_PAIRS.values() for p in pairs[:1]), ("on", "o\ufb01n\u201d"), ("er ", "e r s t u v "), ("an", "a\u0301n\u00a0")]
 for _name, _pattern, _replacement in R.RULES:
     text_query(f"rule_cleaner_{_name}", _RULE_PAIRS[_name], R.rule(_name), lambda c, p=_pattern, r=_replacement: sql_replace(c, p, r))
 
@@ -141,7 +143,18 @@ def _rules_native(c):
     return F.trim(F.regexp_replace(c, " {2,}", " "))
 
 
-text_query("rule_cleaner_all", [p for pairs in _RULE_PAIRS.values() for p in pairs[:1]][::3], _rules_native, _sql_rules)
+text_query("rule_cleaner_all", [p for pairs in _RULE_PAIRS.values() for p in pairs[:1]], _rules_native, _sql_rules)
+
+
+
+@query("rule_clean")
+def _rule_clean(spark, sf_dir):
+    """The cleaner as it is shipped, with its steps that SQL lacks (NFKC, look-around); tested against a scalar version."""
+    text = F.col("text")
+    for old, new in RULE_CLEAN_PAIRS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return documents(spark, sf_dir).select("doc_id", R.rule_clean(text).alias("text"))
+
 
 # -- chunks ---------------------------------------------------------------------------------------------------
 
@@ -286,15 +299,15 @@ def _catalogue_listing(spark, sf_dir):
     return catalogue.listing(pages, BASE, "page_id").fillna(0, ["year"])
 
 
-@query("year_extract", f"SELECT doc_id, coalesce(nullif(regexp_extract('М.: Недра, ' || substr(text, 1, 20) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || (1900 + doc_id % 120) || ' г.' END, {quoted(P.YEAR)}, 1), '')::INT, 0) AS year FROM documents")
+@query("year_extract", f"SELECT doc_id, coalesce(nullif(regexp_extract('М.: Недра, ' || text || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || (1900 + doc_id % 120) || ' г.' END, {quoted(P.YEAR)}, 1), '')::INT, 0) AS year FROM documents")
 def _year_extract(spark, sf_dir):
-    line = F.concat(F.lit("М.: Недра, "), F.substring("text", 1, 20), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), (1900 + F.col("doc_id") % 120).cast("string"), F.lit(" г."))))
+    line = F.concat(F.lit("М.: Недра, "), F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), (1900 + F.col("doc_id") % 120).cast("string"), F.lit(" г."))))
     return documents(spark, sf_dir).select("doc_id", F.coalesce(X.year(line), F.lit(0)).alias("year"))
 
 
-@query("author_extract", f"SELECT doc_id, {SQL_STRIP('substr(text, 1, 30)')} AS author FROM documents")
+@query("author_extract", f"SELECT doc_id, {SQL_STRIP('text')} AS author FROM documents")
 def _author_extract(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", X.author(F.concat(F.lit("Книга. Автор(ы): "), F.substring("text", 1, 30))).alias("author"))
+    return documents(spark, sf_dir).select("doc_id", X.author(F.concat(F.lit("Книга. Автор(ы): "), F.col("text"))).alias("author"))
 
 
 @query("listing_urls", "SELECT i AS page, 'https://example.org/books?page=' || i || '&topic=1' AS url FROM range(0, 10) t(i)")
@@ -380,10 +393,10 @@ def _prompt_grid(spark, sf_dir):
     return prompts.select("item_id", F.explode(F.array(F.lit(64), F.lit(128))).alias("max_new_tokens"))
 
 
-@query("answer_extract", "SELECT doc_id, substr(text, 1, 200) AS answer FROM documents")
+@query("answer_extract", "SELECT doc_id, text AS answer FROM documents")
 def _answer_extract(spark, sf_dir):
     prompt = F.concat(F.lit("prompt.*("), F.col("doc_id").cast("string"), F.lit(") "))
-    return documents(spark, sf_dir).select("doc_id", X.answer_after(F.concat(prompt, F.lit("x "), prompt, F.substring("text", 1, 200)), prompt).alias("answer"))
+    return documents(spark, sf_dir).select("doc_id", X.answer_after(F.concat(prompt, F.lit("x "), prompt, F.col("text")), prompt).alias("answer"))
 
 
 @query("sentinel_backtick", "SELECT doc_id, text FROM (SELECT doc_id, regexp_replace(" + SQL_STRIP("text") + ", '^`+|`+$', '', 'g') AS text FROM documents WHERE doc_id % 7 <> 0) WHERE text <> ''")
@@ -451,12 +464,13 @@ def _page_text_concat(spark, sf_dir):
 
 @query(
     "memory_report",
-    "SELECT p_partkey, u AS used_gib, u - s AS training_gib, 100.0::DOUBLE * u / m AS used_percent, 100.0::DOUBLE * (u - s) / m AS training_percent, p_retailprice / 60.0 AS minutes "
-    "FROM (SELECT p_partkey, p_retailprice, (p_size * 1e9) / 1073741824.0::DOUBLE AS u, (p_size * 1e8) / 1073741824.0::DOUBLE AS s, 8e10 / 1073741824.0::DOUBLE AS m FROM part)",
+    "SELECT p_partkey, u AS used_gib, t AS training_gib, round_even(u / m * 100.0, 3) AS used_percent, round_even(t / m * 100.0, 3) AS training_percent, round_even((p_retailprice * 1.7 + 0.123) / 60.0, 2) AS minutes "
+    "FROM (SELECT *, round_even(u - s, 3) AS t FROM (SELECT p_partkey, p_retailprice, round_even((p_size * 1e9 + p_partkey * 12345.0) / 1073741824.0::DOUBLE, 3) AS u, round_even((p_size * 1e8 + p_partkey * 777.0) / 1073741824.0::DOUBLE, 3) AS s, round_even(80123456789.0 / 1073741824.0::DOUBLE, 3) AS m FROM part))",
 )
 def _memory_report(spark, sf_dir):
-    sized = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_size") * 1e9).alias("u"), (F.col("p_size") * 1e8).alias("s"), F.lit(8e10).alias("m"))
-    return runs.memory_report(sized, "u", "s", "m", "p_retailprice").select("p_partkey", "used_gib", "training_gib", "used_percent", "training_percent", "minutes")
+    sized = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_retailprice") * 1.7 + 0.123).alias("seconds"), (F.col("p_size") * 1e9 + F.col("p_partkey") * 12345.0).alias("u"), (F.col("p_size") * 1e8 + F.col("p_partkey") * 777.0).alias("s"), F.lit(80123456789.0).alias("m"))
+    # figures whose decimals end before the rounded place would be ties, which engines take differently in binary numbers
+    return runs.memory_report(sized, "u", "s", "m", "seconds").select("p_partkey", "used_gib", "training_gib", "used_percent", "training_percent", "minutes")
 
 
 @query("parameter_share", "SELECT t AS trainable, n AS total, 100.0::DOUBLE * t / n AS percent FROM (SELECT sum(CASE WHEN p_partkey % 10 < 2 THEN p_size ELSE 0 END)::BIGINT AS t, sum(p_size)::BIGINT AS n FROM part)")
@@ -481,10 +495,10 @@ def _model_family(spark, sf_dir):
 
 @query(
     "model_clean_fake",
-    f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE {SQL_SQUEEZE('substr(text, 1, 100)')} END AS value, CASE WHEN doc_id % 9 = 0 THEN 'RuntimeError: the model failed' END AS error FROM documents",
+    f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE {SQL_SQUEEZE('text')} END AS value, CASE WHEN doc_id % 9 = 0 THEN 'RuntimeError: the model failed' END AS error FROM documents",
 )
 def _model_clean_fake(spark, sf_dir):
-    text = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("FAIL ")).otherwise(F.lit("")), F.substring("text", 1, 100))
+    text = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("FAIL ")).otherwise(F.lit("")), F.col("text"))
     docs = documents(spark, sf_dir).select("doc_id", text.alias("text"))
     return model.model_clean(docs, model.EchoBackend("FAIL "), pause=(0, 0, 0)).select("doc_id", "value", "error")
 
@@ -503,9 +517,9 @@ def _word_counts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("n_words"))
 
 
-@query("extraction_request", f"SELECT doc_id, chr(10) || '---' || chr(10) || 'Raw text:' || chr(10) || substr(text, 1, 100) || chr(10) || '---' || chr(10) || 'Instruction:' || chr(10) || {quoted(model.EXTRACTION_PROMPT)} AS request FROM documents")
+@query("extraction_request", f"SELECT doc_id, chr(10) || '---' || chr(10) || 'Raw text:' || chr(10) || substr(text, 1, 400000) || chr(10) || '---' || chr(10) || 'Instruction:' || chr(10) || {quoted(model.EXTRACTION_PROMPT)} AS request FROM documents")
 def _extraction_request(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", model.extraction_request(F.col("text"), most=100).alias("request"))
+    return documents(spark, sf_dir).select("doc_id", model.extraction_request(F.col("text")).alias("request"))
 
 
 @query("json_roundtrip", f"WITH {_sql_sentence_chunks(SQL_CLEAN('text'))} SELECT text FROM c")
@@ -518,41 +532,3 @@ def _json_roundtrip(spark, sf_dir):
 @query("training_table", f"SELECT doc_id, text || '{EOS_DEFAULT}' AS text, split FROM ({_sql_split('documents', 'doc_id', 0.1).replace('SELECT doc_id,', 'SELECT doc_id, text,')})")
 def _training_table(spark, sf_dir):
     return makedataset.training_table(documents(spark, sf_dir), "doc_id", EOS_DEFAULT)
-
-
-# -- whole texts ----------------------------------------------------------------------------------------------
-# The queries of these names without _whole, and their SQL, see only the beginning of each text.
-
-text_query("context_cap_whole", [], X.cap, lambda c: f"substr({c}, 1, 400000)")
-
-
-@query("year_extract_whole", f"SELECT doc_id, coalesce(nullif(regexp_extract('М.: Недра, ' || text || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || (1900 + doc_id % 120) || ' г.' END, {quoted(P.YEAR)}, 1), '')::INT, 0) AS year FROM documents")
-def _year_extract_whole(spark, sf_dir):
-    line = F.concat(F.lit("М.: Недра, "), F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), (1900 + F.col("doc_id") % 120).cast("string"), F.lit(" г."))))
-    return documents(spark, sf_dir).select("doc_id", F.coalesce(X.year(line), F.lit(0)).alias("year"))
-
-
-@query("author_extract_whole", f"SELECT doc_id, {SQL_STRIP('text')} AS author FROM documents")
-def _author_extract_whole(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", X.author(F.concat(F.lit("Книга. Автор(ы): "), F.col("text"))).alias("author"))
-
-
-@query("answer_extract_whole", "SELECT doc_id, text AS answer FROM documents")
-def _answer_extract_whole(spark, sf_dir):
-    prompt = F.concat(F.lit("prompt.*("), F.col("doc_id").cast("string"), F.lit(") "))
-    return documents(spark, sf_dir).select("doc_id", X.answer_after(F.concat(prompt, F.lit("x "), prompt, F.col("text")), prompt).alias("answer"))
-
-
-@query(
-    "model_clean_fake_whole",
-    f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE {SQL_SQUEEZE('text')} END AS value, CASE WHEN doc_id % 9 = 0 THEN 'RuntimeError: the model failed' END AS error FROM documents",
-)
-def _model_clean_fake_whole(spark, sf_dir):
-    text = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("FAIL ")).otherwise(F.lit("")), F.col("text"))
-    docs = documents(spark, sf_dir).select("doc_id", text.alias("text"))
-    return model.model_clean(docs, model.EchoBackend("FAIL "), pause=(0, 0, 0)).select("doc_id", "value", "error")
-
-
-@query("extraction_request_whole", f"SELECT doc_id, chr(10) || '---' || chr(10) || 'Raw text:' || chr(10) || substr(text, 1, 400000) || chr(10) || '---' || chr(10) || 'Instruction:' || chr(10) || {quoted(model.EXTRACTION_PROMPT)} AS request FROM documents")
-def _extraction_request_whole(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", model.extraction_request(F.col("text")).alias("request"))

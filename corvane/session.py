@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,6 +50,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def frozen(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that what made it runs once, even if executors are lost. The caller or the operator of the folder deletes it."""
+    path = f"{shared_dir(df.sparkSession)}/corvane/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where its scan has fewer partitions than these (a small file, say); large inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

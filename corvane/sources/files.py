@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import subprocess
 import tempfile
 from collections.abc import Iterator
@@ -17,6 +18,10 @@ from corvane.functions.html import parsed_text
 from corvane.functions.text import extension
 
 SUPPORTED = (".pdf", ".djvu", ".html", ".htm", ".txt")
+#: File names of the supported kinds, in upper or lower case; the source lists no others.
+SUPPORTED_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in ext[1:]) for ext in SUPPORTED) + "}"
+#: Larger files don't fit a value of Spark's binary type.
+MOST_BYTES = (1 << 31) - 1
 
 
 def scan_folder(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -25,6 +30,23 @@ def scan_folder(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the supported files below a folder; no contents are read."""
+    return scan_folder(spark, folder, SUPPORTED_GLOB).select("path", "length")
+
+
+def opened(spark: SparkSession, pending: DataFrame) -> DataFrame:
+    """The files of pending (path, length) with their contents, but for those that are too large for a value.
+
+    Only these files are read, and their contents aren't moved between tasks. Their paths pass the driver, which holds the listing of
+    any file source.
+    """
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["path"]) for r in pending.filter(F.col("length") < MOST_BYTES).select("path").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], schemas.SOURCE_FILE)
+    return spark.read.format("binaryFile").load(paths)
+
+
 def handler(ext: Column) -> Column:
     """The extractor of a suffix; null for one that isn't supported."""
     return F.when(ext.isin(".html", ".htm"), F.lit("html")).when(ext.isin(*SUPPORTED), F.substring(ext, 2, 10))

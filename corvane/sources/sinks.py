@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.text import stem
+
 
 def write_chunks(chunks: DataFrame, path: str, fmt: str = "json", partition_by: tuple[str, ...] = ()) -> None:
     """Non-empty chunks as a table (JSON lines or Parquet)."""
@@ -31,7 +34,7 @@ def export_json(chunks: DataFrame, path_col: str = "out_path", order_col: str =
             if now is None or not texts and not keep_empty_files:
                 return None
             os.makedirs(os.path.dirname(now) or ".", exist_ok=True)
-            part = f"{now}.part{os.getpid()}"
+            part = f"{now}.part{uuid.uuid4().hex}"
             with open(part, "w", encoding="utf-8") as f:
                 json.dump([{"text": t} for t in texts], f, ensure_ascii=False, indent=2)
             os.replace(part, now)  # a task that runs twice leaves one whole file
@@ -51,6 +54,12 @@ def export_json(chunks: DataFrame, path_col: str = "out_path", order_col: str =
     return own.mapInPandas(run, "path string, n long")
 
 
+def write_chunks_json(chunks: DataFrame, folder: str, source_col: str = "source", order_col: str = "chunk_idx") -> DataFrame:
+    """<stem>__chunks.json with an array of {"text"} for each source, in a shared folder; returns (path, n)."""
+    name = F.concat(F.lit(folder.rstrip("/") + "/"), stem(F.col(source_col)), F.lit("__chunks.json"))
+    return export_json(chunks.withColumn("out_path", name), "out_path", order_col)
+
+
 def write_chunks_jsonl(chunks: DataFrame, path: str, source_col: str = "source") -> None:
     """{"id", "text", "meta": {"source", "start", "end"}} per line; needs start and end (with_offsets())."""
     meta = F.struct(F.col(source_col).alias("source"), "start", "end")
@@ -66,8 +75,10 @@ def write_markdown(df: DataFrame, folder: str, stem_col: str = "stem", text_col:
             for stem, text in zip(batch["stem"], batch["text"], strict=True):
                 os.makedirs(folder, exist_ok=True)
                 path = os.path.join(folder, f"{stem}__extracted.md")
-                with open(path, "w", encoding="utf-8") as f:
+                part = f"{path}.part{uuid.uuid4().hex}"
+                with open(part, "w", encoding="utf-8") as f:
                     f.write(text or "")
+                os.replace(part, path)
                 rows.append((path, len(text or "")))
             yield pd.DataFrame(rows, columns=["path", "n"])
 

@@ -63,3 +63,18 @@ def test_runs(spark, tmp_path):
     assert sorted((r.run, r.key, r.value) for r in runs.read_runs(spark, str(tmp_path / "runs")).collect()) == [("r", "a", "1"), ("r", "b", None), ("r2", "a", "2")]
     assert runs.run_report(2 * 1024**3, 1024**3, 90) == {"train_runtime_min": 1.5, "peak_reserved_memory": 2.0, "peak_reserver_memory_training": 1.0}
     assert runs.health()["pyspark"]
+
+
+def test_split_of_null_and_repeated_keys(spark):
+    rows = [(None, k) for k in range(5)] + [("a", k) for k in range(30)] + [(f"k{k}", k) for k in range(100)]
+    df = spark.createDataFrame(rows, "key string, n int")
+    for parts in (1, 5):
+        got = dataset.train_test_split(df.repartition(parts), "key", 0.2).collect()
+        assert len(got) == len(rows) and all(len({r.split for r in got if r.key == k}) == 1 for k in (None, "a"))
+        tests = sum(r.split == "test" for r in got)
+        assert 27 <= tests <= 27 + 29
+    for key in (None, ""):
+        only = spark.createDataFrame([(key,)] * 3, "key string")
+        assert {r.split for r in dataset.train_test_split(only, "key", 0.1).collect()} == {"test"}
+    numbers = spark.createDataFrame([(None,), *((k,) for k in range(99))], "key long")
+    assert dataset.train_test_split(numbers, "key", 0.1).filter("split = 'test'").count() == 10

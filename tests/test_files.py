@@ -173,3 +173,77 @@ def test_settings_and_logs(tmp_path, monkeypatch):
         settings_from_env(("KEY_NONE",))
     get_logger("corvane-test", str(tmp_path)).info("hello")
     assert "hello" in (tmp_path / "corvane-test.log").read_text()
+
+
+class FakePage:
+    def __init__(self, text):
+        self.text = text
+
+    def extract_text(self):
+        if self.text == "bad":
+            raise ValueError("no text")
+        return self.text
+
+
+def test_pdf_pages_with_a_stand_in_reader(monkeypatch):
+    import sys
+    import types
+
+    reader = types.SimpleNamespace(PdfReader=lambda f: types.SimpleNamespace(pages=[FakePage(t) for t in f.read().decode().split("|")]))
+    monkeypatch.setitem(sys.modules, "PyPDF2", reader)
+    assert files._pdf_pages(b"one  two|bad||three") == ["one  two", "", "", "three"]
+    assert files._pdf(b"one  two|bad||three\nfour") == "one two three four"
+    assert files._pdf(b"") == ""
+
+
+def test_djvu_with_a_stand_in_tool(monkeypatch, tmp_path):
+    tool = tmp_path / "djvutxt"
+    tool.write_text("#!/bin/sh\ncase $(head -c 3 $1) in BAD) exit 3;; esac\ntr a-z A-Z < $1 > $2\n")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    assert files._djvu(b"page  one\n\x0cpage two") == "PAGE ONE PAGE TWO"
+    with pytest.raises(Exception, match="status 3"):
+        files._djvu(b"BAD")
+
+
+def test_contents_of_pending_files_alone_are_read(spark, folder):
+    todo = makedataset.pending(spark, str(folder), files.listed(spark, str(folder)).filter("path LIKE '%a.txt'").select("path"))
+    plan = todo._jdf.queryExecution().executedPlan().toString()
+    assert "content:binary" not in plan and "content#" not in plan
+    assert {r.path.rsplit("/", 1)[1] for r in todo.collect()} == {"b.c.HTML", "empty.txt", "bad.html", "scan.djvu"}
+    read = files.opened(spark, todo)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "a.txt" not in "".join(read.inputFiles()) and len(read.inputFiles()) == 4
+    assert files.extract(files.opened(spark, todo.filter("false"))).count() == 0
+
+
+def test_names_that_look_like_patterns(spark, tmp_path):
+    for name in ("a[1].txt", "b{c,d}.txt", "e*.TXT", "a1.txt"):
+        (tmp_path / name).write_text(name)
+    todo = files.listed(spark, str(tmp_path)).filter("path NOT LIKE '%a1.txt'")
+    assert sorted(r.text for r in files.extract(files.opened(spark, todo)).collect()) == ["a[1].txt", "b{c,d}.txt", "e*.TXT"]
+
+
+def test_chunks_json(spark, tmp_path):
+    chunks = spark.createDataFrame([("/x/b.pdf", 1, "two"), ("/x/b.pdf", 0, "один"), ("/x/a.txt", 0, "")], "source string, chunk_idx int, text string")
+    sinks.write_chunks_json(chunks, str(tmp_path)).collect()
+    assert json.loads((tmp_path / "b__chunks.json").read_text(encoding="utf-8")) == [{"text": "один"}, {"text": "two"}]
+    assert json.loads((tmp_path / "a__chunks.json").read_text()) == []
+
+
+def test_download_in_blocks(spark, tmp_path):
+    page = b'<a href="/f/x.pdf">x</a>'
+    books = spark.createDataFrame([("http://e.org/1",)], "url string")
+
+    def whole(url):
+        yield b"abc"
+        yield b"def"
+
+    def broken(url):
+        yield b"abc"
+        raise OSError("gone")
+
+    ok = catalogue.download(books, str(tmp_path / "ok"), "http://e.org", lambda u: page, delay=(0, 0), blocks=whole).collect()
+    assert [(r.status, r.bytes) for r in ok] == [("ok", 6)] and (tmp_path / "ok" / "x.pdf").read_bytes() == b"abcdef"
+    bad = catalogue.download(books, str(tmp_path / "bad"), "http://e.org", lambda u: page, delay=(0, 0), blocks=broken).collect()
+    assert "gone" in bad[0].status and not list((tmp_path / "bad").iterdir())
