@@ -43,10 +43,19 @@ def plain_characters(c: Column) -> Column:
 
 
 def join_spaced_letters(c: Column) -> Column:
-    """Four or more single letters with spaces between them become one word."""
+    """Four or more single letters with spaces between them become one word.
+
+    Runs are set between two noncharacters, which no text should hold (they go if it does), and lose their spaces there.
+    """
     run = r"(?<![\p{L}\p{N}])((?:\p{L} ){3,}\p{L})(?![\p{L}\p{N}])"
-    found = F.regexp_extract_all(c, F.lit(run), F.lit(1))
-    return F.when(F.rlike(c, F.lit(run)), F.aggregate(found, c, lambda text, x: F.replace(text, x, F.replace(x, F.lit(" "), F.lit(""))))).otherwise(c)
+    opened, closed = "\ufdd0", "\ufdd1"
+
+    def joined(piece: Column, k: Column) -> Column:
+        letters = F.substring_index(piece, closed, 1)
+        return F.when(k == 0, piece).otherwise(F.concat(F.replace(letters, F.lit(" "), F.lit("")), F.replace(F.substr(piece, F.length(letters) + 1), F.lit(closed), F.lit(""))))
+
+    marked = F.split(F.regexp_replace(c, run, f"{opened}$1{closed}"), opened)
+    return F.when(F.rlike(c, F.lit(run)), F.array_join(F.transform(marked, joined), "")).otherwise(c)
 
 
 def rule_clean(c: Column, unicode_step: bool = True) -> Column:
