@@ -97,10 +97,11 @@ def _byte_bpe(path: str) -> Callable[[str], Sequence[int]]:
     full, plain = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (bpe.PATTERN, bpe.PATTERN.replace(r"|\s+(?!\S)", "")))
     space = re.compile(r"\s\s").search
 
-    def encode(text: str) -> list[int] | np.ndarray:
+    def encode(text: str) -> np.ndarray:
         if len(text) > LONG_TEXT:
             return bpe.encoder(path).encode_ordinary(text)
-        return (full if space(text) else plain).encode_ordinary(text)
+        runs = "  " in text if text.isprintable() else space(text)  # of white space, only the space is printable
+        return (full if runs else plain).encode_to_numpy(text, disallowed_special=())
 
     return encode
 
