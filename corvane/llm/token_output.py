@@ -97,11 +97,11 @@ def _byte_bpe(path: str) -> Callable[[str], Sequence[int]]:
     full, plain = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (bpe.PATTERN, bpe.PATTERN.replace(r"|\s+(?!\S)", "")))
     space = re.compile(r"\s\s").search
 
-    def encode(text: str) -> np.ndarray:
+    def encode(text: str) -> list[int] | np.ndarray:
         if len(text) > LONG_TEXT:
             return bpe.encoder(path).encode_ordinary(text)
         runs = "  " in text if text.isprintable() else space(text)  # of white space, only the space is printable
-        return (full if runs else plain).encode_to_numpy(text, disallowed_special=())
+        return (full if runs else plain).encode_ordinary(text)
 
     return encode
 
@@ -215,12 +215,12 @@ def _materialise(rows: DataFrame, id_type: str, tokens: Tokens, length: int, sha
                 at += k
             first = np.array([f for _, f in firsts], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(first[of]), pa.array(place), batch.column(3).take(pa.array(of)), pa.array(part), pa.array(np.minimum(length, n[of] - part * length))],
+                [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of, mask=place > 0)), pa.array(first[of]), pa.array(place), batch.column(3).take(pa.array(of)), pa.array(part), pa.array(np.minimum(length, n[of] - part * length))],
                 names=["file", "path", "first", "place", "doc_id", "part", "n_tokens"],
             )
 
     counted = stage(rows.mapInArrow(count, f"file long, path string, first long, place long, doc_id {id_type}, part long, n_tokens long"), "token-index")
-    # one row for each scan task and file it has read
+    # one row for each scan task and file it has read; the block's first sequence holds the path
     starts: dict[tuple[int, int], int] = {}
     n = 0
     for r in counted.groupBy("file", "first").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).orderBy("path", "first").toLocalIterator():
@@ -246,7 +246,7 @@ def _materialise(rows: DataFrame, id_type: str, tokens: Tokens, length: int, sha
         encode, begin, numbers, block_of = tokens.load(), at.value, {}, Blocks()
         for batch in batches:
             number, records = [], []
-            for file, row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for file, row, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 block, ids = block_of(file, row), encode(text)
                 parts = -(-(len(ids) + 1) // length)
                 whole = np.full(parts * length, -1, np.int64)
@@ -270,7 +270,7 @@ def _materialise(rows: DataFrame, id_type: str, tokens: Tokens, length: int, sha
         slot = feistel(np.array(number, np.int64), n, key)
         return pa.RecordBatch.from_arrays([pa.array((slot // shard_slots).astype(np.int32)), pa.array(slot), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
 
-    sent = rows.mapInArrow(cut, "shard int, slot long, record binary")
+    sent = rows.select("file", "row", "text").mapInArrow(cut, "shard int, slot long, record binary")
     # a range of slots is one partition, and its file has that partition's number
     ranged = sent.repartitionById(-(-n // shard_slots), "shard").sortWithinPartitions("slot")
     ranged.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0" * width).text(folder)
