@@ -57,6 +57,10 @@ class Memo(dict):
         super().__init__()
         self.make, self.most, self.old, self.size = make, most, {}, 0
 
+    def forget(self) -> None:
+        self.old, self.size = {}, 0
+        self.clear()
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
@@ -293,6 +297,11 @@ class ByteBPE:
         parts = [self.added[p].to_bytes(4, "little") if p in self.added else self._plain(p) for p in self.added_split(text) if p]
         return np.frombuffer(b"".join(parts), "<u4")
 
+    def forget(self) -> None:
+        """Empties the memories, which fill again within a second of work, so that an idle worker is small."""
+        for memory in (self.pairs, self.words, self.units):
+            memory.forget()
+
     def encode_ordinary(self, text: str) -> np.ndarray:
         """Ids of the whole text, in which added tokens are ordinary text."""
         return np.frombuffer(self._plain(text), "<u4")
@@ -322,6 +331,18 @@ def encoder(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+def forgetting(path: str, run):
+    """run, after which the worker's encoder forgets."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            encoder(path).forget()
+
+    return then
+
+
 def bpe_columns(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: each text encoded, and its ids decoded again.
 
@@ -342,7 +363,7 @@ def bpe_columns(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(forgetting(path, run), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
@@ -411,4 +432,4 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> Data
                 back = pa.array([hashlib.sha256(codec.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(np.diff(offsets).astype(np.int64)), shas, back], names=[*kept, *added])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(forgetting(path, run), schema)

@@ -319,7 +319,7 @@ def labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*of_class).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
         classes = stage(classes, "minhash-classes")
         members = stage(bucket_members(classes), "minhash-members")
-        wanted = members.select("id").distinct()
+        wanted = stage(members.select("id").distinct(), "minhash-wanted", narrow=True)  # its size decides how the texts meet it
         sets = stage(raw.join(wanted, "id", "left_semi").mapInArrow(_set_rows(words), f"id {kind}, n long, bits struct<{', '.join(w + ': long' for w in _WORDS)}>, shingles binary"), "minhash-sets")
 
         pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
