@@ -339,6 +339,7 @@ def forgetting(path: str, run):
             yield from run(batches)
         finally:
             encoder(path).forget()
+            pa.default_memory_pool().release_unused()
 
     return then
 
