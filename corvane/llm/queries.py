@@ -1,4 +1,4 @@
-"""The queries op1 to op10, each over its whole table, and their SQL where SQL can express them."""
+"""The queries op1 to op13, each over its whole table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -84,10 +84,31 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_warc_derivatives, op4_lm_scoring, op5_media_columns, op6_token_output, op7_language_id, op8_poisson_mixing, op9_html_extraction, op10_minhash_near_dedup)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import divergence
+
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import importance
+
+    return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", "text", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"))
+    return toxicity.score_columns(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_warc_derivatives, op4_lm_scoring, op5_media_columns, op6_token_output, op7_language_id, op8_poisson_mixing, op9_html_extraction, op10_minhash_near_dedup, op11_source_divergence, op12_importance_resampling, op13_toxicity)}
 
 
 def oracles() -> dict[str, str]:
-    from corvane.llm import exact_dedup, mixing
+    from corvane.llm import divergence, exact_dedup, importance, mixing
 
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op8_poisson_mixing": mixing.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op8_poisson_mixing": mixing.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_importance_resampling": importance.ORACLE}

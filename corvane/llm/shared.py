@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 from corvane.session import shared_dir, spread
 
+#: Bytes of a text that pieces() hands out at once, about.
+PIECE = 1 << 20
+#: For each byte of a UTF-8 text: A-Z lower-cased, a-z and all beyond ASCII as they are, a space for others; and the same with digits.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+LETTERS_DIGITS = bytes(b if 48 <= b <= 57 else c for b, c in enumerate(LETTERS))
+
 #: ASCII white space as the contracts define it.
 ASCII_WS = r"[\x20\x09-\x0D]+"
 
@@ -85,3 +91,14 @@ def hashed_uniform(*parts: Column) -> Column:
     """A number in [0, 1) with 52 bits from the md5 of the parts, the same in every engine."""
     key = F.concat_ws("|", *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def pieces(raw: bytes, table: bytes) -> Iterator[bytes]:
+    """A UTF-8 text by one of the tables above, in pieces of PIECE bytes and as many more as end the last word."""
+    at = 0
+    while at < len(raw):
+        end = at + PIECE
+        while end < len(raw) and table[raw[end]] != 32:
+            end += 1
+        yield raw[at:end].translate(table)
+        at = end
