@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import nfkc
 
-#: (name, pattern, replacement) in order; the patterns mean the same in Java and RE2.
+_LETTER = r"[\p{L}\p{N}_]"
+_NUMBER = r"[0-9]++[.,][0-9]++"
+#: (name, pattern, replacement) in order. A repeated group of the JVM's patterns takes a stack frame for each repetition unless it is possessive (``++``), and a
+#: class that a match may start within is read again from each of its characters; so groups are possessive and runs are entered at their start only.
 RULES: tuple[tuple[str, str, str], ...] = (
-    ("page_numbers", r"(?m)^[ \t]*[0-9]+[ \t]*$\n?", ""),
-    ("rulers", r"(?m)^[ \t]*[-_=*]{3,}[ \t]*$\n?", ""),
-    ("asterisks", r"(\*[ \t]*){3,}", ""),
-    ("hyphen_breaks", r"([\p{L}\p{N}_]+)-[ \t]*\n[ \t]*([\p{L}\p{N}_]+)", "$1$2"),
+    ("page_numbers", r"(?md)^[ \t]*+[0-9]++[ \t]*+$\n?", ""),
+    ("rulers", r"(?md)^[ \t]*+[-_=*]{3,}+[ \t]*+$\n?", ""),
+    ("asterisks", r"(?:\*[ \t]*+){3,}+", ""),
+    ("hyphen_breaks", rf"(?<!{_LETTER})({_LETTER}++)-[ \t]*+\n[ \t]*+({_LETTER}++)", "$1$2"),
     ("mid_sentence_newlines", r"([^.!?\n])\n(\p{Ll})", "$1 $2"),
-    ("bracketed_numbers", r" ?\[[0-9]+([;,] ?[0-9]+)*\]", ""),
-    ("numbers_in_brackets", r" ?\([0-9]+\)", ""),
-    ("figure_captions", r"Рис\. ?[0-9]+(\. ?[0-9]+)*\.?[^.]*\.", ""),
-    ("references", r" ?\((рис|табл|гл)\. ?[0-9. ]+\)", ""),
-    ("author_citations", r" ?\(\p{Lu}\p{L}+, ?[0-9]{4}\)", ""),
-    ("capital_runs", r"(\p{Lu}{2,} +){3,}\p{Lu}{2,}", ""),
-    ("number_runs", r"([0-9]+[.,][0-9]+ *){5,}", ""),
+    ("bracketed_numbers", r" ?\[[0-9]++(?:[;,] ?[0-9]++)*+\]", ""),
+    ("numbers_in_brackets", r" ?\([0-9]++\)", ""),
+    # the caption's number has ten levels at most, so a deeper one ends the caption
+    ("figure_captions", r"Рис\. ?[0-9]+(?:\. ?[0-9]+){0,9}\.?[^.]*\.", ""),
+    ("references", r" ?\((?:рис|табл|гл)\. ?[0-9. ]++\)", ""),
+    ("author_citations", r" ?\(\p{Lu}\p{L}++, ?[0-9]{4}\)", ""),
+    ("capital_runs", r"(?<!\p{Lu})\p{Lu}{2,}+(?: ++\p{Lu}{2,}+){3,}+", ""),
+    ("number_runs", rf"(?<![0-9]){_NUMBER}(?: ++{_NUMBER}){{4,}}+ *+", ""),
 )
 
 
@@ -47,7 +51,7 @@ def join_spaced_letters(c: Column) -> Column:
 
     Runs are set between two noncharacters, which no text should hold (they go if it does), and lose their spaces there.
     """
-    run = r"(?<![\p{L}\p{N}])((?:\p{L} ){3,}\p{L})(?![\p{L}\p{N}])"
+    run = r"(?<![\p{L}\p{N}])(\p{L}(?: \p{L}(?![\p{L}\p{N}])){3,}+)"
     opened, closed = "\ufdd0", "\ufdd1"
 
     def joined(piece: Column, k: Column) -> Column:

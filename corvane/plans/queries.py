@@ -116,44 +116,68 @@ _RULE_PAIRS = {
     "asterisks": [(". ", ". * * * ")],
     "hyphen_breaks": HYPHENS,
     "mid_sentence_newlines": [(" of ", "\nof ")],
-    "bracketed_numbers": [(", ", " [144; 214], ")],
-    "numbers_in_brackets": [(", ", " (1), ")],
-    "figure_captions": [(". ", ". Рис. 1. 12. Диаграмма, иллюстрирующая процессы. ")],
-    "references": [(", ", " (рис. 2. 4), ")],
-    "author_citations": [(", ", " (Таусон, 1977), ")],
-    "capital_runs": [(". ", ". ИСПОЛЬЗОВАНИЕ ДАННЫХ ПРИ ИЗУЧЕНИИ ПОРОД ")],
-    "number_runs": [(". ", ". 3,060 0,071 0,042 0,081 1,830 0,012 ")],
+    "bracketed_numbers": [(", ", " [17; 305], ")],
+    "numbers_in_brackets": [(", ", " (8), ")],
+    "figure_captions": [(". ", ". Рис. 3. 4. Схема опыта с двумя сосудами. ")],
+    "references": [(", ", " (табл. 5. 1), ")],
+    "author_citations": [(", ", " (Озеров, 2003), ")],
+    "capital_runs": [(". ", ". НОВЫЕ СВЕДЕНИЯ ПО СОСТАВУ ОЗЁР ")],
+    "number_runs": [(". ", ". 1,5 22,75 0,3 14.02 7,7 600,1 ")],
 }
 #: Junk of all kinds, and what only the whole cleaner takes away.
 RULE_CLEAN_PAIRS = [*(p for pairs in _RULE_PAIRS.values() for p in pairs[:1]), ("on", "o\ufb01n\u201d"), ("er ", "e r s t u v "), ("an", "a\u0301n\u00a0")]
-for _name, _pattern, _replacement in R.RULES:
-    text_query(f"rule_cleaner_{_name}", _RULE_PAIRS[_name], R.rule(_name), lambda c, p=_pattern, r=_replacement: sql_replace(c, p, r))
+#: The rules once more, as SQL's patterns, which match in linear time whatever groups they repeat.
+_SQL_RULES = {
+    "page_numbers": ("(?m)^[ \t]*[0-9]+[ \t]*$\n?", ""),
+    "rulers": ("(?m)^[ \t]*[-_=*]{3,}[ \t]*$\n?", ""),
+    "asterisks": ("([*][ \t]*){3,}", ""),
+    "hyphen_breaks": (r"([\pL\pN_]+)-[ \t]*\n[ \t]*([\pL\pN_]+)", "$1$2"),
+    "mid_sentence_newlines": (r"([^!.?\n])\n(\p{Ll})", "$1 $2"),
+    "bracketed_numbers": (r" ?[[]\d+([,;] ?\d+)*[]]", ""),
+    "numbers_in_brackets": (r" ?[(]\d+[)]", ""),
+    "figure_captions": (r"Рис[.] ?\d+([.] ?\d+){0,9}[.]?[^.]*[.]", ""),
+    "references": (r" ?[(](гл|рис|табл)[.] ?[\d. ]+[)]", ""),
+    "author_citations": (r" ?[(]\p{Lu}\pL+, ?\d\d\d\d[)]", ""),
+    "capital_runs": (r"(\p{Lu}\p{Lu}+ +){3,}\p{Lu}\p{Lu}+", ""),
+    "number_runs": (r"(\d+[,.]\d+ +){4,}\d+[,.]\d+ *", ""),
+}
+for _name, _, _ in R.RULES:
+    text_query(f"rule_cleaner_{_name}", _RULE_PAIRS[_name], R.rule(_name), lambda c, n=_name: sql_replace(c, *_SQL_RULES[n]))
 
 
 def _sql_rules(c: str) -> str:
-    # the same order, without the steps that need look-around or NFKC
-    for _, pattern, replacement in R.RULES:
-        c = sql_replace(c, pattern, replacement)
-    return f"trim({sql_replace(c, ' {2,}', ' ')})"
-
-
-def _rules_native(c):
     for name, _, _ in R.RULES:
-        c = R.rule(name)(c)
-    return F.trim(F.regexp_replace(c, " {2,}", " "))
+        c = sql_replace(c, *_SQL_RULES[name])
+    return c
 
 
-text_query("rule_cleaner_all", [p for pairs in _RULE_PAIRS.values() for p in pairs[:1]], _rules_native, _sql_rules)
+_ALL_JUNK = [*(p for pairs in _RULE_PAIRS.values() for p in pairs[:1]), ("er ", "e r s t u v "), ("the", "\u201cthe\u201d")]
+_SQL_QUOTED = f"""translate({sql_injected('text', _ALL_JUNK)}, chr(8220) || chr(8221) || chr(8222) || chr(8216) || chr(8217) || chr(8218) || chr(160), '\"\"\"  ')"""
 
 
+@query(
+    "rule_cleaner_all",
+    # words and what stands between them; a space between two single letters is a link, and three links in a row go
+    f"""WITH cleaned AS (SELECT doc_id, {_sql_rules(_SQL_QUOTED)} AS t FROM documents),
+split AS (SELECT doc_id, regexp_extract_all(t, '[\\pL\\pN]+|[^\\pL\\pN]+') AS ps FROM cleaned),
+pieces AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS piece FROM split),
+marked AS (
+  SELECT doc_id, i, piece, piece = ' ' AND coalesce(lag(piece) OVER w SIMILAR TO '\\pL' AND lead(piece) OVER w SIMILAR TO '\\pL', false) AS link
+  FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT *, i // 2 - row_number() OVER (PARTITION BY doc_id, link ORDER BY i) AS run FROM marked),
+sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, link, run) AS size FROM runs),
+joined AS (SELECT doc_id, string_agg(CASE WHEN link AND size >= 3 THEN '' ELSE piece END, '' ORDER BY i) AS t FROM sized GROUP BY doc_id)
+SELECT doc_id, trim({sql_replace("coalesce(t, '')", " {2,}", " ")}) AS text FROM documents LEFT JOIN joined USING (doc_id)""",
+)
+def _rule_cleaner_all(spark, sf_dir):
+    """The cleaner as it is shipped, on junk that NFKC leaves alone, which SQL lacks."""
+    return documents(spark, sf_dir).select("doc_id", R.rule_clean(injected(F.col("text"), _ALL_JUNK)).alias("text"))
+
 
 @query("rule_clean")
 def _rule_clean(spark, sf_dir):
-    """The cleaner as it is shipped, with its steps that SQL lacks (NFKC, look-around); tested against a scalar version."""
-    text = F.col("text")
-    for old, new in RULE_CLEAN_PAIRS:
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return documents(spark, sf_dir).select("doc_id", R.rule_clean(text).alias("text"))
+    """The cleaner as it is shipped, on junk of all kinds; tested against a scalar version."""
+    return documents(spark, sf_dir).select("doc_id", R.rule_clean(injected(F.col("text"), RULE_CLEAN_PAIRS)).alias("text"))
 
 
 # -- chunks ---------------------------------------------------------------------------------------------------
