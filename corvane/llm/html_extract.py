@@ -2,9 +2,12 @@
 
 A page becomes a list of blocks: text between block-level tags, with its length, its share of characters in
 links and its share of stop words. The first pass labels a block good, bad, near (long enough to be
-text, but not sure) or short. The second pass gives every near or short block the label of the nearest
-decided neighbours; neighbours of the same container (an article, say) come first. Elements that are
-boilerplate by their name or class (menus, forms, reader comments, ...) are bad from the start.
+text, but not sure), odd (as long, without stop words and links) or short. The second pass gives near blocks, and then short ones, the label of the nearest
+decided neighbours: those of the same container first, then those of the same article, then any outside of articles.
+
+Elements that are boilerplate by their name or class (menus, forms, reader comments, ...) are out from the start, and say nothing about
+their neighbours. A class name that says more than that (``content-with-sidebar``) and a form don't make boilerplate of what holds
+half of the page's text or an article, and such a name says nothing within an article.
 """
 
 from __future__ import annotations
@@ -45,14 +48,16 @@ STOP_WORDS = frozenset(
 RAW = ("script", "style", "textarea", "title")
 SKIPPED = frozenset(["noscript", "template", "svg", "math", "iframe", "object", "select", "button", "canvas", "audio", "video"])
 FOREIGN = frozenset(["svg", "math"])
-BOILERPLATE = frozenset(["nav", "footer", "aside", "form", "menu", "dialog"])
+BOILERPLATE = frozenset(["nav", "footer", "aside", "menu", "dialog"])
 CONTENT = frozenset(["article", "main"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-BLOCKS = HEADINGS | BOILERPLATE | CONTENT | frozenset(
-    "address blockquote body caption center dd details dir div dl dt fieldset figcaption figure head header hgroup hr html legend li ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+ITEMS = frozenset(["li", "td", "th", "dd", "dt", "option"])
+BLOCKS = HEADINGS | BOILERPLATE | CONTENT | ITEMS | frozenset(
+    "address blockquote body caption center details dir div dl fieldset figcaption figure form head header hgroup hr html legend ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-# Parts of the names in class, id or role attributes. A name with one of HINTS marks boilerplate; one of WEAK does so
+# Parts of the names in class, id or role attributes. A name with one of HINTS marks boilerplate, surely so if its other words are of RESTS or
+# PLACES (site-footer, but not footer-design) or a short prefix; one of WEAK does so
 # alone or before words of RESTS only (social, social-links, but not social-science); names that begin with one of ABOUT say something else.
 HINTS = frozenset(
     """
@@ -65,6 +70,9 @@ WEAK = frozenset("banner notice notices notification promotion recommended relat
 RESTS = WEAK | frozenset(
     "area article articles bar block body box button buttons container content form group header heading icon icons inner item items link links list media message news outer panel post posts row section stories story text title top bottom wrap wrapper".split()
 )
+PLACES = frozenset(
+    "page site main global primary secondary first second third last left right upper lower inline sticky fixed floating horizontal vertical mobile desktop small large big native google dfp wrap outer user reader module unit slot zone".split()
+)
 ABOUT = frozenset("has is no not with without hide show open close".split())
 COMMENT = frozenset(["comment", "comments", "reply", "replies"])
 # Marks that end a sentence in some script.
@@ -95,18 +103,24 @@ _SPLIT_HINT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 class Block:
     text: str
     links: int  # characters in links
-    boilerplate: bool
+    forced: bool  # boilerplate by its element or by a sure name
+    maybe: tuple[int, ...]  # numbers of the open elements that a name or a form makes boilerplate, unless they hold most of the page
     content: int  # number of the innermost content element, 0 outside
-    heading: bool
+    container: int  # number of the innermost block element but paragraphs
+    kind: str  # heading, item (of a list or table) or empty
     label: str = ""
 
 
-def names_boilerplate(name: str) -> bool:
-    """Whether one name of a class, id or role attribute marks boilerplate."""
-    first, *rest = [w.lower() for w in _SPLIT_HINT.split(name) if w] or [""]
-    if first in ABOUT:
-        return False
-    return first in HINTS or any(w in HINTS for w in rest) or first in WEAK and all(w in RESTS for w in rest)
+def names_boilerplate(name: str) -> int:
+    """Whether one name of a class, id or role attribute marks boilerplate: 0 no, 1 perhaps, 2 surely."""
+    words = [w.lower() for w in _SPLIT_HINT.split(name) if w]
+    if not words or words[0] in ABOUT:
+        return 0
+    hints = [k for k, w in enumerate(words) if w in HINTS]
+    if hints:
+        others = [w for k, w in enumerate(words) if w not in HINTS and w not in RESTS and w not in PLACES and not (k < hints[0] and len(w) <= 3)]
+        return 1 if others else 2
+    return 2 if words[0] in WEAK and all(w in RESTS or w in PLACES for w in words[1:]) else 0
 
 
 def names_comment(name: str) -> bool:
@@ -114,14 +128,14 @@ def names_comment(name: str) -> bool:
     return next((w.lower() for w in _SPLIT_HINT.split(name) if w), "") in COMMENT
 
 
-def marks(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether class, id or role names a kind of boilerplate, whether the element is hidden, and whether it is a comment."""
-    named = hidden = comment = False
+def marks(attrs: str) -> tuple[int, bool, bool]:
+    """What class, id or role say (as names_boilerplate() does), whether the element is hidden, and whether it is a comment."""
+    named, hidden, comment = 0, False, False
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), m[2] or ""
         if key in ("class", "id", "role"):
             names = value.strip("\"'").split()
-            named = named or any(map(names_boilerplate, names))
+            named = max([named, *map(names_boilerplate, names)])
             comment = comment or any(map(names_comment, names))
         elif key == "hidden" or key == "aria-hidden" and value.strip("\"'").lower() == "true" or key == "style" and _UNSEEN.search(value):
             hidden = True
@@ -154,15 +168,28 @@ def skipped(tags: list[re.Match[str]]) -> dict[int, int]:
     return spans
 
 
+@dataclass
+class _Open:
+    """An open element, with what it has from those around it."""
+
+    name: str
+    bad: bool  # by elements
+    named: bool  # by sure names only, which an article within says nothing to
+    maybe: tuple[int, ...]
+    content: int
+    container: int
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out."""
     blocks: list[Block] = []
-    # open elements: name, boilerplate, content element, boilerplate by class names only
-    stack: list[tuple[str, bool, int, bool]] = []
+    stack = [_Open("", False, False, (), 0, 0)]
+    opened: dict[str, int] = {}  # how many of a name are open
     parts: list[str] = []
     link_parts: list[str] = []
-    in_link = heading = False
-    contents = 0
+    in_link = False
+    kind = ""
+    contents = containers = 0
     at = 0
 
     def flush() -> None:
@@ -170,11 +197,14 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(html.unescape("".join(link_parts)).split()))
-                _, bad, content, wrapped = stack[-1] if stack else ("", False, 0, False)
-                blocks.append(Block(text, links, bad or wrapped, content, heading))
+                x = stack[-1]
+                blocks.append(Block(text, links, x.bad or x.named, x.maybe, x.content, x.container, kind or ("item" if x.name in ITEMS else "")))
             parts.clear()
             link_parts.clear()
 
+    def close() -> None:
+        opened[stack.pop().name] -= 1
+
     tags = list(_TAG.finditer(page))
     spans = skipped(tags)
     for m in tags:
@@ -200,41 +230,62 @@ def blocks_of(page: str) -> list[Block]:
             in_link = not end
             continue
         attrs = m["attrs"]
-        named, hidden, comment = marks(attrs) if not end and len(attrs) > 1 and name not in ("html", "body") else (False, False, False)
-        marked = named or hidden
-        if name not in BLOCKS and not marked and not any(name == x[0] for x in stack):
+        named, hidden, comment = marks(attrs) if not end and len(attrs) > 1 and name not in ("html", "body") else (0, False, False)
+        marked = named > 0 or hidden
+        if name not in BLOCKS and not marked and not opened.get(name):
             continue
         flush()
         in_link = False
-        heading = not end and name in HEADINGS
+        kind = "heading" if not end and name in HEADINGS else ""
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                while stack[-1].name != name:
+                    close()
+                close()
         elif name not in VOID and name not in ("p", "hr") or marked and name == "p":
-            _, bad, content, wrapped = stack[-1] if stack else ("", False, 0, False)
+            if name in ITEMS and stack[-1].name == name:
+                close()
+            x = stack[-1]
+            containers += 1
+            own = _Open(name, x.bad, x.named, x.maybe, x.content, x.container if name == "p" or name in HEADINGS else containers)
             if name in CONTENT:
                 contents += 1
-                content = contents
-                wrapped = wrapped and named  # class names of an article or of its wrapper alone say nothing against it, but both do
+                own.content = contents
+                # what a wrapper's names say goes no further, unless the article's own say so too
+                own.named, own.maybe = x.named and named > 0 or named == 2, ()
             else:
-                wrapped = wrapped or named
+                own.named = x.named or named == 2
+                if (named == 1 or name == "form") and not x.content:
+                    own.maybe = (*x.maybe[:7], containers)
             # a page's header is boilerplate, an article's header isn't
-            bad = bad or hidden or comment and name == "article" or name in BOILERPLATE or name == "header" and not content
-            if name in ("li", "td", "th", "dd", "dt", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-            stack.append((name, bad, content, wrapped))
-        elif name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()  # a marked paragraph without its end
+            own.bad = x.bad or hidden or comment and name == "article" or name in BOILERPLATE or name == "form" and x.content > 0 or name == "header" and not own.content
+            stack.append(own)
+            opened[name] = opened.get(name, 0) + 1
+        elif name == "p" and stack[-1].name == "p":
+            close()  # a marked paragraph without its end
     if at < len(page):
         parts.append(page[at:])
         if in_link:
             link_parts.append(page[at:])
     flush()
+    settle(blocks)
     return blocks
 
 
+def settle(blocks: list[Block]) -> None:
+    """Decides which doubtful elements are boilerplate: those that hold less than half of the text that no sure sign takes out."""
+    held: dict[int, int] = {}
+    total = 0
+    for b in blocks:
+        if not b.forced:
+            n = len(b.text) - b.links
+            total += n
+            for k in b.maybe:
+                held[k] = held.get(k, 0) + n
+    for b in blocks:
+        b.forced = b.forced or any(2 * held.get(k, 0) < total for k in b.maybe)
+
+
 def size(text: str) -> int:
     """Characters, of which those of scripts with a sign for a syllable or a word count as three."""
     return len(text) if text.isascii() else len(text) + 2 * sum("\u2e80" <= c <= "\ud7a3" or c >= "\U00020000" for c in text)
@@ -249,7 +300,12 @@ def stop_words(text: str) -> tuple[int, int]:
 def first_pass(b: Block, known: bool = True) -> str:
     """known: whether the page's language is one of the stop words'; otherwise the density of sentence ends stands in for theirs."""
     n = size(b.text)
-    if b.boilerplate or b.links > LINKS_MOST * len(b.text) or "©" in b.text and n < LENGTH_HIGH and not b.content:
+    if b.forced:
+        return "out"
+    if b.links > LINKS_MOST * len(b.text):
+        # a link in an article's running text is text, a list of them may be a menu
+        return "bad" if not b.content or b.kind == "item" else "short"
+    if "©" in b.text and n < LENGTH_HIGH and not b.content:
         return "bad"
     if n < LENGTH_LOW:
         return "bad" if b.links and not b.content else "short"
@@ -262,53 +318,62 @@ def first_pass(b: Block, known: bool = True) -> str:
         return "good" if n > LENGTH_HIGH else "near"
     if share >= STOP_LOW or b.content:
         return "near"
-    return "bad"
+    return "bad" if b.links else "odd"
 
 
 def language_known(blocks: list[Block]) -> bool:
     """Whether stop words occur in the page's longer blocks as they do in a language that they are from."""
-    counts = [stop_words(b.text) for b in blocks if not b.boilerplate and size(b.text) >= LENGTH_LOW]
+    counts = [stop_words(b.text) for b in blocks if not b.forced and size(b.text) >= LENGTH_LOW]
     return sum(s for s, _ in counts) >= STOP_HIGH * sum(n for _, n in counts) > 0
 
 
+def nearest(blocks: list[Block], step: int) -> list[tuple[int, int, int]]:
+    """For each block the nearest decided one to one side: in its container, in its content element, and outside of these (-1: none)."""
+    found = [(-1, -1, -1)] * len(blocks)
+    containers: dict[int, int] = {}
+    contents: dict[int, int] = {}
+    for i in range(len(blocks)) if step < 0 else range(len(blocks) - 1, -1, -1):
+        b = blocks[i]
+        found[i] = containers.get(b.container, -1), contents.get(b.content, -1), contents.get(0, -1)
+        if b.label in ("good", "bad"):
+            containers[b.container] = contents[b.content] = i
+    return found
+
+
 def second_pass(blocks: list[Block]) -> None:
-    """Labels of near and short blocks; decided blocks keep theirs."""
-    n = len(blocks)
-    decided = [b.label in ("good", "bad") for b in blocks]
-
-    def nearest(step: int) -> list[tuple[int, int]]:
-        """For each block the nearest decided one to one side, in its own content element and anywhere (-1: none)."""
-        found: list[tuple[int, int]] = [(-1, -1)] * n
-        last, anywhere = {}, -1
-        for i in range(n) if step < 0 else range(n - 1, -1, -1):
-            found[i] = last.get(blocks[i].content, -1), anywhere
-            if decided[i]:
-                anywhere = i
-                last[blocks[i].content] = i
-        return found
-
-    before, after = nearest(-1), nearest(1)
-    labels = []
-    for i, b in enumerate(blocks):
-        if decided[i]:
-            labels.append(b.label)
-            continue
-        k = 0 if before[i][0] >= 0 or after[i][0] >= 0 or b.content else 1
-        left, right = before[i][k], after[i][k]
-        if b.content and left < 0 and right < 0:
-            labels.append("good")  # nothing in the article speaks against it
-        elif left < 0 or right < 0:
-            labels.append(blocks[max(left, right)].label if max(left, right) >= 0 else "good" if b.label == "near" else "bad")
-        elif blocks[left].label == blocks[right].label:
-            labels.append(blocks[left].label)
-        elif b.label == "near" or b.heading and blocks[right].label == "good":
-            labels.append("good")
-        elif i - left != right - i:
-            labels.append(blocks[left if i - left < right - i else right].label)
-        else:
-            labels.append("good" if b.content else "bad")
-    for b, label in zip(blocks, labels, strict=True):
-        b.label = label
+    """Labels near blocks and then short ones by their decided neighbours; blocks that are out decide nothing."""
+    for kind in ("near", "short"):
+        before, after = nearest(blocks, -1), nearest(blocks, 1)
+        anything = any(b.label == "good" for b in blocks)
+        labels = []
+        for i, b in enumerate(blocks):
+            if b.label != kind:
+                labels.append(b.label)
+                continue
+            left, right = next(((x, y) for x, y in zip(before[i][: 2 if b.content else 3], after[i], strict=False) if x >= 0 or y >= 0), (-1, -1))
+            if b.content and (kind == "near" or left < 0 or right < 0):
+                labels.append("good")  # an article's text is out only as a short piece between two menus
+            elif left < 0 and right < 0:
+                # a short block is text only where no other is
+                labels.append("good" if kind == "near" or not anything and any(map(str.isalnum, b.text)) else "bad")
+            elif left < 0 or right < 0:
+                labels.append(blocks[max(left, right)].label)
+            elif blocks[left].label == blocks[right].label:
+                labels.append(blocks[left].label)
+            elif kind == "near" or b.kind == "heading" and blocks[right].label == "good":
+                labels.append("good")
+            elif i - left != right - i:
+                labels.append(blocks[left if i - left < right - i else right].label)
+            else:
+                labels.append("good" if b.content else "bad")
+        for b, label in zip(blocks, labels, strict=True):
+            b.label = label
+        if kind == "near":
+            # text without links and stop words goes with its container
+            good = {b.container for b in blocks if b.label == "good"}
+            for b in blocks:
+                if b.label == "odd":
+                    b.label = "good" if b.container in good or not good else "bad"
 
 
 def main_text(page: str | None) -> str:

@@ -16,15 +16,20 @@ import html
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = b"\r\n"
-#: Compressed bytes that are unpacked at once.
-PIECE = 1 << 16
+#: Compressed bytes that are unpacked at once, and bytes of a file that are read at once.
+PIECE, READ = 1 << 16, 1 << 20
+#: Bytes of a record and of its header at most; what claims more is damage.
+MOST_RECORD, MOST_HEAD = 1 << 30, 1 << 20
+#: Bytes of a file that Spark reads whole; larger ones are read in pieces.
+WHOLE = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL namespace of RFC 4122
 _DROP = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style|template|noscript)\b[^>]*>(?:.*?</\1\s*>|.*\Z)", re.S | re.I)
@@ -68,6 +73,14 @@ def headers_of(head: bytes) -> dict[str, str]:
     return dict(fields_of(head))
 
 
+def content_length(headers: dict[str, str]) -> int:
+    """The length of a record's block; ValueError for one that isn't a plain number or that is more than a record may have."""
+    stated = headers.get("content-length", "")
+    if not re.fullmatch(r"[0-9]{1,19}", stated) or int(stated) > MOST_RECORD:
+        raise ValueError(f"the record's length is {stated[:40]!r}")
+    return int(stated)
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers and block of the record at a place, and the place after it."""
     end = data.find(CRLF + CRLF, at)
@@ -75,7 +88,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         raise ValueError("not a WARC record")
     headers = headers_of(data[at:end])
     start = end + 4
-    stop = start + int(headers["content-length"])
+    stop = start + content_length(headers)
     if stop > len(data):
         raise ValueError("the record is cut off")
     return headers, data[start:stop], stop + 4
@@ -265,47 +278,153 @@ def members(data: bytes, strict: bool = False) -> Iterator[tuple[int, bytes, str
         at = end
 
 
-def records_of(data: bytes) -> Iterator[tuple[str, bytes | None]]:
-    """(type, record) of all records of a file's bytes, in order; a damaged place gives ("error", None), and the next record after it is found."""
-    if data[:2] == b"\x1f\x8b":
-        for _, content, wrong in members(data):
-            yield from _plain_records(content, cut=bool(wrong))
-            if wrong:
-                yield "error", None
-    else:
-        yield from _plain_records(data)
+class StoredFile:
+    """The bytes of a file in any store that pyarrow opens, of which a piece at a time is held."""
+
+    def __init__(self, path: str) -> None:
+        filesystem, place = fs.FileSystem.from_uri(path)
+        self._file = filesystem.open_input_file(place)
+        self._size, self._at, self._held = self._file.size(), 0, b""
+
+    def __len__(self) -> int:
+        return self._size
+
+    def __getitem__(self, at: slice) -> bytes:
+        start, stop, _ = at.indices(self._size)
+        if not self._at <= start <= stop <= self._at + len(self._held):
+            self._at, self._held = start, self._file.read_at(max(stop - start, min(READ, self._size - start)), start)
+        return self._held[start - self._at : stop - self._at]
+
+    def find(self, wanted: bytes, start: int) -> int:
+        while start < self._size:
+            found = self[start : start + READ + len(wanted) - 1].find(wanted)
+            if found >= 0:
+                return start + found
+            start += READ
+        return -1
 
 
-def _plain_records(data: bytes, cut: bool = False) -> Iterator[tuple[str, bytes | None]]:
-    """cut: the data is known to end too early, so its last, incomplete record is no damage of its own."""
+def unpacked(data: bytes | StoredFile, at: int, ended: dict[str, object]) -> Iterator[bytes]:
+    """The content of the gzip member at a place, in pieces. ended gets the place after it and what is wrong with it; after a damaged one that is the next that begins as a member does."""
+    member, end, wrong = zlib.decompressobj(wbits=31), at, ""
+    try:
+        while not member.eof and end < len(data):
+            piece, before = data[end : end + PIECE], member.copy()
+            end += len(piece)
+            try:
+                yield member.decompress(piece)
+            except zlib.error:  # what comes before the damage, as with pieces of any size
+                for k in range(len(piece)):
+                    yield before.decompress(piece[k : k + 1])
+                raise
+        end -= len(member.unused_data)
+        wrong = "" if member.eof else "the member is cut off"
+    except zlib.error as e:
+        wrong = str(e)
+    if wrong:
+        end = data.find(b"\x1f\x8b\x08", at + 1)
+        end = len(data) if end < 0 else end
+    ended.update(at=end, wrong=wrong)
+
+
+def records_of(data: bytes | StoredFile) -> Iterator[tuple[str, bytes | None]]:
+    """(type, record) of all records of a file, in order; a damaged place gives ("error", None), and the next record after it is found. Holds a record and a piece at a time."""
+    if data[:2] != b"\x1f\x8b":
+        if (yield from _plain_records(data[k : k + READ] for k in range(0, len(data), READ))):
+            yield "error", None
+        return
     at = 0
     while at < len(data):
-        if data[at : at + 2] == CRLF:
-            at += 2
+        ended: dict[str, object] = {}
+        # a member's last record waits for its check sum; what damage a member has is told once
+        last, cut, found = None, False, _plain_records(unpacked(data, at, ended))
+        while True:
+            try:
+                one = next(found)
+            except StopIteration as e:
+                cut = bool(e.value)
+                break
+            if last:
+                yield last
+            last = one
+        if last and not ended["wrong"]:
+            yield last
+        if cut or ended["wrong"]:
+            yield "error", None
+        at = int(ended["at"])
+
+
+def _plain_records(pieces: Iterator[bytes]) -> Generator[tuple[str, bytes | None], None, bool]:
+    """Returns whether the pieces end within a record."""
+    held = bytearray()
+    lost = ended = cut = False
+    wanted = 1  # bytes without which it is no use to look again
+    while True:
+        while len(held) < wanted and not ended:
+            piece = next(pieces, None)
+            ended = piece is None
+            held += piece or b""
+        if lost:
+            at = held.find(b"\r\n\r\nWARC/")
+            if at < 0 and ended:
+                return cut
+            del held[: at + 4 if at >= 0 else max(0, len(held) - 8)]
+            lost, wanted = at < 0, len(held) + (at < 0)
+            continue
+        while held.startswith(CRLF):
+            del held[:2]
+        if not held.strip(CRLF) and ended:
+            return False
+        if held == CRLF[:1]:
+            wanted = 2
             continue
         try:
-            headers, _, after = parse(data, at)
-            yield headers.get("warc-type", ""), data[at:after]
-            at = after
-        except (ValueError, KeyError):
-            at = data.find(b"\r\n\r\nWARC/", at + 1)
-            at = len(data) if at < 0 else at + 4
-            if not (cut and at == len(data)):
+            head = held.find(CRLF + CRLF, 0, MOST_HEAD)
+            if not held.startswith(b"WARC/"[: len(held)]) or head < 0 and len(held) >= MOST_HEAD:
+                raise ValueError("not a WARC record")
+            stop = head + 4 + content_length(headers_of(bytes(held[:head]))) if head >= 0 else len(held) + 1
+            if head >= 0 and (stop + 4 <= len(held) or ended and stop <= len(held)):
+                kind = headers_of(bytes(held[:head])).get("warc-type", "")
+                stop += 4 if held[stop : stop + 4] == CRLF + CRLF else 0
+                yield kind, bytes(held[:stop])
+                del held[:stop]
+                wanted = 1
+                continue
+            if not ended:
+                wanted = stop + 4
+                continue
+            raise ValueError("the record is cut off")
+        except ValueError as e:
+            # a record that the file's end cuts off may hide others behind a wrong length; the end itself is told once
+            lost, wanted = True, 1
+            del held[:1]
+            if ended and "cut off" in str(e) and held.find(b"\r\n\r\nWARC/") < 0:
+                cut = True
+            else:
                 yield "error", None
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
     """(path, place, warc_type, record) of the records of .warc and .warc.gz files.
 
-    Each damaged place gives a row of the type "error" without a record, and reading goes on at the next record or gzip member. A task holds one file, which
-    Spark bounds to 2 GB, and unpacks one member at a time.
+    Each damaged place gives a row of the type "error" without a record, and reading goes on at the next record or gzip member; so does a
+    file that can't be opened. Empty files give no rows. A task holds a file of at most ``whole`` bytes, which Spark reads from any store it knows; larger ones are read a
+    piece at a time by pyarrow, of whatever size. A record has at most MOST_RECORD bytes.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for place, (kind, found) in enumerate(records_of(data or b"")):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([place], pa.int64()), pa.array([kind]), pa.array([found], pa.binary())], names=["path", "place", "warc_type", "record"])
-
-    return files.mapInArrow(run, "path string, place long, warc_type string, record binary")
+                place = 0
+                try:
+                    for kind, found in records_of(StoredFile(name) if data is None else data):
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([place], pa.int64()), pa.array([kind]), pa.array([found], pa.binary())], names=["path", "place", "warc_type", "record"])
+                        place += 1
+                except (OSError, pa.ArrowInvalid):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([place], pa.int64()), pa.array(["error"]), pa.array([None], pa.binary())], names=["path", "place", "warc_type", "record"])
+
+    kind = "path string, place long, warc_type string, record binary"
+    small = files.filter(F.col("length") <= whole).select("path", "content").mapInArrow(run, kind)
+    large = files.filter(F.col("length") > whole).select("path").withColumn("content", F.lit(None).cast("binary")).mapInArrow(run, kind)
+    return small.unionByName(large)

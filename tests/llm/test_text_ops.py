@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -218,6 +219,57 @@ def test_marks_of_boilerplate(mark):
     assert html_extract.main_text(f"<div {mark}><p>{PARAGRAPH}</p></div><div><p>{PARAGRAPH} {PARAGRAPH}</p></div>") == f"{PARAGRAPH} {PARAGRAPH}"
 
 
+@pytest.mark.parametrize("other", ["<aside>x</aside>", "<nav>Contents</nav>", "<form><p>Mail me</p></form>", "<div class=ad>Buy now</div>"])
+def test_what_is_out_decides_nothing(other):
+    assert html_extract.main_text(f"<article><p>{PARAGRAPH}</p>{other}</article>") == PARAGRAPH
+    long, ad = f"{PARAGRAPH} {PARAGRAPH}", "<div class='ad'>Buy now</div>"
+    assert html_extract.main_text(f"<article><p>{long}</p>{ad}<p>Yes.</p>{ad}{other}<p>{long}</p></article>") == f"{long} Yes. {long}"
+    assert html_extract.main_text(f"<div><p>{PARAGRAPH}</p>{other}</div>") == PARAGRAPH
+
+
+def test_links_in_articles():
+    assert html_extract.main_text(f"<article><p>{PARAGRAPH}</p><p><a href=x>The whole report of the year can be read on another page.</a></p></article>") == f"{PARAGRAPH} The whole report of the year can be read on another page."
+    menu = "".join(f"<li><a href={k}>Chapter {k}</a></li>" for k in range(4))
+    assert html_extract.main_text(f"<article><ul>{menu}</ul><p>{PARAGRAPH}</p></article>") == PARAGRAPH
+
+
+@pytest.mark.parametrize("inner", [f"<article><p>{PARAGRAPH}</p></article>", f"<main><p>{PARAGRAPH}</p></main>", f"<div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>"])
+def test_a_form_around_the_page(inner):
+    got = html_extract.main_text(f"<body><form action=/><nav>Home</nav>{inner}<footer>the end</footer></form></body>")
+    assert got.replace(PARAGRAPH, "").strip() == "" and PARAGRAPH in got
+
+
+@pytest.mark.parametrize("mark", ["class='layout-sidebar-left'", "class='content-with-sidebar'", "class='page modal-open'", "id='menu-planning-guide'"])
+def test_names_of_wrappers(mark):
+    page = f"<div {mark}><h1>A guide</h1><p>{PARAGRAPH}</p></div><div class=sidebar>{PARAGRAPH}</div>"
+    assert html_extract.main_text(page) == f"A guide {PARAGRAPH}"
+
+
+@pytest.mark.parametrize("element", [f"<p class='ad-hoc'>{PARAGRAPH}</p>", f"<section id='informed-consent'><p>{PARAGRAPH}</p></section>", f"<div class='newsletter-issue'>{PARAGRAPH}</div>"])
+def test_names_within_articles(element):
+    assert html_extract.main_text(f"<article><p>{PARAGRAPH}</p>{element}</article>") == f"{PARAGRAPH} {PARAGRAPH}"
+
+
+@pytest.mark.parametrize("mark", ["class='sidebar-left'", "id=page-footer", "class='wp-block-navigation'", "class='td-sidebar'", "class='main-nav__items'", "class=cookie-banner"])
+def test_sure_names_hold_however_much_they_have(mark):
+    assert html_extract.main_text(f"<div><p>{PARAGRAPH}</p></div><div {mark}><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>") == PARAGRAPH
+
+
+def test_pages_without_article_tags(spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet").select("html").collect()]
+    same = [html_extract.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) == html_extract.main_text(p) for p in pages]
+    assert sum(same) >= 0.95 * len(same) and all(html_extract.main_text(p.replace("article>", "div>")) for p in pages)
+
+
+def test_nesting_is_linear():
+    def took(n):
+        began = time.perf_counter()
+        html_extract.main_text("<div><b class=x>" * n + "x" + "</i>" * n)
+        return time.perf_counter() - began
+
+    assert took(20_000) < 12 * max(took(4_000), 0.01)
+
+
 def test_comments_in_articles_and_quotes_in_values():
     assert html_extract.main_text(f"{ARTICLE}<article class='comment even'><p>{PARAGRAPH} says a reader</p></article>") == PARAGRAPH
     assert html_extract.main_text(f"<article><p title=it's>{PARAGRAPH}</p></article><div>it's</div>") == PARAGRAPH
@@ -276,6 +328,59 @@ def test_warc_edges(spark, tmp_path):
     assert again.count() == 8
 
 
+@pytest.mark.parametrize("length", ["-60", "-1", "+4", "1_0", "", "x", "9" * 30, str(2**40), "9" * 5000])
+def test_lengths_that_are_none(length):
+    good = warc.response_record("http://e.org/", "<p>x</p>")
+    bad = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {length}\r\n\r\nlost\r\n\r\n".encode()
+    with pytest.raises(ValueError):
+        warc.parse(bad)
+    for data in (good + bad + good, gzip.compress(good + bad + good)):
+        assert list(warc.records_of(data)) == [("response", good), ("error", None), ("response", good)]
+    assert list(warc.records_of(bad)) == [("error", None)] and list(warc.records_of(bad[:-8])) == [("error", None)]
+
+
+def test_files_in_pieces(spark, tmp_path, monkeypatch):
+    """Whole and in pieces of any size, with damage anywhere, the same records come out."""
+    records = [warc.response_record(f"http://e.org/{k}", "<p>x</p>" * (k * 7)) for k in range(12)]
+    rnd = np.random.default_rng(4)
+    for packed in (False, True):
+        data = bytearray(b"".join(map(gzip.compress, records) if packed else records))
+        for k in rnd.integers(0, len(data), 3):
+            data[k] ^= 0x55
+        (tmp_path / "x.warc").write_bytes(data)
+        whole = list(warc.records_of(bytes(data)))
+        assert sum(r in records for _, r in whole) >= 8
+        for read, piece in ((1, 1), (7, 3), (100, 64), (4096, 1000)):
+            monkeypatch.setattr(warc, "READ", read)
+            monkeypatch.setattr(warc, "PIECE", piece)
+            assert list(warc.records_of(bytes(data))) == whole == list(warc.records_of(warc.StoredFile(f"file://{tmp_path}/x.warc")))
+        rows = [sorted((r.place, r.warc_type, r.record) for r in warc.read_warc(spark, str(tmp_path / "x.warc"), most).collect()) for most in (1 << 30, 10)]
+        assert rows[0] == rows[1] == [(k, kind, r) for k, (kind, r) in enumerate(whole)]
+
+
+def test_one_member_for_a_whole_file(tmp_path):
+    records = [warc.response_record("u", "x" * n) for n in (0, 5, 300_000)]
+    assert [r for _, r in warc.records_of(gzip.compress(b"".join(records)))] == records
+
+
+def test_query_values(spark, sf_dir):
+    """Every value of the query from a plain reading of the pages."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = QUERIES["op3_warc_derivatives"](spark, sf_dir).collect()
+    assert len(rows) == 2 * len(pages)
+    for r in rows:
+        page = pages[r.page_id]
+        whole = warc.response_record(page.url, page.html, key=str(page.page_id))
+        assert r.refers_to.encode() in whole and r.target_uri == page.url and f"WARC-Date: {r.date}".encode() in whole
+        if r.warc_type == "conversion":
+            seen = re.sub(r"(?s)<(style|script)>.*?</\1>|<!--.*?-->", " ", page.html)
+            text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", seen)).split()).encode()
+            assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(text).digest()).decode()
+            fields = [("WARC-Type", "conversion"), ("WARC-Record-ID", r.record_id), ("WARC-Refers-To", r.refers_to), ("WARC-Target-URI", r.target_uri), ("WARC-Date", r.date), ("WARC-Block-Digest", r.block_digest), ("Content-Type", r.content_type), ("Content-Length", str(len(text)))]
+            data = b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + text + b"\r\n\r\n"
+            assert r.record_bytes == len(data) and r.record_sha256 == hashlib.sha256(data).hexdigest()
+
+
 def hand_made_crawl():
     """Records as crawlers write them, and the text and the facts that each response must give."""
 
