@@ -38,11 +38,17 @@ def rule(name: str) -> Callable[[Column], Column]:
     return lambda c: F.regexp_replace(c, pattern, replacement)
 
 
+# Typographic characters and their plain forms.
+PLAIN = {"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "‚": "'", "\u00a0": " ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+
+
 def plain_characters(c: Column) -> Column:
     """Typographic quotes, ligatures and no-break spaces as plain characters."""
-    c = F.translate(c, "“”„‘’‚ ", "\"\"\"''' ")
-    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        c = F.replace(c, F.lit(ligature), F.lit(letters))
+    single = {k: v for k, v in PLAIN.items() if len(v) == 1}
+    c = F.translate(c, "".join(single), "".join(single.values()))
+    for ligature, plain in PLAIN.items():
+        if len(plain) > 1:
+            c = F.replace(c, F.lit(ligature), F.lit(plain))
     return c
 
 

@@ -16,7 +16,7 @@ from corvane.functions import html as H
 from corvane.functions import patterns as P
 from corvane.functions import rules as R
 from corvane.functions import text as X
-from corvane.operators import catalogue, chunk, dataset, model, runs
+from corvane.operators import catalogue, chunk, contract, dataset, heads, model, runs
 from corvane.plans import makedataset
 from corvane.schemas import CHUNK_JSON, EOS_DEFAULT
 from corvane.session import shared_dir, spread
@@ -180,6 +180,46 @@ def _rule_clean(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", R.rule_clean(injected(F.col("text"), RULE_CLEAN_PAIRS)).alias("text"))
 
 
+_CONTRACT_PAIRS = [*(p for n in ("page_numbers", "bracketed_numbers", "references", "capital_runs", "number_runs") for p in _RULE_PAIRS[n])]
+_SQL_LETTERS = lambda c: f"length(regexp_replace({c}, '[^\\pL\\pN]', '', 'g'))"
+
+
+@query(
+    "content_contract",
+    # the rules only take away; four letters that no text holds are put into every fifth cleaned text
+    f"""WITH t AS (SELECT doc_id, {sql_injected('text', _CONTRACT_PAIRS)} AS before FROM documents),
+c AS (SELECT doc_id, {_SQL_LETTERS('before')} AS n, {_SQL_LETTERS(_sql_rules('before'))} AS m FROM t)
+SELECT doc_id, doc_id % 5 <> 0 AS faithful, n::BIGINT AS letters, (n - m)::BIGINT AS removed, CASE WHEN doc_id % 5 = 0 THEN 4 ELSE 0 END::BIGINT AS inserted FROM c""",
+)
+def _content_contract(spark, sf_dir):
+    """What the shipped cleaner takes away from whole documents, and whether it adds anything."""
+    docs = documents(spark, sf_dir).select("doc_id", injected(F.col("text"), _CONTRACT_PAIRS).alias("text"))
+    cleaned = R.rule_clean(F.col("text"))
+    both = docs.withColumn("cleaned", F.when(F.col("doc_id") % 5 == 0, F.concat(cleaned, F.lit(" \ua66e\ua66e\ua66e\ua66e"))).otherwise(cleaned))
+    return contract.content_contract(both, "text", "cleaned").select("doc_id", "content.faithful", "content.letters", "content.removed", "content.inserted")
+
+
+_HEADED = """CASE WHEN turn % 3 = 2 THEN '' ELSE '  Report  ' || conv_id || ',  page ' || (turn + 1) || chr(10) END || CASE WHEN turn % 2 = 0 THEN 'ODD  Pages' ELSE 'Even pages' END || chr(10) || chr(10)
+|| coalesce(text, '') || chr(10) || 'report ' || conv_id || ', page 1' || chr(10) || 'x' || chr(10) || 'y' || chr(10) || '- ' || (turn + 1) || ' -'"""
+_SQL_KEY = "lower(trim(regexp_replace(regexp_replace(line, '\\s+', ' ', 'g'), '[0-9]+', '#', 'g')))"
+
+
+@query(
+    "running_heads_dropped",
+    f"""WITH p AS (SELECT row_number() OVER () AS r, conv_id, turn + 1 AS page, string_split({_HEADED}, chr(10)) AS ls FROM conversations),
+l AS (SELECT r, conv_id, page, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM p),
+f AS (SELECT *, {_SQL_KEY} AS key, row_number() OVER (PARTITION BY r ORDER BY i) AS a, row_number() OVER (PARTITION BY r ORDER BY i DESC) AS z FROM l WHERE trim(line) <> ''),
+e AS (SELECT *, 'top' AS edge FROM f WHERE a <= 3 UNION ALL SELECT *, 'bottom' FROM f WHERE z <= 3),
+n AS (SELECT conv_id, page % 2 AS odd, count(DISTINCT page) AS n FROM p GROUP BY ALL),
+h AS (SELECT conv_id, page % 2 AS odd, edge, key FROM e GROUP BY ALL HAVING count(DISTINCT page) >= 3 AND count(DISTINCT page) >= 0.5 * max((SELECT n FROM n WHERE n.conv_id = e.conv_id AND n.odd = e.page % 2))),
+g AS (SELECT DISTINCT r, i FROM e JOIN h ON h.conv_id = e.conv_id AND h.odd = e.page % 2 AND h.edge = e.edge AND h.key = e.key)
+SELECT conv_id, page, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text FROM l LEFT JOIN g ON g.r = l.r AND g.i = l.i GROUP BY l.r, conv_id, page""",
+)
+def _running_heads_dropped(spark, sf_dir):
+    pages = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), F.expr(_HEADED).alias("text"))
+    return heads.drop_running_heads(pages, "conv_id", "page")
+
+
 # -- chunks ---------------------------------------------------------------------------------------------------
 
 _PIECES = f"list_transform(list_filter(list_transform(string_split(t, '.'), lambda x: {SQL_STRIP('x')}), lambda x: x <> ''), lambda x: x || '.')"
