@@ -1,0 +1,137 @@
+"""Streamed answers against the batch join; the listing source against a local server."""
+
+import random
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
+
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.sources import listing
+from corvane.streaming import answers
+
+SCHEMA = "request string, number int, text string, is_last boolean, at timestamp"
+
+
+@pytest.fixture()
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, answers.PROVIDER)
+    yield spark
+    spark.conf.set(key, before)
+
+
+def run(spark, folder, out, checkpoint):
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
+    answers.join_stream(stream, "10 minutes").writeStream.format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+
+
+def at(minute):
+    return f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00"
+
+
+def test_out_of_order_and_restarted_stream(rocks, tmp_path):
+    import json
+
+    spark, rnd = rocks, random.Random(1)
+    whole = {f"r{k}": [rnd.choice(["a", "bc ", "", " d", None]) for _ in range(rnd.randrange(1, 9))] for k in range(12)}
+    whole["r3"] = ["a", "b", "c"]
+    rows = [(r, n, t, n == len(ts) - 1) for r, ts in whole.items() for n, t in enumerate(ts)]
+    rows += rnd.sample(rows, 20)  # a retry sends some again
+    lost = ("r3", len(whole["r3"]) // 2)
+    rows = [r for r in rows if r[:2] != lost]
+    rnd.shuffle(rows)
+    rows.append(("late", 0, "x", False))
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
+    (tmp_path / "in").mkdir()
+
+    def write(k, part, minute):
+        (tmp_path / "in" / f"{k}.json").write_text("".join(json.dumps(dict(zip(("request", "number", "text", "is_last", "at"), (*r, at(minute)), strict=True))) + "\n" for r in part))
+        time.sleep(0.02)
+
+    size = -(-len(rows) // 6)
+    for k in range(3):
+        write(k, rows[k * size : (k + 1) * size], k)
+    run(spark, folder, out, checkpoint)
+    for k in range(3, 6):
+        write(k, rows[k * size : (k + 1) * size], k)
+    run(spark, folder, out, checkpoint)  # another start goes on where the last one stopped
+    for k in range(6, 9):
+        write(k, [("end", k, "", False)], k * 60)  # time goes by
+    run(spark, folder, out, checkpoint)
+    got = sorted(tuple(r) for r in spark.read.schema(answers.ANSWER).json(out).collect() if r.request != "end")
+    batch = answers.join_batch(spark.createDataFrame([(*r, None) for r in rows], SCHEMA))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(got, key=key) == sorted(map(tuple, batch.collect()), key=key)
+    assert {r[0] for r in got if r[3]} == {"r3", "late"}
+
+
+def test_stream_needs_its_state_store(spark):
+    with pytest.raises(ValueError, match="providerClass"):
+        answers.join_stream(spark.createDataFrame([], SCHEMA))
+
+
+def test_batch_edges(spark):
+    rows = [("a", 0, " x", False), ("a", 1, None, False), ("a", 2, "y ", True), ("a", 2, "y ", True), ("a", 3, "after the end", False), ("b", 1, "z", True), (None, 0, "q", True), ("c", None, "q", True), ("d", 0, "", True), ("e", 0, "k ", False)]
+    got = {r.request: tuple(r)[1:] for r in answers.join_batch(spark.createDataFrame([(*r, None) for r in rows], SCHEMA)).collect()}
+    assert got == {"a": ("xy", 3, None), "b": ("z", 1, answers.TIMED_OUT), "d": ("", 1, None), "e": ("k ", 1, answers.TIMED_OUT)}
+    assert answers.join_batch(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.fixture()
+def server():
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            query = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            asked.append((self.headers["Host"], time.monotonic(), query))
+            code = {"7": 404, "8": 500}.get(query["page"], 200)
+            if query["page"] == "9" and sum(q == query for *_, q in asked) == 1:
+                code = 503
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(f"<p>{query}</p>".encode())
+
+        def log_message(self, *_):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield s.server_port, asked
+    s.shutdown()
+
+
+def test_filters_become_requests(spark, server):
+    port, asked = server
+    pages = listing.read_listing(spark, [f"http://127.0.0.1:{port}/books", f"http://localhost:{port}/list?kind=1"], 3, delay=0.2)
+    rows = pages.filter("language IN ('de', 'fr') AND topic = '1' AND page < 2").collect()
+    assert len(rows) == 8 and all(r.topic == "1" and r.language in ("de", "fr") and r.page < 2 and r.error is None and r.language in r.html for r in rows)
+    assert {(q["language"], q["topic"]) for *_, q in asked} == {("de", "1"), ("fr", "1")}  # nothing else was asked for
+    for host in {h for h, *_ in asked}:
+        times = sorted(t for h, t, _ in asked if h == host)
+        assert min(b - a for a, b in zip(times, times[1:], strict=False)) >= 0.19
+    asked.clear()
+    assert pages.filter("host = 'nowhere'").count() == 0 and asked == []
+    assert [tuple(r)[1:4] for r in pages.filter(f"host = '127.0.0.1:{port}' AND page = 1").collect()] == [(1, None, None)]
+    assert [q for *_, q in asked] == [{"page": "1"}]
+
+
+def test_failing_pages(spark, server):
+    port, asked = server
+    got = {r.page: (r.html is not None, r.error) for r in listing.read_listing(spark, [f"http://127.0.0.1:{port}/b"], 10, delay=0.0, topics=["5"]).filter("page IN (6, 7, 8, 9)").collect()}
+    assert got[6] == got[9] == (True, None) and "404" in got[7][1] and "500" in got[8][1]
+    n = {p: sum(q["page"] == str(p) for *_, q in asked) for p in (6, 7, 8, 9)}
+    assert n == {6: 1, 7: 1, 8: 3, 9: 2} and all(q["topic"] == "5" for *_, q in asked)
+    with pytest.raises(Exception, match="urls"):
+        listing.read_listing(spark, [], 1).collect()
+
+
+def test_requests_of_a_table(spark):
+    sites = spark.createDataFrame([("http://a/x", 2, None), ("http://b/y?z=1", 1, "ä&b"), ("http://c", 0, "q"), ("http://d", None, "q")], "base string, n long, topic string")
+    got = sorted(r.url for r in listing.listing_requests(sites, F.col("base"), F.col("n"), topic=F.col("topic")).collect())
+    assert got == ["http://a/x?page=0", "http://a/x?page=1", "http://b/y?z=1&page=0&topic=%C3%A4%26b"]
+    assert listing.request_url("http://b/y?z=1", 0, topic="ä&b") == got[2]
