@@ -24,8 +24,18 @@ CLEANING_PROMPT = (
     "footnote marks, figure captions, references and headings, keep formulas and the language. Answer with the cleaned text alone, or with NOTHING if nothing is left."
 )
 EXTRACTION_PROMPT = (
-    "Extract everything that the document says as structured Markdown, tables and formulas included, in the document's language, without adding knowledge. "
-    "End with a list of the main entities as key: value."
+    "Extract everything that the document says as structured Markdown, and answer with the extract alone.\n"
+    "1) Leave nothing out: names, states, licences, codes, places, units, ranges, formulas, parameters, shares, dates and years all stay.\n"
+    "2) Tables become Markdown tables without loss; a table that is too wide becomes several.\n"
+    "3) Formulas stay in LaTeX, between $ or $$.\n"
+    "4) A list, numbered or not, becomes an ordinary sentence.\n"
+    "5) Keep the terms in the document's own language; translate and rephrase no value.\n"
+    "6) Name no sources.\n"
+    "7) Add nothing that the document doesn't say.\n"
+    "8) Mark no headings with number signs.\n"
+    "9) Write no escape sequences for line breaks.\n"
+    "10) Where the same can be said better without losing any of it, say it better.\n"
+    "11) End with a section of the entities to index (parameters, types, places, numbers with units), each as key: value."
 )
 
 

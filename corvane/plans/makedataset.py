@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions.rules import rule_clean
-from corvane.operators import chunk, dataset, model
+from corvane.operators import chunk, dataset, model, requests
 from corvane.session import frozen
 from corvane.sources import files
 
@@ -64,3 +64,12 @@ def extract_markdown(pages: DataFrame, backend: model.Backend, limit: int = chun
     docs = answered.withColumn("markdown", X.title_header(stem, X.strip(F.col("value")))).withColumn("stem", stem).drop("value")
     chunks = chunk.chunk_with_overlap(docs.filter("error IS NULL").select("path", F.col("markdown").alias("text")), "text", limit, overlap)
     return docs, chunks
+
+
+def extract_files(pages: DataFrame, files: DataFrame, backend: requests.FileBackend, budget: int = requests.BUDGET, limit: int = chunk.OVERLAP_LIMIT, overlap: int = chunk.OVERLAP_WORDS, **more) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks) like extract_markdown(), from page texts (path, page_no, text) and the files themselves (path, content), whatever their size."""
+    packed = frozen(requests.packed_requests(pages, files, budget), "file-requests")
+    answered = frozen(requests.stitched(requests.extract_with_files(packed, backend, **more)), "extracted-markdown")  # the model runs once
+    stem = X.stem(F.col("path"))
+    docs = answered.withColumn("markdown", X.title_header(stem, X.strip(F.col("value")))).withColumn("stem", stem).drop("value")
+    return docs, chunk.chunk_with_overlap(docs.filter("error IS NULL").select("path", F.col("markdown").alias("text")), "text", limit, overlap)

@@ -9,18 +9,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import html as H
 from corvane.functions import patterns as P
 from corvane.functions import rules as R
 from corvane.functions import text as X
-from corvane.operators import catalogue, chunk, contract, dataset, heads, model, runs
+from corvane.operators import batching, catalogue, chunk, contract, dataset, heads, model, requests, runs
 from corvane.plans import makedataset
 from corvane.schemas import CHUNK_JSON, EOS_DEFAULT
 from corvane.session import shared_dir, spread
-from corvane.sources import files, sinks
+from corvane.sources import files, listing, sinks
+from corvane.streaming import answers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,9 +375,28 @@ def _author_extract(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.author(F.concat(F.lit("Книга. Автор(ы): "), F.col("text"))).alias("author"))
 
 
-@query("listing_urls", "SELECT i AS page, 'https://example.org/books?page=' || i || '&topic=1' AS url FROM range(0, 10) t(i)")
+@query(
+    "listing_urls",
+    "WITH h AS (SELECT split_part(url, '/', 3) AS host, count(*) AS n, min(page_id) % 3 AS topic FROM pages GROUP BY 1) "
+    "SELECT host, page, 'https://' || host || '/books?page=' || page || CASE WHEN topic > 0 THEN '&topic=' || topic ELSE '' END AS url FROM (SELECT *, unnest(range(0, n)) AS page FROM h)",
+)
 def _listing_urls(spark, sf_dir):
-    return spark.range(0, 10).select(F.col("id").alias("page"), X.listing_url(F.col("id"), "https://example.org/books?page=%d&topic=1").alias("url"))
+    """The listing pages of every host of the pages' URLs, as many as it has pages."""
+    host = F.split_part(F.col("url"), F.lit("/"), F.lit(3))
+    hosts = table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("n"), (F.min("page_id") % 3).alias("topic"))
+    topic = F.when(F.col("topic") > 0, F.col("topic").cast("string"))
+    return listing.listing_requests(hosts, F.concat(F.lit("https://"), F.col("host"), F.lit("/books")), F.col("n"), topic=topic).select("host", "page", "url")
+
+
+_PIECES_SQL = "SELECT conv_id::VARCHAR AS request, trim(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS answer, count(*)::INT AS pieces, NULL::VARCHAR AS error FROM conversations GROUP BY conv_id HAVING conv_id % 7 <> 0 UNION ALL SELECT conv_id::VARCHAR, string_agg(coalesce(text, ''), '' ORDER BY turn), count(*)::INT, 'the answer is incomplete' FROM conversations WHERE conv_id % 7 = 0 GROUP BY conv_id"
+
+
+@query("answers_joined", _PIECES_SQL)
+def _answers_joined(spark, sf_dir):
+    """Turns as the pieces of an answer, each sent twice; every seventh conversation never says that it has ended."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.max("turn").over(Window.partitionBy("conv_id")).alias("last"))
+    pieces = turns.select("conv_id", "turn", "text", ((F.col("turn") == F.col("last")) & (F.col("conv_id") % 7 != 0)).alias("is_last"))
+    return answers.join_batch(pieces.union(pieces).select(F.col("conv_id").alias("request"), F.col("turn").alias("number"), "text", "is_last"))
 
 
 @query("links_per_page", f"SELECT page_id, len(regexp_extract_all(html, {quoted(H.LINK)}, 1)) AS n_links FROM pages")
@@ -567,6 +587,38 @@ def _model_clean_fake(spark, sf_dir):
     return model.model_clean(docs, model.EchoBackend("FAIL "), pause=(0, 0, 0)).select("doc_id", "value", "error")
 
 
+@query(
+    "batch_generation",
+    f"SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN {SQL_SQUEEZE('text')} END AS value, CASE WHEN doc_id % 50 = 0 THEN 'RuntimeError: the model failed' END AS error, CASE WHEN {SQL_SQUEEZE('text')} = '' THEN 0 ELSE len(string_split({SQL_SQUEEZE('text')}, ' ')) END::BIGINT + CASE WHEN doc_id % 50 = 0 THEN 2 ELSE 1 END AS n_tokens FROM documents",
+)
+def _batch_generation(spark, sf_dir):
+    text = F.concat(F.when(F.col("doc_id") % 50 == 0, F.lit("FAIL ")).otherwise(F.lit("")), F.col("text"))
+    docs = documents(spark, sf_dir).select("doc_id", text.alias("text"))
+    return batching.generate_in_batches(docs, batching.EchoBatchBackend("FAIL "), pause=(0, 0, 0)).select("doc_id", "value", "error", "n_tokens")
+
+
+_BOOK_BUDGET = 1000
+
+
+@query(
+    "extraction_with_files",
+    # the file of a conversation is its texts; the stand-in says how many of its bytes a request had, and the text
+    """WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), f AS (SELECT conv_id, sum(octet_length(encode(text)))::BIGINT AS n FROM t GROUP BY conv_id)
+SELECT conv_id, n AS file_bytes, (SELECT sum(length(regexp_replace(text, '\\s', '', 'g')))::BIGINT FROM t WHERE t.conv_id = f.conv_id) AS letters FROM f""",
+)
+def _extraction_with_files(spark, sf_dir):
+    """Every byte of every file and every letter of every page arrives once, in order; requests of 1,000 bytes, as the conversations are short."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "").alias("t"))
+    files_ = whole.select(F.col("conv_id").alias("path"), F.encode("t", "UTF-8").alias("content"))
+    packed = requests.packed_requests(turns.withColumnRenamed("conv_id", "path"), files_, _BOOK_BUDGET)
+    answers = requests.stitched(requests.extract_with_files(packed, requests.EchoFileBackend(), pause=(0, 0, 0)))
+    sizes = F.transform(F.regexp_extract_all("value", F.lit(r"(?:^|\n\n)\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("long"))
+    # without sizes and page markers
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"(^|\n\n)\[[0-9]+\]", ""), r"\s", ""), "<<<PAGE[0-9]+>>>", "")
+    return answers.select(F.col("path").alias("conv_id"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("file_bytes"), F.length(text).cast("long").alias("letters"))
+
+
 @query("empty_documents", f"SELECT doc_id, len(list_filter(string_split({SQL_CLEAN('CASE WHEN doc_id % 5 = 0 THEN chr(46) || chr(32) ELSE text END')}, '.'), lambda x: trim(x) <> '')) = 0 AS nothing FROM documents")
 def _empty_documents(spark, sf_dir):
     text = X.clean_text(F.when(F.col("doc_id") % 5 == 0, F.lit(". ")).otherwise(F.col("text")))
