@@ -25,7 +25,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("bracketed_numbers", r" ?\[[0-9]++(?:[;,] ?[0-9]++)*+\]", ""),
     ("numbers_in_brackets", r" ?\([0-9]++\)", ""),
     # the caption's number has ten levels at most, so a deeper one ends the caption
-    ("figure_captions", r"Рис\. ?[0-9]+(?:\. ?[0-9]+){0,9}\.?[^.]*\.", ""),
+    ("figure_captions", r"Рис\. ?[0-9]+(?:\. ?[0-9]+){0,9}\.?[^.\x{fdd2}]*\.", ""),
     ("references", r" ?\((?:рис|табл|гл)\. ?[0-9. ]++\)", ""),
     ("author_citations", r" ?\(\p{Lu}\p{L}++, ?[0-9]{4}\)", ""),
     ("capital_runs", r"(?<!\p{Lu})\p{Lu}{2,}+(?: ++\p{Lu}{2,}+){3,}+", ""),
@@ -68,9 +68,42 @@ def join_spaced_letters(c: Column) -> Column:
     return F.when(F.rlike(c, F.lit(run)), F.array_join(F.transform(marked, joined), "")).otherwise(c)
 
 
-def rule_clean(c: Column, unicode_step: bool = True) -> Column:
-    """All rules in order, then one space for runs of spaces."""
-    c = plain_characters(nfkc(c) if unicode_step else c)
+#: What is a formula: between $ or $$ (exactly), \\( and \\), \\[ and \\]. An opening mark reaches to the next one at most, so a text is read once.
+FORMULA = (
+    r"(?<!\$)\$\$(?=[^$\s])[^$]++(?<=\S)\$\$(?!\$)|(?<![$\\])\$(?=[^$\s])[^$\n]++(?<=[^\s\\])\$(?![$0-9])"
+    r"|\\\((?:[^\\]++|\\(?![()\[\]]))*+\\\)|\\\[(?:[^\\]++|\\(?![()\[\]]))*+\\\]"
+)
+#: Noncharacters that stand for a formula while the rules run: begin, end and the digits of its place. A text's own go.
+_BEGIN, _END, _DIGITS = "\ufdd2", "\ufdd3", "".join(map(chr, range(0xFDD4, 0xFDDE)))
+
+
+def with_formulas_kept(rules: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """rules on all but a text's formulas, which stay as they are, character by character."""
+
+    def run(c: Column) -> Column:
+        own = F.translate(c, _BEGIN + _END + _DIGITS, "")
+        formulas, between = F.regexp_extract_all(own, F.lit(FORMULA), F.lit(0)), F.split(own, FORMULA, -1)
+        mark = lambda k: F.concat(F.lit(_BEGIN), F.translate(k.cast("string"), "0123456789", _DIGITS), F.lit(_END))
+        masked = F.array_join(F.transform(between, lambda p, k: F.when(k == 0, p).otherwise(F.concat(mark(k), p))), "")
+        may = F.contains(c, F.lit("$")) | F.contains(c, F.lit("\\"))
+        cleaned = rules(F.when(may, masked).otherwise(own))
+
+        def restored(p: Column, k: Column) -> Column:
+            place = F.translate(F.substring_index(p, _END, 1), _DIGITS, "0123456789").cast("int")
+            return F.when(k == 0, p).otherwise(F.concat(F.element_at(formulas, place), F.substring_index(p, _END, -1)))
+
+        return F.when(may & F.contains(cleaned, F.lit(_BEGIN)), F.array_join(F.transform(F.split(cleaned, _BEGIN, -1), restored), "")).otherwise(cleaned)
+
+    return run
+
+
+def _all_rules(c: Column) -> Column:
+    c = plain_characters(nfkc(c))
     for name, _, _ in RULES:
         c = rule(name)(c)
     return F.trim(F.regexp_replace(join_spaced_letters(c), " {2,}", " "))
+
+
+def rule_clean(c: Column) -> Column:
+    """All rules in order, then one space for runs of spaces. Formulas stay as they are."""
+    return with_formulas_kept(_all_rules)(c)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions.rules import rule_clean
+from corvane.functions.structure import drop_headings
 from corvane.operators import chunk, dataset, model, requests
 from corvane.session import frozen
 from corvane.sources import files
@@ -34,6 +35,8 @@ def make_dataset(spark: SparkSession, folder: str, done: DataFrame | None = None
     extracted = frozen(files.extract(files.opened(spark, todo)), "extracted-files")
     large = todo.filter(F.col("length") >= files.MOST_BYTES).select("path", F.lit("the file is too large").alias("error"))
     cleaned = extracted.filter("error IS NULL").select("path", "ext", X.clean_text(F.col("text")).alias("text"))
+    if cleaner == "rules":
+        cleaned = cleaned.withColumn("text", drop_headings(F.col("text")))  # section numbers rise through a whole document
     cleaned = cleaned.withColumn("__pieces", F.size(chunk.sentence_pieces(F.col("text"))))
     empty = cleaned.filter("__pieces = 0").select("path", F.lit("nothing extracted from source").alias("error"))
     rejected = extracted.filter("error IS NOT NULL").select("path", "error").union(empty).union(large)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corvane.functions import html as H
 from corvane.functions import patterns as P
 from corvane.functions import rules as R
+from corvane.functions import structure
 from corvane.functions import text as X
 from corvane.operators import batching, catalogue, chunk, contract, dataset, heads, model, requests, runs
 from corvane.plans import makedataset
@@ -181,10 +182,32 @@ def _rule_clean(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", R.rule_clean(injected(F.col("text"), RULE_CLEAN_PAIRS)).alias("text"))
 
 
+@query("formulas_kept", "SELECT doc_id, n AS formulas, n AS kept FROM (SELECT doc_id, 2 * (len(string_split(text, '. ')) - 1) AS n FROM documents)")
+def _formulas_kept(spark, sf_dir):
+    """How many formulas whole documents have, and how many of them come through the shipped cleaner as they were."""
+    first, second = "$x_1 = 1,5 2,5 3,5 4,5 5,5 6,5$", r"\(a[1] + b (2)\)"
+    text = F.replace(F.col("text"), F.lit(". "), F.lit(f". Тогда {first} и {second} "))
+    count = lambda c: sum(F.size(F.split(c, F.lit("\\Q" + x + "\\E"), -1)) - 1 for x in (first, second)).cast("long")
+    return documents(spark, sf_dir).select("doc_id", count(text).alias("formulas"), count(R.rule_clean(text)).alias("kept"))
+
+
 _CONTRACT_PAIRS = [*(p for n in ("page_numbers", "bracketed_numbers", "references", "capital_runs", "number_runs") for p in _RULE_PAIRS[n])]
 _SQL_LETTERS = lambda c: f"length(regexp_replace({c}, '[^\\pL\\pN]', '', 'g'))"
 
 
+@query(
+    "headings_dropped",
+    # sections 1, 2, 3 ... go; a section 1. 1 after every fourth doesn't rise and stays
+    """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents),
+u AS (SELECT doc_id, len(ps) AS n, unnest(range(1, len(ps) + 1)) AS k, unnest(ps) AS line FROM p)
+SELECT doc_id, string_agg(CASE WHEN n < 2 THEN k || '. Состав вод' || chr(10) ELSE '' END || line || CASE WHEN k % 4 = 0 THEN chr(10) || '1. 1. Другое дело' ELSE '' END, chr(10) ORDER BY k) AS text FROM u GROUP BY doc_id""",
+)
+def _headings_dropped(spark, sf_dir):
+    """A numbered heading before each line of every document is taken out again."""
+    line = F.transform(F.split("text", "\n", -1), lambda p, k: F.concat((k + 1).cast("string"), F.lit(". Состав вод\n"), p, F.when((k + 1) % 4 == 0, F.lit("\n1. 1. Другое дело")).otherwise(F.lit(""))))
+    return documents(spark, sf_dir).select("doc_id", structure.drop_headings(F.array_join(line, "\n")).alias("text"))
+
+
 @query(
     "content_contract",
     # the rules only take away; four letters that no text holds are put into every fifth cleaned text
