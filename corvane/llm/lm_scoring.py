@@ -18,7 +18,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -145,24 +144,6 @@ class MatchedModels:
     def scale(self) -> tuple[float, float]:
         return (self.mass[1] / self.mass[0] if all(self.mass) else 1.0), 1.0
 
-    @cached_property
-    def _counts(self) -> tuple[np.ndarray, np.ndarray]:
-        rows = [[unpacked(bytes(r[c]), c == "keys") for c in ("keys", "background", "target")] for r in self.table.orderBy("part").collect()]
-        keys, *counts = (np.concatenate([np.zeros(0, np.uint64), *(r[k] for r in rows)]) for k in range(3))
-        scaled = np.stack([c * s for c, s in zip(counts, self.scale, strict=True)])
-        pair = (keys & _ONE).astype(bool)
-        return scaled[:, ~pair & (keys != start_key(self.bits[0]))], scaled[:, pair]
-
-    @property
-    def unigrams(self) -> np.ndarray:
-        """(2, words), on the driver: for small models only."""
-        return self._counts[0]
-
-    @property
-    def bigrams(self) -> np.ndarray:
-        """(2, pairs), on the driver: for small models only."""
-        return self._counts[1]
-
 
 def fit(documents: DataFrame, text_col: str = "text", target_col: str = "is_target", bits: tuple[int, int] | None = None) -> MatchedModels:
     """Both models from all documents; target_col marks the target's. bits: as key_bits() has them, by default of documents.

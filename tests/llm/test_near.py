@@ -121,12 +121,12 @@ def test_lm_scoring(spark):
     models = lm_scoring.fit(docs)
     scores = {r.doc_id: r.score for r in lm_scoring.score(docs, models).collect()}
     assert max(s for i, s in scores.items() if i >= 300) < min(s for i, s in scores.items() if 100 <= i < 300)
-    assert abs(models.unigrams[0].sum() - models.unigrams[1].sum()) < 1
+    assert abs(unigrams(models)[0].sum() - unigrams(models)[1].sum()) < 1
     # counts against brute force
     counted = sum(len(t.split()) for _, t, w in rows if w)
-    assert models.unigrams[1].sum() == counted == models.bigrams[1].sum()
+    assert unigrams(models)[1].sum() == counted == bigrams(models)[1].sum()
     other_split = lm_scoring.fit(docs.coalesce(1))
-    assert np.array_equal(models.bigrams, other_split.bigrams)
+    assert np.array_equal(bigrams(models), other_split.bigrams)
 
 
 def test_lm_scoring_edges(spark):
@@ -152,7 +152,7 @@ def test_op4_equals_brute_force(spark):
             pairs[m].update(zip([None, *split[i]], split[i]))
             texts[m] += bool(split[i])
     mass = [c.total() for c in words]
-    assert models.mass == tuple(mass) and models.words == len(words[0]) > 1 << 17 and models.bigrams.shape[1] == len(pairs[0]) > 1 << 20
+    assert models.mass == tuple(mass) and models.words == len(words[0]) > 1 << 17 and bigrams(models).shape[1] == len(pairs[0]) > 1 << 20
     scale, v = [mass[1] / mass[0], 1.0], len(words[0]) + 1
     for r in lm_scoring.score(docs, models).collect():
         own = split[r.doc_id]
@@ -165,3 +165,52 @@ def test_op4_equals_brute_force(spark):
             before = lambda w: (texts[m] if w is None else words[m][w]) * scale[m]  # noqa: B023, E731
             mean.append(sum(-np.log((pairs[m][a, b] * scale[m] + 4 * p1[b]) / (before(a) + 4)) for a, b in zip([None, *own], own)) / len(own))
         assert np.allclose([r.background_loss, r.target_loss, r.score], [*mean, mean[1] - mean[0]], rtol=1e-9)
+
+
+def whole(models):
+    """The scaled counts of both models (2, keys), and which keys are pairs and words."""
+    rows = [[lm_scoring.unpacked(bytes(r[c]), c == "keys") for c in ("keys", "background", "target")] for r in models.table.orderBy("part").collect()]
+    keys, *counts = (np.concatenate([np.zeros(0, np.uint64), *(r[k] for r in rows)]) for k in range(3))
+    pair = (keys & np.uint64(1)).astype(bool)
+    return np.stack([c * s for c, s in zip(counts, models.scale, strict=True)]), pair, ~pair & (keys != lm_scoring.start_key(models.bits[0]))
+
+
+def unigrams(models):
+    counts, _, word = whole(models)
+    return counts[:, word]
+
+
+def bigrams(models):
+    counts, pair, _ = whole(models)
+    return counts[:, pair]
+
+
+def test_op4_query_equals_brute_force(spark, sf_dir):
+    """Losses of every document from plain counts of words and pairs."""
+    import math
+    import re
+    from collections import Counter
+
+    from corvane.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    wanted = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").collect()}
+    words = {k: re.findall(rb"[^\x20\x09-\x0d]+", t.encode().lower()) for k, t in docs.items()}
+    models = []
+    for own in (words, {k: w for k, w in words.items() if k in wanted}):
+        models.append((Counter(x for w in own.values() for x in w), Counter(p for w in own.values() for p in zip([None, *w], w, strict=False)), sum(1 for w in own.values() if w)))
+    mass = [sum(one.values()) for one, _, _ in models]
+    scale, kinds = (mass[1] / mass[0], 1.0), len(models[0][0]) + 1
+    rows = QUERIES["op4_lm_scoring"](spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        own = words[r.doc_id]
+        assert r.n_tokens == len(own)
+        means = []
+        for (one, two, texts), s, m in zip(models, scale, mass, strict=True):
+            loss = 0.0
+            for before, x in zip([None, *own], own, strict=False):
+                p = (one[x] * s + lm_scoring.FLOOR) / (m * s + lm_scoring.FLOOR * kinds)
+                loss -= math.log((two[before, x] * s + lm_scoring.BACKOFF * p) / ((texts if before is None else one[before]) * s + lm_scoring.BACKOFF))
+            means.append(loss / len(own))
+        assert abs(r.background_loss - means[0]) < 1e-9 and abs(r.target_loss - means[1]) < 1e-9 and abs(r.score - (means[1] - means[0])) < 1e-9

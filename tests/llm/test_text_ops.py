@@ -5,6 +5,7 @@ import html
 import random
 import re
 import time
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -133,6 +134,27 @@ def test_filter_equals_exact_sets():
         assert abs(rate - model.false_rate[0][lang]) < 0.001
 
 
+def test_scores_equal_exact_shares(spark):
+    """Language and score of texts from exact sets of n-grams: the filter's corrected counts are within its chance hits."""
+    rows = [(k, " ".join(np.random.default_rng(k).choice(words.split(), 40)), lang) for k in range(40) for lang, words in (("en", "the cat sat on that mat with many other cats"), ("de", "die katze lag auf jener matte mit vielen anderen"))]
+    model = langid.fit(spark.createDataFrame([(2 * k + (lang == "de"), t, lang) for k, t, lang in rows], "doc_id long, text string, lang string"))
+    least = max(2, int(langid.LEAST_SHARE * 40))
+    sets = []
+    for size in langid.SIZES:
+        counts = {lang: Counter(g for _, t, own in rows if own == lang for g in set(langid.gram_hashes(langid.codes_of(t), size).tolist())) for lang in ("en", "de")}
+        sets.append({lang: {g for g, n in c.items() if n >= least} for lang, c in counts.items()})
+    for text in ("the cats sat", "jener katze", "other matte words", "zzz qqq"):
+        shares = {}
+        for lang in ("en", "de"):
+            total = 0.0
+            for size, known in zip(langid.SIZES, sets, strict=True):
+                grams = langid.gram_hashes(langid.codes_of(text), size).tolist()
+                total += size * sum(g in known[lang] for g in grams) / len(grams)
+            shares[lang] = total / sum(langid.SIZES)
+        lang, score = model.predict(text)
+        assert abs(score - max(shares.values())) < 0.01 and (max(shares.values()) == 0 or lang == max(shares, key=shares.get))
+
+
 def test_blocks_of_long_texts_hold_all_grams():
     text = "abc def, ghi " * 60_000
     whole = langid.gram_hashes(langid.codes_of(text), 4)
