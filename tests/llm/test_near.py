@@ -126,7 +126,7 @@ def test_lm_scoring(spark):
     counted = sum(len(t.split()) for _, t, w in rows if w)
     assert unigrams(models)[1].sum() == counted == bigrams(models)[1].sum()
     other_split = lm_scoring.fit(docs.coalesce(1))
-    assert np.array_equal(bigrams(models), other_split.bigrams)
+    assert np.array_equal(bigrams(models), bigrams(other_split))
 
 
 def test_lm_scoring_edges(spark):
