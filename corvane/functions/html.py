@@ -11,9 +11,17 @@ from pyspark.sql.types import StringType
 
 from corvane.functions.text import squeeze_ws, strip
 
-#: What shows no text, one pattern each (RE2 has no back-references).
-INVISIBLE = (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<template\b.*?</template\s*>")
+
+
+def _element(name: str) -> str:
+    return rf"(?is)<{name}\b(?:[^<]++|<(?!/{name}))*+(?:</{name}\s*+>?|\z)"
+
+
+#: What shows no text, one pattern each; one that is never closed goes on to the end of the page. A page is read once, however many of them it opens.
+INVISIBLE = (r"<!--(?:[^-]++|-(?!->))*+(?:-->|\z)", *map(_element, ("script", "style", "template")))
 TAG = r"<[/!?a-zA-Z][^>]*>"
+#: A tag that may lack its end, which then is the page's.
+OPEN_TAG = r"<[/!?a-zA-Z][^>]*+(?:>|\z)"
 #: Entities and their characters, the ampersand last; the semicolon can be missing.
 ENTITIES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&apos;", "'"), ("&nbsp;?", " "), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&"))
 LINK = r"(?is)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
@@ -23,10 +31,26 @@ def html_to_text(c: Column) -> Column:
     """The text of a page, title included, tags as spaces, white space squeezed."""
     for pattern in INVISIBLE:
         c = F.regexp_replace(c, pattern, "")
-    c = F.regexp_replace(c, TAG, " ")
-    for pattern, character in ENTITIES:
+    c = F.regexp_replace(c, OPEN_TAG, " ")
+    for pattern, character in ENTITIES[:-1]:
         c = F.regexp_replace(c, pattern, character)
-    return squeeze_ws(c)
+    pattern, character = ENTITIES[-1]
+    return squeeze_ws(F.regexp_replace(numeric_references(c), pattern, character))
+
+
+def numeric_references(c: Column) -> Column:
+    """&#1072; and &#x430; as their characters; numbers that are no character (0, surrogates, beyond Unicode) as U+FFFD."""
+    number = "^(?i)(?:x([0-9a-f]{1,6})|([0-9]{1,7}));?"
+
+    def read(piece: Column, k: Column) -> Column:
+        found = F.regexp_extract(piece, number, 0)
+        hexadecimal = F.regexp_extract(piece, number, 1)
+        code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).otherwise(F.regexp_extract(piece, number, 2)).cast("long")
+        bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        text = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD).cast("long")).otherwise(code)), 8, "0")), "UTF-32")
+        return F.when(k == 0, piece).when(found == "", F.concat(F.lit("&#"), piece)).otherwise(F.concat(text, F.substr(piece, F.length(found) + 1)))
+
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(F.split(c, "&#", -1), read), "")).otherwise(c)
 
 
 def link_urls(c: Column) -> Column:

@@ -121,17 +121,34 @@ def author(c: Column) -> Column:
     return strip(F.substring_index(c, P.AUTHOR_MARK, -1))
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without . and .. segments (RFC 3986, 5.2.4)."""
+    parts = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    ends_in_folder = F.element_at(parts, -1).isin(".", "..")
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(ends_in_folder, F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def absolute_url(base: str, href: Column) -> Column:
-    """href against a base of scheme and host: absolute, scheme-relative, root-relative and page-relative references."""
-    scheme, _, rest = base.partition("://")
-    root = f"{scheme}://{rest.split('/')[0]}"
-    folder = base.rsplit("/", 1)[0] + "/" if "/" in rest else root + "/"
+    """href against a base URL (with a host), as RFC 3986, 5.2 resolves references: absolute ones, and those that begin with //, /, ?, # or a path, dot segments taken out."""
+    scheme, _, rest = base.partition("#")[0].partition("://")
+    host, _, tail = rest.partition("?")[0].partition("/")
+    root, path, query = f"{scheme}://{host}", "/" + tail, ("?" + rest.partition("?")[2]) if "?" in rest else ""
+    folder = path.rpartition("/")[0] + "/"
+    own = F.regexp_extract(href, "^[^?#]*", 0)
+    after = F.substr(href, F.length(own) + 1)
+    whole = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.lit(folder), own))
+    dotted = F.rlike(whole, F.lit(r"/\.\.?(/|$)"))
     return (
         F.when(F.rlike(href, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), href)
         .when(F.startswith(href, F.lit("//")), F.concat(F.lit(scheme + ":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(F.lit(root), href))
-        .when(href == "", F.lit(base))
-        .otherwise(F.concat(F.lit(folder), href))
+        .when(own == "", F.concat(F.lit(root + (path if tail or rest != host else "")), F.when(F.startswith(after, F.lit("?")), after).otherwise(F.concat(F.lit(query), after))))
+        .otherwise(F.concat(F.lit(root), F.when(dotted, _without_dots(whole)).otherwise(whole), after))
     )
 
 

@@ -97,3 +97,14 @@ def write_catalogue(books: DataFrame, path: str, indent: int | None = 4, ascii_o
             f.write(("," if k else "") + pad + item.replace("\n", pad))
         f.write("\n]\n")
     return path
+
+
+def save_json(data: object, name: str, folder: str = "results", indent: int | None = 4, ascii_only: bool = False) -> str:
+    """A plain object as <folder>/<name>.json (.json is added where it is missing), whole or not at all; returns the path. What JSON has no form for is written as its text."""
+    path = os.path.join(folder, name if name.endswith(".json") else name + ".json")
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    part = f"{path}.part{uuid.uuid4().hex}"
+    with open(part, "w", encoding="utf-8") as f:
+        json.dump(data, f, ensure_ascii=ascii_only, indent=indent, default=str)
+    os.replace(part, path)
+    return path

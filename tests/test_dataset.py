@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import dataset, runs
+from corvane.operators import dataset, profiles, runs
 
 
 @pytest.mark.parametrize(("n", "size", "test"), [(25, 0.1, 3), (10, 0.2, 2), (7, 0.0, 0), (5, 1.0, 5), (0, 0.1, 0)])
@@ -54,10 +54,12 @@ def test_runs(spark, tmp_path):
     assert runs.checkpoint_of("qwen3-14b").startswith("unsloth/")
     with pytest.raises(ValueError):
         runs.checkpoint_of("nothing")
-    assert len(runs.MODELS) == 9 and len(runs.QUANTIZATIONS) == 25 and len(runs.PROFILES) == 9
-    assert runs.profile("cpt-mistral-7b-v03")["Additional"] == {}
+    assert len(runs.MODELS) == 9 and len(profiles.names()) == 9 and runs.profile_table(spark).count() == 233
+    assert profiles.profile("cpt-mistral-7b-v03")["Additional"] == {} and "target_modules" not in profiles.profile("cpt-gemma-3-1b-pt-unsloth-bnb-4bit")["PEFTParams"]
+    with pytest.raises(ValueError):
+        profiles.profile("nothing")
     (tmp_path / "p.yaml").write_text("ModelConfig:\n  max_seq_length: 2048\n  dtype: null\n")
-    assert runs.load_profile(str(tmp_path / "p.yaml")) == {"ModelConfig": {"max_seq_length": 2048, "dtype": None}, "UnslothTrainingArguments": {}, "PEFTParams": {}, "Additional": {}}
+    assert profiles.load_profile(str(tmp_path / "p.yaml")) == {"ModelConfig": {"max_seq_length": 2048, "dtype": None}, "UnslothTrainingArguments": {}, "PEFTParams": {}, "Additional": {}}
     runs.log_run(spark, str(tmp_path / "runs"), "e", "r", {"a": 1, "b": None})
     runs.log_run(spark, str(tmp_path / "runs"), "e", "r2", {"a": 2})
     assert sorted((r.run, r.key, r.value) for r in runs.read_runs(spark, str(tmp_path / "runs")).collect()) == [("r", "a", "1"), ("r", "b", None), ("r2", "a", "2")]
@@ -78,3 +80,22 @@ def test_split_of_null_and_repeated_keys(spark):
         assert {r.split for r in dataset.train_test_split(only, "key", 0.1).collect()} == {"test"}
     numbers = spark.createDataFrame([(None,), *((k,) for k in range(99))], "key long")
     assert dataset.train_test_split(numbers, "key", 0.1).filter("split = 'test'").count() == 10
+
+
+def test_experiments_are_made_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda _: runs.experiment_id(spark, str(tmp_path), "CPT-x"), range(16)))
+    assert len({i for i, _ in found}) == 1 and any(made for _, made in found)
+    assert [p.read_text() for p in (tmp_path / "_experiments").iterdir() if not p.name.startswith(".")] == ["CPT-x"]
+    other, made = runs.experiment_id(spark, str(tmp_path), "CPT-y")
+    assert made and other != found[0][0] and runs.experiment_id(spark, str(tmp_path) + "/", "CPT-y") == (other, False)
+    runs.log_run(spark, str(tmp_path), "CPT-z", "r", {"a": 1})
+    assert not runs.experiment_id(spark, str(tmp_path), "CPT-z")[1] and runs.read_runs(spark, str(tmp_path)).count() == 1
+
+
+def test_settings_of_unknown_models(spark):
+    df = spark.createDataFrame([(1, "gemma-3-1b"), (2, "?"), (3, None)], "id int, alias string")
+    got = runs.settings_for_models(df, "alias").groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {1: 29, 2: 1, 3: 1}

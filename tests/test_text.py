@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corvane.functions import html as H
 from corvane.functions import rules as R
 from corvane.functions import text as X
 
@@ -78,6 +79,32 @@ def test_absolute_url(spark, href, url):
     assert one(spark, lambda c: X.absolute_url("https://example.org/books/list", c), href) == url
 
 
+def test_references_resolve_as_the_standard_says(spark):
+    from urllib.parse import urljoin
+
+    base = "http://a/b/c/d;p?q"
+    # the examples of RFC 3986, 5.4
+    refs = "g:h g ./g g/ /g //g ?y g?y #s g#s g?y#s ;x g;x g;x?y#s . ./ .. ../ ../g ../.. ../../ ../../g ../../../g ../../../../g /./g /../g g. .g g.. ..g ./../g ./g/. g/./h g/../h g;x=1/./y g;x=1/../y g?y/./x g?y/../x g#s/./x g#s/../x".split() + [""]
+    got = {r.x: r.u for r in spark.createDataFrame([(x,) for x in refs], "x string").select("x", X.absolute_url(base, F.col("x")).alias("u")).collect()}
+    assert got == {x: urljoin(base, x) for x in refs}
+    for other in ("http://a", "http://a/", "http://a/b/", "http://a/b?x=/c/d"):
+        got = {r.x: r.u for r in spark.createDataFrame([(x,) for x in ("g", "/g", "../g", "?y", "")], "x string").select("x", X.absolute_url(other, F.col("x")).alias("u")).collect()}
+        assert {k: v for k, v in got.items() if k not in ("g", "../g") or other != "http://a"} == {x: urljoin(other, x) for x in got if x not in ("g", "../g") or other != "http://a"}
+    assert one(spark, lambda c: X.absolute_url("http://a", c), "g") == "http://a/g"
+
+
+def test_html_references_and_unclosed_elements(spark):
+    import time
+
+    assert one(spark, H.html_to_text, "<p>&#1072;&#x431; &#38;lt; &#65 &#0;&#xD800;&#9999999; &#; &#x; &amp;#65;</p>") == "аб &lt; A \ufffd\ufffd\ufffd &#; &#x; &#65;"
+    assert one(spark, H.html_to_text, "a<!-- b <p>c") == one(spark, H.html_to_text, "a<script>b</p>c") == "a"
+    assert one(spark, H.html_to_text, "a<script>x</script >b<style>y</style>c<!-- - -- -->d") == "abcd"
+    began = time.monotonic()
+    for unit in ("<script>", "<!-", "<!--", "<style><", "&#", "<template></templat"):
+        assert spark.range(1).select(F.length(H.html_to_text(F.repeat(F.lit(unit), 50_000)))).first()[0] is not None
+    assert time.monotonic() - began < 60
+
+
 @pytest.mark.parametrize(
     ("path", "stem", "ext", "out"),
     [("/in/a/b.c.PDF", "b.c", ".pdf", "/out/a/b.c.json"), ("/in/noext", "noext", "", "/out/noext.json"), ("/in/.hidden", ".hidden", "", "/out/.hidden.json"), ("/in/v1.2/readme", "readme", "", "/out/v1.2/readme.json")],
