@@ -84,12 +84,13 @@ def trainset(spark, a) -> int:
 
 def scrape(spark, a) -> int:
     from corvane.operators import catalogue, dataset
+    from corvane.session import frozen
     from corvane.sources import files, sinks
 
     results = os.path.join(a.results, f"{datetime.datetime.now():%Y%m%d_%H%M%S}")
     stored = a.list
     if a.command in ("search", "run"):
-        pages = catalogue.fetch_pages(spark, a.template or a.base_url.rstrip("/") + "/books?page=%d", a.pages).persist()
+        pages = frozen(catalogue.fetch_pages(spark, a.template or a.base_url.rstrip("/") + "/books?page=%d", a.pages), "listing-pages")  # each page is asked for once
         books = catalogue.listing(pages.filter("error IS NULL"), a.base_url).orderBy("page", "idx")
         stored = sinks.write_catalogue(books.drop("page", "idx"), os.path.join(results, "books"))
         get_logger().info("list saved at %s", stored)

@@ -70,7 +70,9 @@ def preferred(urls: Column, suffixes: tuple[str, ...] = (".pdf", ".djvu")) -> Co
     return F.coalesce(*map(first, suffixes))
 
 
-class _Text(HTMLParser):
+class TextParser(HTMLParser):
+    """Gathers the text of what it is fed in parts."""
+
     hidden = frozenset(("script", "style", "template"))
 
     def __init__(self) -> None:
@@ -91,7 +93,7 @@ class _Text(HTMLParser):
 
 
 def parsed_text(page: str) -> str:
-    parser = _Text()
+    parser = TextParser()
     parser.feed(page)
     parser.close()
     return " ".join(" ".join(parser.parts).split())

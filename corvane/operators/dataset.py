@@ -122,3 +122,8 @@ def text_of_pages(pages: DataFrame, doc_col: str, page_col: str, text_col: str =
     from corvane.functions.text import squeeze_ws
 
     return joined.withColumn("text", squeeze_ws(F.col("text")))
+
+
+def prompt_grid(prompts: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """prompts with max_new_tokens: each prompt once with every limit. The limits are a literal, so no row moves."""
+    return prompts.withColumn("max_new_tokens", F.explode(F.array(*map(F.lit, limits))))

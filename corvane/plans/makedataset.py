@@ -32,15 +32,16 @@ def make_dataset(spark: SparkSession, folder: str, done: DataFrame | None = None
     cleaner: none, rules (the built-in one) or model (with a backend). Chunks of which nothing is left are dropped.
     """
     todo = frozen(pending(spark, folder, done), "pending-files")
-    extracted = frozen(files.extract(files.opened(spark, todo)), "extracted-files")
-    large = todo.filter(F.col("length") >= files.MOST_BYTES).select("path", F.lit("the file is too large").alias("error"))
-    cleaned = extracted.filter("error IS NULL").select("path", "ext", X.clean_text(F.col("text")).alias("text"))
+    extracted = frozen(files.extract_pending(spark, todo), "extracted-files")
+    cleaned = extracted.filter("error IS NULL").select("path", "ext", "part", X.clean_text(F.col("text")).alias("text"))
     if cleaner == "rules":
         cleaned = cleaned.withColumn("text", drop_headings(F.col("text")))  # section numbers rise through a whole document
     cleaned = cleaned.withColumn("__pieces", F.size(chunk.sentence_pieces(F.col("text"))))
-    empty = cleaned.filter("__pieces = 0").select("path", F.lit("nothing extracted from source").alias("error"))
-    rejected = extracted.filter("error IS NOT NULL").select("path", "error").union(empty).union(large)
+    empty = cleaned.groupBy("path").agg(F.max("__pieces").alias("most")).filter("most = 0").select("path", F.lit("nothing extracted from source").alias("error"))
+    rejected = extracted.filter("error IS NOT NULL").select("path", "error").union(empty)
     chunks = chunk.chunk_by_sentences(cleaned.drop("__pieces"), "text", limit)
+    # the chunks of a large file's parts are numbered one part after the other
+    chunks = chunks.select("path", "ext", (F.shiftleft(F.col("part").cast("long"), 32) + F.col("chunk_idx")).alias("chunk_idx"), "text")
     if cleaner == "rules":
         chunks = chunks.withColumn("text", rule_clean(F.col("text")))
     elif cleaner == "model":

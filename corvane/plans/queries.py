@@ -17,7 +17,7 @@ from corvane.functions import patterns as P
 from corvane.functions import rules as R
 from corvane.functions import structure
 from corvane.functions import text as X
-from corvane.operators import batching, catalogue, chunk, contract, dataset, heads, model, requests, runs
+from corvane.operators import batching, catalogue, chunk, contract, dataset, heads, model, requests, runs, truncate
 from corvane.plans import makedataset
 from corvane.schemas import CHUNK_JSON, EOS_DEFAULT
 from corvane.session import shared_dir, spread
@@ -429,12 +429,12 @@ def _links_per_page(spark, sf_dir):
 
 # -- paths, names and dispatch --------------------------------------------------------------------------------
 
-_WITH_SUFFIX = "'/data/in/' || (page_id % 7) || '/p.' || page_id || (CASE page_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.html' WHEN 2 THEN '.txt' WHEN 3 THEN '.docx' ELSE '.djvu' END)"
+_WITH_SUFFIX = "'/data/in/' || substr(url, 9) || '.' || page_id || (CASE page_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.html' WHEN 2 THEN '.txt' WHEN 3 THEN '.docx' ELSE '.djvu' END)"
 
 
 def _suffixed_pages(spark, sf_dir):
     suffix = F.element_at(F.array(*[F.lit(s) for s in (".PDF", ".html", ".txt", ".docx", ".djvu")]), (F.col("page_id") % 5 + 1).cast("int"))
-    path = F.concat(F.lit("/data/in/"), (F.col("page_id") % 7).cast("string"), F.lit("/p."), F.col("page_id").cast("string"), suffix)
+    path = F.concat(F.lit("/data/in/"), F.substr(F.col("url"), F.lit(9)), F.lit("."), F.col("page_id").cast("string"), suffix)
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
 
 
@@ -536,7 +536,7 @@ def _resume_anti_join(spark, sf_dir):
 @query("prompt_grid", "SELECT item_id, n AS max_new_tokens FROM benchmark, (VALUES (64), (128)) t(n)")
 def _prompt_grid(spark, sf_dir):
     prompts = table(spark, sf_dir, "benchmark").select("item_id")
-    return prompts.select("item_id", F.explode(F.array(F.lit(64), F.lit(128))).alias("max_new_tokens"))
+    return dataset.prompt_grid(prompts, (64, 128))
 
 
 @query("answer_extract", "SELECT doc_id, text AS answer FROM documents")
@@ -687,7 +687,17 @@ def _empty_documents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", (F.size(chunk.sentence_pieces(text)) == 0).alias("nothing"))
 
 
-text_query("truncate_words", NEWLINES, lambda c: X.first_words(c, 50), lambda c: f"array_to_string(string_split({SQL_SQUEEZE(c)}, ' ')[:50], ' ')")
+text_query("truncate_words", NEWLINES, X.first_words, lambda c: f"array_to_string(string_split({SQL_SQUEEZE(c)}, ' ')[:2048], ' ')")
+
+
+@query(
+    "truncate_tokens",
+    "WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+') AS ws FROM documents) "
+    "SELECT doc_id, least(len(ws), 2048)::BIGINT AS n_tokens, len(ws) > 2048 AS truncated, CASE WHEN len(ws) <= 2048 THEN text ELSE regexp_extract(text, '^(?:[ \\t\\n\\r\\f\\v]*[^ \\t\\n\\r\\f\\v]+){1000}(?:[ \\t\\n\\r\\f\\v]*[^ \\t\\n\\r\\f\\v]+){1000}(?:[ \\t\\n\\r\\f\\v]*[^ \\t\\n\\r\\f\\v]+){48}') END AS text FROM w",
+)
+def _truncate_tokens(spark, sf_dir):
+    """Whole documents cut to 2,048 words as they stand; any tokenizer fits, and a test holds a byte-level one against its own decoding."""
+    return truncate.truncate_tokens(documents(spark, sf_dir))
 
 
 @query("word_counts", f"SELECT doc_id, CASE WHEN {SQL_SQUEEZE('text')} = '' THEN 0 ELSE len(string_split({SQL_SQUEEZE('text')}, ' ')) END::BIGINT AS n_words FROM documents")

@@ -247,3 +247,31 @@ def test_download_in_blocks(spark, tmp_path):
     assert [(r.status, r.bytes) for r in ok] == [("ok", 6)] and (tmp_path / "ok" / "x.pdf").read_bytes() == b"abcdef"
     bad = catalogue.download(books, str(tmp_path / "bad"), "http://e.org", lambda u: page, delay=(0, 0), blocks=broken).collect()
     assert "gone" in bad[0].status and not list((tmp_path / "bad").iterdir())
+
+
+def test_pending_files_are_read_in_tasks(spark, folder):
+    (folder / "a b%20c#d.txt").write_text("Имя с пробелом.", encoding="utf-8")
+    todo = files.listed(spark, str(folder)).union(spark.createDataFrame([("file:/nowhere/x.txt", 5), (str(folder / "a.txt"), 40), ("odd://host/x.txt", 1 << 31)], "path string, length long"))
+    rows = files.extract_pending(spark, todo).collect()
+    got = {r.path.rpartition("/")[2]: r for r in rows if not r.path.startswith("/") and "x.txt" not in r.path}
+    assert set(got) == {"a.txt", "a b%20c#d.txt", "b.c.HTML", "empty.txt", "bad.html", "scan.djvu"} and all(r.part == 0 for r in rows)
+    assert got["a b%20c#d.txt"].text == "Имя с пробелом." and got["b.c.HTML"].text == "T Hello & bye" and "Unicode" in got["bad.html"].error
+    assert [r.text for r in rows if r.path == str(folder / "a.txt")] == [got["a.txt"].text]
+    assert sorted(bool(r.error) for r in rows if "x.txt" in r.path) == [True, True]
+    assert files.extract_pending(spark, todo.limit(0)).collect() == []
+
+
+def test_large_files_come_in_parts(spark, tmp_path):
+    text = "".join(f"Предложение {k}.\r\n" for k in range(2000))
+    (tmp_path / "t.txt").write_bytes(text.encode())
+    (tmp_path / "h.html").write_text("<html><script>x</script>" + "".join(f"<p>Абзац {k}.</p>" for k in range(60_000)), encoding="utf-8")
+    (tmp_path / "bad.txt").write_bytes(b"good. " * 200 + b"\xff")
+    (tmp_path / "dotless.txt").write_text("слово " * 1000, encoding="utf-8")
+    rows = files.extract_pending(spark, files.listed(spark, str(tmp_path)), whole=1000, piece=500).collect()
+    parts = {}
+    for r in sorted(rows, key=lambda r: r.part):
+        parts.setdefault(r.path.rpartition("/")[2], []).append(r)
+    assert "".join(r.text for r in parts["t.txt"]) == text.replace("\r\n", "\n") and "".join(r.text for r in parts["dotless.txt"]) == "слово " * 1000
+    assert " ".join("".join(r.text for r in parts["h.html"]).split()) == " ".join(f"Абзац {k}." for k in range(60_000)) and len(parts["h.html"]) > 1
+    assert [r.text for r in parts["bad.txt"]] == [None] and all(r.text.endswith(".") for r in parts["h.html"][:-1])
+    assert list(files.pieces_of(iter(["a.b", "cdef", "gh", ". x"]), 3)) == ["a.", "bcdefgh.", " x"] and list(files.pieces_of(iter([]))) == [""]

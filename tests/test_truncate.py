@@ -1,0 +1,40 @@
+"""Cuts by tokens against the tokenizer's own decoding."""
+
+import pytest
+
+from corvane.operators import truncate
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+def test_cut_decodes_to_a_prefix(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "\U0001f9ff" * 40), (-4, "x" + "\u1e9e\u2603\U0001f600" * 30), (-5, "a b")], "doc_id long, text string")
+    for most in (0, 1, 17, 64):
+        got = truncate.truncate_tokens(docs.union(odd), truncate.VocabularyFile(path), most=most).collect()
+        texts = {r.doc_id: r.text for r in docs.union(odd).collect()}
+        for r in got:
+            whole = texts[r.doc_id]
+            if whole is None:
+                assert (r.text, r.n_tokens, r.truncated) == (None, None, None)
+                continue
+            ids = library.encode(whole, add_special_tokens=False).ids
+            assert whole.startswith(r.text) and r.truncated == (r.text != whole) and r.n_tokens <= most
+            assert library.decode(ids[: r.n_tokens], skip_special_tokens=False) == r.text
+            # every longer cut of at most so many tokens ends within a character
+            assert all("\ufffd" in library.decode(ids[:k], skip_special_tokens=False) or not whole.startswith(library.decode(ids[:k], skip_special_tokens=False)) for k in range(r.n_tokens + 1, min(most, len(ids)) + 1))
+
+
+def test_words_and_arguments(spark):
+    df = spark.createDataFrame([(1, " a  b c ", "clash")], "i int, text string, n_tokens string")
+    row = truncate.truncate_tokens(df, most=2).first()
+    assert (row.text, row.n_tokens, row.truncated) == (" a  b", 2, True)
+    row = truncate.truncate_tokens(df, most=3).first()
+    assert (row.text, row.n_tokens, row.truncated) == (" a  b c ", 3, False)
+    assert truncate.truncate_tokens(df.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        truncate.truncate_tokens(df, most=-1)
