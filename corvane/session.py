@@ -13,7 +13,7 @@ _shipped: set[str] = set()
 #: Bounds of an Arrow batch where the session has Spark's defaults, as whole texts and shingle sets are large: setting, default, ours.
 BATCHES = (
     ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
-    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "1048576b"),
 )
 
 
