@@ -98,3 +98,24 @@ def test_udfs(spark):
     df = spark.createDataFrame([(None,), ("1. One title\nx\n2. Two title\ny",)], "t string")
     assert [r[0] for r in df.select(S.drop_headings("t")).collect()] == [None, "x\ny"]
     assert [r[0] for r in df.select(S.to_markdown_structure("t")).collect()] == [None, "1. One title\nx\n2. Two title\ny"]
+
+
+def test_many_formulas_are_restored_in_linear_time(spark):
+    import time
+
+    began = time.monotonic()
+    text = spark.range(1).select(R.rule_clean(F.repeat(F.lit("$x  [1]$ и [2] "), 30_000)).alias("x")).first().x
+    assert text == " ".join(["$x  [1]$ и"] * 30_000)
+    assert time.monotonic() - began < 20
+
+
+def test_spaced_letters_beside_noncharacters(spark):
+    df = spark.createDataFrame([("ab\ufdd0 c d, e f g h i",), ("a\ufdd1 b",), (None,)], "t string")
+    assert [r[0] for r in df.select(R.join_spaced_letters(F.col("t"))).collect()] == ["ab c d, efghi", "a b", None]
+
+
+def test_formulas_whose_marks_the_rules_move(spark):
+    reverse = R.with_formulas_kept(lambda c: F.array_join(F.reverse(F.split(c, " ")), " "))
+    drop = R.with_formulas_kept(lambda c: F.array_join(F.slice(F.split(c, " "), 3, 9), " "))
+    got = spark.createDataFrame([("$a$ b $c$ d $e$",)], "t string").select(reverse(F.col("t")), drop(F.col("t"))).first()
+    assert tuple(got) == ("$e$ d $c$ b $a$", "$c$ d $e$")
