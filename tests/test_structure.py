@@ -119,3 +119,18 @@ def test_formulas_whose_marks_the_rules_move(spark):
     drop = R.with_formulas_kept(lambda c: F.array_join(F.slice(F.split(c, " "), 3, 9), " "))
     got = spark.createDataFrame([("$a$ b $c$ d $e$",)], "t string").select(reverse(F.col("t")), drop(F.col("t"))).first()
     assert tuple(got) == ("$e$ d $c$ b $a$", "$c$ d $e$")
+
+
+def test_headings_beyond_999():
+    text = "".join(f"{k}. Состав вод\nстрока {k}\n" for k in range(1, 2501))
+    assert S.without_headings(text) == "".join(f"строка {k}\n" for k in range(1, 2501))
+    assert S.without_headings("1. One title\nx\n2. Two title\ny\n1999. Год начала\nz") == "x\ny\n1999. Год начала\nz"
+    assert S.candidates("1000. Big title\nx\n") == []
+
+
+def test_addresses_are_no_headings():
+    lines = [f"строка {k}" for k in range(1, 31)]
+    lines[27] = "28.68.191.238 Den weiter Text dazu"
+    text = "".join(f"{k}. Состав вод\n{line}\n" for k, line in enumerate(lines, 1))
+    assert S.without_headings(text) == "".join(f"{line}\n" for line in lines)
+    assert S.without_headings("1.2.3.1 One title\nx\n1.2.3.2 Two title\ny") == "x\ny"
