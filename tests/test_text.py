@@ -139,3 +139,18 @@ def test_names(spark):
 )
 def test_rules(spark, text, expected):
     assert one(spark, R.rule_clean, text) == expected
+
+
+def test_html_queries_equal_their_sql_on_cut_entities(spark, tmp_path):
+    import duckdb
+
+    from corvane.plans.queries import ORACLES, QUERIES
+
+    pages = ["<title>the&amp;&amp</title><p>a &amp; b &amp;lt; &copy; &copy c", "<p>&lt &gt &quot &#39 &nbsp &middot &am &amp", "<a href='?a=1&lt=2'>x</a>&lt;b&gt;", "a & b &; &&amp;"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("html_to_text", "html_to_text_parsed"):
+        got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.execute(f"SELECT page_id, text FROM ({ORACLES[name]})").fetchall())
+    assert one(spark, H.html_to_text, pages[0]) == "the&& a & b &lt; © © c"  # by default as browsers read them
