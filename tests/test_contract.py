@@ -98,3 +98,26 @@ def test_running_heads(spark):
     assert got["b", 1] == page("b", 1, "short")[2] and got["c", 1] is None and got["c", 2] == "" and got["c", None] == "\n\n"
     assert got[None, 1] == got[None, 5] == ""  # a line of three pages
     assert heads.drop_running_heads(df.limit(0), "doc", "page").collect() == []
+
+
+def test_long_repeating_texts_have_the_least_difference():
+    rnd = random.Random(9)
+    lines = ["".join(rnd.choices("abcdefgh", k=40)) for _ in range(12)]
+    a = "".join(rnd.choice(lines) + "12" * rnd.randrange(40) for _ in range(3000))
+    b = a.replace("12", "")
+    assert len(a) * len(b) > contract.MOST
+    for after, inserted in ((b, 0), (b[:5000] + "zzzz" + b[5000:], 4), (b + "2", 0), (b[:70_000] + "zz" + b[70_000:] + "h" * 3, 5)):
+        found = contract.changes(a, after)
+        check(a, after, exact=False)
+        assert sum(j - y for *_, y, j in found) <= inserted
+        assert sum(i - x for x, i, _, _ in found) <= len(a) - len(after) + inserted
+    assert contract.compared(a, b)["inserted"] == 0 and contract.compared(a, b)["faithful"]
+
+
+@given(st.text("abc", max_size=30), st.text("abc", max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_few_insertions_are_the_least(a, b):
+    found = contract.few_insertions(a, b, len(b) + 1)
+    n = lcs(a, b)
+    assert sum(j - y for *_, y, j in found) == len(b) - n and sum(i - x for x, i, *_ in found) == len(a) - n
+    assert contract.few_insertions(a, b, len(b) - n) is None
