@@ -154,3 +154,20 @@ def test_html_queries_equal_their_sql_on_cut_entities(spark, tmp_path):
         got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
         assert got == sorted(con.execute(f"SELECT page_id, text FROM ({ORACLES[name]})").fetchall())
     assert one(spark, H.html_to_text, pages[0]) == "the&& a & b &lt; © © c"  # by default as browsers read them
+
+
+def test_ship_bounds_arrow_batches(spark):
+    from corvane.session import BATCHES, ship
+
+    old = {setting: spark.conf.get(setting) for setting, _, _ in BATCHES}
+    try:
+        for setting, *_ in BATCHES:
+            spark.conf.unset(setting)
+        ship(spark)
+        assert [spark.conf.get(setting) for setting, _, _ in BATCHES] == [own for _, _, own in BATCHES]
+        spark.conf.set(BATCHES[0][0], "77")
+        ship(spark)
+        assert spark.conf.get(BATCHES[0][0]) == "77"  # what the session says stays
+    finally:
+        for setting, value in old.items():
+            spark.conf.set(setting, value)
