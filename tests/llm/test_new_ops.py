@@ -192,6 +192,18 @@ def test_toxicity_is_learnt(spark):
     assert np.mean(hits) > 0.97 and np.mean(alarms) < 0.02
 
 
+def test_every_labelled_document_teaches(spark):
+    """A word of eight documents is learnt however small the blocks are."""
+    rows = toxic_rows(1600, 7)
+    rare = {k for k, _, toxic in rows if toxic and k % 2 == 0 and zlib.crc32(str(k).encode()) % 5}
+    rare = set(sorted(rare)[:8])
+    rows = [(k, f"{' '.join(w for w in text.split() if not w.startswith(('grubble', 'snark', 'mistkram')))} vexel" if k in rare else text, toxic) for k, text, toxic in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), train_docs=20)
+    new = spark.createDataFrame([(k, f"it was the {w} of this {k}") for k, w in enumerate(["vexel", "snark", "enwort3", "mistkramen"])], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score_columns(new, model).collect()} == {0: 1, 1: 1, 2: 0, 3: 1}
+
+
 def test_query_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = QUERIES["op13_toxicity"](spark, sf_dir).collect()
