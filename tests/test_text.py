@@ -1,6 +1,7 @@
 import re
 import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -171,3 +172,31 @@ def test_ship_bounds_arrow_batches(spark):
     finally:
         for setting, value in old.items():
             spark.conf.set(setting, value)
+
+
+@pytest.mark.parametrize("name", ["makedataset_chunks"])
+def test_python_batches_of_queries_are_bounded(spark, tmp_path, monkeypatch, name):
+    """What a worker holds at a time doesn't grow with its partition: here 1,600 texts of 4,000 letters a core."""
+    from __spark_entry__ import queries
+    from corvane.session import BATCHES
+
+    @F.pandas_udf("string")
+    def probe(s: pd.Series) -> pd.Series:
+        return pd.Series(["x" * (int(s.str.len().sum()) // 10_000)] * len(s))
+
+    monkeypatch.setattr(X, "_nfc", probe)
+    monkeypatch.setattr(X, "_nfkc", probe)
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 1_600 * cores, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("b"), 4_000).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    old = {setting: spark.conf.get(setting) for setting, _, _ in BATCHES}
+    try:
+        for setting in old:
+            spark.conf.unset(setting)
+        rows = queries()[name](spark, str(tmp_path))
+        length = F.col("end") - F.col("start") if "end" in rows.columns else F.length("text")
+        most, n = rows.select(F.max(length), F.count_distinct("doc_id")).first()
+        assert n == 1_600 * cores
+        assert 10 < most <= 106  # in 10,000 letters: 1 MB and a text
+    finally:
+        for setting, value in old.items():
+            spark.conf.set(setting, value)
