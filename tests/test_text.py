@@ -174,7 +174,7 @@ def test_ship_bounds_arrow_batches(spark):
             spark.conf.set(setting, value)
 
 
-@pytest.mark.parametrize("name", ["makedataset_chunks", "clean_text_full", "chunk_offsets"])
+@pytest.mark.parametrize("name", ["makedataset_chunks", "clean_text_full", "chunk_offsets", "rule_cleaner_all"])
 def test_python_batches_of_queries_are_bounded(spark, tmp_path, monkeypatch, name):
     """What a worker holds at a time doesn't grow with its partition: here 1,600 texts of 4,000 letters a core."""
     from __spark_entry__ import queries
