@@ -259,3 +259,41 @@ def test_a_run_of_a_million(spark, kind):
     text = F.concat(F.lit(before), F.repeat(F.lit(unit), 1_000_000), F.lit(after))
     assert spark.range(1).select(F.length(R.rule_clean(text))).first()[0] is not None
     assert time.monotonic() - began < 60
+
+
+def test_short_runs_are_linear(spark):
+    began = time.monotonic()
+    text = F.repeat(F.lit("1.2 1.2 1.2 1.2 x "), 1_000_000)
+    assert spark.range(1).select(F.length(R.rule_clean(text))).first()[0] == 18_000_000 - 1
+    assert time.monotonic() - began < 20
+
+
+def test_the_cleaner_is_one_stage(spark, sf_dir):
+    """What comes before the cleaner is computed once for a row: nothing of it stands above the Python stage."""
+    df = QUERIES["rule_clean"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "replace(" not in plan.split("ArrowEvalPython")[0]
+
+
+def test_arrow_patterns_equal_the_rules(spark):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    random.seed(6)
+    texts = ["".join(random.choices([*PIECES, "Ⅷ ", "́", "日", "Рис. 1. 2 ", "__", "АБВ  ", "0,5", "x"], k=random.randrange(1, 40))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", *(R.rule(name)(F.col("t")).alias(name) for name, _, _ in R.RULES))
+    got = sorted(df.collect())
+    for (name, _, _), (pattern, replacement) in zip(R.RULES, R._LINEAR, strict=True):
+        assert [r[name] for r in got] == pc.replace_substring_regex(pa.array(texts), pattern, replacement).to_pylist(), name
+
+
+def test_spaced_letters_beside_numbers():
+    for text, expected in (("a b ⅷ c d e f ⅷ", "a b ⅷ cdef ⅷ"), ("ⅷ a b c", "ⅷ a b c"), ("a b c d ef g h i j", "abcd ef ghij"), ("x1 b c d e", "x1 bcde"), ("1 a b c d 2", "1 abcd 2"), ("a b c d,e f g h", "abcd,efgh")):
+        assert R.spaced_letters_joined(text) == letters(text) == expected
+
+
+def test_formulas_of_all_planes_stay(spark):
+    text = "[1] $𝐀\U0010ffff￿\U000f0041 1 2,5 [2]$ \U000f0041[3]"
+    assert spark.createDataFrame([(text,)], "t string").select(R.rule_clean(F.col("t")).alias("x")).first().x == "$𝐀\U0010ffff￿\U000f0041 1 2,5 [2]$ \U000f0041"
