@@ -121,3 +121,46 @@ def test_few_insertions_are_the_least(a, b):
     n = lcs(a, b)
     assert sum(j - y for *_, y, j in found) == len(b) - n and sum(i - x for x, i, *_ in found) == len(a) - n
     assert contract.few_insertions(a, b, len(b) - n) is None
+
+
+@given(st.text("abc", max_size=40), st.lists(st.integers(0, 39), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_what_is_only_taken_away_is_found_as_the_bit_vectors_do(a, gone):
+    b = "".join(c for k, c in enumerate(a) if k not in gone)
+    found = contract.embedded(a, b)
+    assert found is not None
+    longer = contract.exact_changes(a, b + "z")  # z, which a lacks, leaves these to the bit vectors
+    assert [(x, i) for x, i, *_ in found] == [(x, i) for x, i, *_ in longer if i > x]
+    assert contract.embedded(a, b + "z") is None
+
+
+def test_what_is_only_taken_away_needs_no_table():
+    import tracemalloc
+
+    a = "abcdefghij" * 6_000
+    tracemalloc.start()
+    found = contract.exact_changes(a, a.replace("j", ""))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(i - x for x, i, *_ in found) == 6_000 and peak < 20 << 20
+
+
+def test_letters_take_little_time():
+    contract.letters("")
+    text = "Состав (вод), 12 “x” ﬁ² _ 𝐀 " * 150_000
+    began = time.perf_counter()
+    assert contract.letters(text) == "Составвод12xfi2A" * 150_000
+    assert time.perf_counter() - began < 2
+
+
+def test_stretches_that_occur_once():
+    rnd = random.Random(2)
+    for k in (8, 16, 32):
+        a = "".join(rnd.choices("ab", k=3000))
+        b = a[:900] + a[1000:2000] + "c" * 9 + a[2000:]
+        once = lambda s, k=k: {s[i : i + k]: i for i in range(len(s) - k + 1) if s.count(s[i : i + k]) == 1 and s.find(s[i : i + k], s.find(s[i : i + k]) + 1) < 0}
+        of_a, of_b = once(a), once(b)
+        expected = {(of_a[t], j) for t, j in of_b.items() if t in of_a and j % k == 0}
+        got = contract.anchors(a, b, k)
+        assert set(got) <= expected and got == sorted(got) and (k == 8 or set(got) == expected)
+    assert contract.anchors("ab" * 100, "ab" * 90, 8) == []
